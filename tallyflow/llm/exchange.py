@@ -23,8 +23,8 @@ _FOUND = pa.schema([("bucket", pa.int64()), ("found", pa.binary())])
 
 
 def bucketed(docs: DataFrame, *columns: str) -> DataFrame:
-    """`docs` with a bucket number: four buckets a shuffle partition, even when ids repeat or are null."""
-    count = 4 * shuffle_partitions(docs.sparkSession)
+    """`docs` with a bucket number: one bucket a shuffle partition, even when ids repeat or are null."""
+    count = shuffle_partitions(docs.sparkSession)
     return docs.withColumn("bucket", F.pmod(F.xxhash64(*columns), F.lit(count)))
 
 
