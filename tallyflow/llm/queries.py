@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .language_id import held_out, predict, train
 from .line_dedup import dedup_lines
+from .minhash_dedup import near_duplicates
 from .mixing import mix
 from .substring_dedup import dedup_substrings
 from .token_counts import count_tokens
@@ -36,6 +37,10 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), spark.createDataFrame(RULES, "host string, path string, verdict string"))
 
 
+def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"), "kept")
@@ -59,6 +64,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_language_id": op2_language_id,
         "op3_substring_dedup": op3_substring_dedup,
         "op5_url_filter": op5_url_filter,
+        "op6_minhash_dedup": op6_minhash_dedup,
         "op7_mixing": op7_mixing,
         "op8_line_dedup": op8_line_dedup,
         "op9_token_counts": op9_token_counts,
