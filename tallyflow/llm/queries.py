@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontamination import decontaminate
 from .language_id import held_out, predict, train
 from .line_dedup import dedup_lines
 from .minhash_dedup import near_duplicates
@@ -30,6 +31,12 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "held_out", predict(docs, model).alias("p")).select("doc_id", "held_out", "p.lang_pred", "p.score")
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    items = F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", items, "contaminated")
+
+
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
 
@@ -63,6 +70,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_language_id": op2_language_id,
         "op3_substring_dedup": op3_substring_dedup,
+        "op4_decontamination": op4_decontamination,
         "op5_url_filter": op5_url_filter,
         "op6_minhash_dedup": op6_minhash_dedup,
         "op7_mixing": op7_mixing,
