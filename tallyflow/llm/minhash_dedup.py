@@ -7,9 +7,11 @@ it. Bands of signature rows propose links, which are confirmed on the full shing
 links are grouped by union-find.
 
 Texts with the same shingle set are one class, so copies are never paired. Of a band's bucket, each class is
-first compared with one pivot; what is then in the same group needs no comparison, and only classes of one
-bucket that are still in different groups are compared further. So no link between different texts is lost
-to a cap, and a large group of near copies costs one comparison a member. With 28 bands of 4 rows a link at
+first compared with one pivot; what is then in the same group needs no comparison. Among classes of one
+bucket that are still in different groups, those are compared further that can link at all: a class has at
+most as many shingles in common with another as it has shingles that any other such class holds, which
+rules out copies with many edits of their own. So no link between different texts is lost to a cap, and a
+large group of near copies costs about one comparison a member. With 28 bands of 4 rows a link at
 similarity 0.8 goes unproposed once in two million.
 
 Defined results: a null text or one without words has 0 shingles and no link; fewer words than a shingle are
@@ -23,8 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import exchange
 from .components import components
-from .scratch import Scratch
+from .scratch import Scratch, shuffle_partitions
 from .textkit import LOWER, U64, WHITESPACE, Words, mix, pieces, text_bytes, windows
 
 BANDS, ROWS = 28, 4
@@ -134,7 +137,26 @@ def _confirm(percent: int):
     return confirm
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", pairs_a_member: int = 20, pivot_rounds: int = 6) -> DataFrame:
+def _common(sets: DataFrame) -> DataFrame:
+    """For each of the given sets: rep, common, how many of its shingles any other of them holds."""
+    parts = shuffle_partitions(sets.sparkSession)
+    dealt = exchange.bucketed(sets, "doc_id").groupBy("bucket")
+
+    def send(key, table):
+        return exchange.send(exchange.unpack(exchange.rows(table, "held"), 1), key[0].as_py(), parts)
+
+    def count(key, table, repeated):
+        shared = exchange.unpack(exchange.rows(repeated, "found"), 1)
+        size = np.array([len(x) // 8 for x in table["held"].to_pylist()], np.int64)
+        hit = exchange.member(exchange.unpack(exchange.rows(table, "held"), 1), shared)
+        total = np.concatenate(([0], np.cumsum(hit)))[np.concatenate(([0], np.cumsum(size)))]
+        return pa.table({"rep": table["doc_id"], "common": np.diff(total)})
+
+    shared = exchange.repeated(dealt.applyInArrow(send, exchange.SENT), 1)
+    return dealt.cogroup(shared.groupBy("bucket")).applyInArrow(count, "rep long, common long").groupBy("rep").agg(F.max("common").alias("common"))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", pairs_a_member: int = 4, pivot_rounds: int = 6) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, kept. Links have a Jaccard similarity of at least `percent` hundredths.
 
     After a pivot round, the pairs left are compared at once if there are at most `pairs_a_member` for each bucket
@@ -150,7 +172,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
 
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
     sets = scratch.keep(base.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(shingle), "doc_id long, held binary"), "sets")
-    close = F.expr(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         a, b = sets.toDF("a", "held_a"), sets.toDF("b", "held_b")
@@ -160,24 +181,30 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     first = members.groupBy("rep").agg(F.min("pivot").alias("pivot")).where("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b"))
     tested = scratch.keep(first, "tested-0")
     links = scratch.keep(confirmed(tested), "links-0")
-    groups, k = components(links, scratch, "groups-0"), 0
+    groups, live, k = components(links, scratch, "groups-0"), None, 0
     while True:
         k += 1
-        now = members.drop("pivot").join(groups.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        now = (members.drop("pivot") if live is None else live).join(groups.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         apart = now.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("n"), (F.pow(F.sum("c"), 2) - F.sum(F.col("c") * F.col("c"))).alias("pairs"), F.count("*").alias("groups")).where("groups > 1")
         apart = scratch.keep(apart, f"apart-{k}")
+        now = scratch.keep(now.join(apart.select("key"), "key", "left_semi"), f"now-{k}")
+        if live is None:
+            common = scratch.keep(_common(sets.join(now.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")), "common")
+            live = scratch.keep(now.drop("component").join(common, "rep").where(F.expr(f"100 * common >= {percent} * n_shingles")), "live")
+            continue
         left = apart.agg(F.sum("n").alias("n"), (F.sum("pairs") / 2).alias("pairs")).first()
         if not left["n"]:
             break
-        now = scratch.keep(now.join(apart.select("key"), "key", "left_semi"), f"now-{k}")
         every = left["pairs"] <= pairs_a_member * left["n"] or k > pivot_rounds
         if every:
             against = now
         else:
-            order = F.struct(F.xxhash64("rep", F.lit(k)), "rep", "n_shingles", "component")
-            against = now.groupBy("key").agg(F.min(order).alias("p")).select("key", "p.rep", "p.n_shingles", "p.component")
-        pairs = now.select("key", F.col("rep").alias("a"), F.col("n_shingles").alias("n_a"), F.col("component").alias("c_a")).join(against.select("key", F.col("rep").alias("b"), F.col("n_shingles").alias("n_b"), F.col("component").alias("c_b")), "key")
-        pairs = pairs.where("c_a <> c_b").where(close).where("a > b" if every else "true").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+            order = F.struct(F.xxhash64("rep", F.lit(k)), "rep", "n_shingles", "component", "common")
+            against = now.groupBy("key").agg(F.min(order).alias("p")).select("key", "p.*")
+        sides = [d.select("key", *(F.col(c).alias(f"{n}_{s}") for c, n in (("rep", "r"), ("n_shingles", "n"), ("component", "g"), ("common", "m")))) for d, s in ((now, "a"), (against, "b"))]
+        close = F.expr(f"100 * least(m_a, m_b) >= {percent} * (n_a + n_b - least(m_a, m_b))") & F.expr(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
+        pairs = sides[0].join(sides[1], "key").where("g_a <> g_b").where(close).where("r_a > r_b" if every else "true")
+        pairs = pairs.select(F.greatest("r_a", "r_b").alias("a"), F.least("r_a", "r_b").alias("b")).distinct()
         pairs = scratch.keep(pairs.join(tested, ["a", "b"], "left_anti"), f"tested-{k}")
         more = scratch.keep(confirmed(pairs), f"links-{k}")
         tested, links = tested.union(pairs), links.union(more)

@@ -12,6 +12,7 @@ from .language_id import held_out, predict, train
 from .line_dedup import dedup_lines
 from .minhash_dedup import near_duplicates
 from .mixing import mix
+from .nn_descent import nearest
 from .substring_dedup import dedup_substrings
 from .token_counts import count_tokens
 from .url_filter import filter_urls
@@ -25,6 +26,10 @@ def _sha256(text: str) -> Column:
     return F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)
 
 
+def op1_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out().alias("held_out"))
     model = train(docs.where(~F.col("held_out")))
@@ -68,6 +73,7 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_nn_descent": op1_nn_descent,
         "op2_language_id": op2_language_id,
         "op3_substring_dedup": op3_substring_dedup,
         "op4_decontamination": op4_decontamination,
