@@ -14,6 +14,7 @@ from .minhash_dedup import near_duplicates
 from .mixing import mix
 from .nn_descent import nearest
 from .substring_dedup import dedup_substrings
+from .suffix_dedup import dedup_bytes
 from .token_counts import count_tokens
 from .url_filter import filter_urls
 
@@ -71,6 +72,11 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", _sha256("kept_text").alias("kept_sha256"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = dedup_bytes(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_nn_descent": op1_nn_descent,
@@ -82,6 +88,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_mixing": op7_mixing,
         "op8_line_dedup": op8_line_dedup,
         "op9_token_counts": op9_token_counts,
+        "op10_suffix_dedup": op10_suffix_dedup,
     }
 
 
