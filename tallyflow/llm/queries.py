@@ -13,6 +13,7 @@ from .line_dedup import dedup_lines
 from .minhash_dedup import near_duplicates
 from .mixing import mix
 from .nn_descent import nearest
+from .sql import ORACLES
 from .substring_dedup import dedup_substrings
 from .suffix_dedup import dedup_bytes
 from .token_counts import count_tokens
@@ -93,4 +94,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
