@@ -13,7 +13,11 @@ MODELS = ("claude-sonnet-4", "gpt-5.4", "claude-opus-4-6", "gpt-5.6-sol", "glm-4
 
 def usage_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical entries with user_id; the order of arrival is line_ord, the event's id."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return as_entries(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def as_entries(e: DataFrame) -> DataFrame:
+    """The reading itself, for a table or a stream of events."""
     i, k = F.col("event_id"), F.get_json_object("props", "$.k").cast("bigint")
     ts = F.unix_millis(F.col("ts").cast("timestamp"))
     rows = e.select(
