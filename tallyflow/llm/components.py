@@ -36,15 +36,26 @@ def _forest(batches):
         yield pa.RecordBatch.from_arrays([pa.array(node[move], pa.int64()), pa.array(low[move], pa.int64())], names=["a", "b"])
 
 
-def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+def _whole_forest(batches):
+    """All links of a partition at once."""
+    held = [(b["a"].to_numpy(), b["b"].to_numpy()) for b in batches]
+    if held:
+        node, low = union_find(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(low, pa.int64())], names=["node", "component"])
+
+
+def components(links: DataFrame, scratch: Scratch, name: str, small: int = 200_000) -> DataFrame:
     """`links` has a and b. Returns node and component, the smallest node it reaches, for every node with a link.
 
-    Alternating stars: a node sends its larger neighbours, then its smaller ones, to the smallest node it
+    Up to `small` links that are left after each batch of links has been joined up are finished by one
+    union-find, a few megabytes in one task. More take alternating stars: a node sends its larger neighbours, then its smaller ones, to the smallest node it
     knows. Minima are aggregated before the shuffle, so a node with very many links is no hot group.
     """
     low, high = F.least("a", "b"), F.greatest("a", "b")
     stars = links.mapInArrow(_forest, "a long, b long").select(high.alias("a"), low.alias("b")).distinct()
     stars = scratch.keep(stars, f"{name}-0")
+    if stars.count() <= small:
+        return scratch.keep(stars.coalesce(1).mapInArrow(_whole_forest, "node long, component long"), f"{name}-whole")
     k, seen = 0, None
     while True:
         both = stars.select("a", "b").union(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
