@@ -179,11 +179,11 @@ def _common(sets: DataFrame) -> DataFrame:
     return dealt.cogroup(shared.groupBy("bucket")).applyInArrow(count, "rep long, common long").groupBy("rep").agg(F.max("common").alias("common"))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", pairs_a_member: int = 4, pivot_rounds: int = 6) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", pairs_a_member: int = 4, pivot_rounds: int = 6, broadcast_ids: int = 500_000) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, kept. Links have a Jaccard similarity of at least `percent` hundredths.
 
     After a pivot round, the pairs left are compared at once if there are at most `pairs_a_member` for each bucket
-    member, or after `pivot_rounds` rounds in any case.
+    member, or after `pivot_rounds` rounds in any case. Up to `broadcast_ids` ids (8 bytes each) are broadcast.
     """
     scratch = Scratch(docs.sparkSession, "near-duplicates")
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -194,7 +194,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     shared = scratch.keep(_members(reps.dropDuplicates(["rep"])), "shared")
     members = scratch.keep(shared.join(shared.groupBy("key").agg(F.min("rep").alias("pivot")), "key"), "members")
 
-    wanted = members.select(F.col("rep").alias("doc_id")).distinct()
+    wanted = scratch.keep(members.select(F.col("rep").alias("doc_id")).distinct(), "wanted")
+    # The texts need not be shuffled to find the wanted ones while their ids are a few megabytes.
+    wanted = F.broadcast(wanted) if wanted.count() <= broadcast_ids else wanted
     sets = scratch.keep(base.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(shingle), "doc_id long, held binary"), "sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
