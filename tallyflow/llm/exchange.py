@@ -22,9 +22,9 @@ _SENT = pa.schema([("part", pa.int64()), ("bucket", pa.int64()), ("once", pa.bin
 _FOUND = pa.schema([("bucket", pa.int64()), ("found", pa.binary())])
 
 
-def bucketed(docs: DataFrame, *columns: str) -> DataFrame:
-    """`docs` with a bucket number: one bucket a shuffle partition, even when ids repeat or are null."""
-    count = shuffle_partitions(docs.sparkSession)
+def bucketed(docs: DataFrame, *columns: str, times: int = 1) -> DataFrame:
+    """`docs` with a bucket number: `times` buckets a shuffle partition, even when ids repeat or are null."""
+    count = shuffle_partitions(docs.sparkSession) * times
     return docs.withColumn("bucket", F.pmod(F.xxhash64(*columns), F.lit(count)))
 
 
