@@ -91,7 +91,8 @@ claude-3-opus 200000
 claude-3-sonnet 200000
 claude-3-haiku 200000
 """
-# The model behind an automatic review, by release date.
+# The name of an automatic review's model, and the model behind it by release date.
+REVIEW = "codex-auto-review"
 REVIEW_LADDER = """
 2025-08-07 gpt-5
 2025-09-15 gpt-5-codex

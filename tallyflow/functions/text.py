@@ -80,5 +80,5 @@ def cn_units(value: Column) -> Column:
 
 def reset_ms(line: Column) -> Column:
     """When a usage limit ends: the digits after the marker's bar, in seconds."""
-    digits = F.regexp_extract(line, r"usage limit reached\|(\d{1,12})", 1)
+    digits = F.regexp_extract(line, r"Claude AI usage limit reached[^|]*\|(\d{1,12})", 1)
     return F.when((digits != "") & (digits.cast("bigint") > 0), digits.cast("bigint") * 1000)

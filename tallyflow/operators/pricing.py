@@ -65,6 +65,15 @@ def review_model(events: DataFrame, ladder: DataFrame, date: str = "usage_date",
     return events.join(F.broadcast(steps), held, "left").withColumn("model", F.coalesce("_model", F.lit(default))).drop("released", "until", "_model")
 
 
+def review_fallback(model: Column, date: Column) -> Column:
+    """The same for one expression: what an automatic review's name stands for on a date, other names as they are."""
+    steps = [line.split() for line in rate_card.REVIEW_LADDER.split("\n") if line]
+    out = F.lit("gpt-5")
+    for released, name in steps:
+        out = F.when(date >= released, F.lit(name)).otherwise(out)
+    return F.when(model == rate_card.REVIEW, out).otherwise(model)
+
+
 def merge_overrides(seed: DataFrame, overrides: DataFrame, key: str = "key") -> DataFrame:
     """All keys of both; where both have one, the override's value wins, field by field where it is not null."""
     fields = [c for c in seed.columns if c != key]

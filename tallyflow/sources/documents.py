@@ -35,16 +35,18 @@ def amp(spark: SparkSession, path: str, tz: str = "UTC") -> DataFrame:
 
 
 MESSAGE = "id string, sessionID string, role string, providerID string, modelID string, time struct<created:bigint>, tokens struct<input:bigint,output:bigint,reasoning:bigint,total:bigint,cache:struct<read:bigint,write:bigint>>, cost double"
-# Opencode names that are another model's, and numbers of one model family that are written without a hyphen.
-OPENCODE_ALIASES = {"gemini-3-pro-high": "gemini-3-pro-preview", "k2p5": "moonshot/kimi-k2.5"}
+# Opencode names that stand for another, and the model families whose versions it writes without hyphens.
+OPENCODE_ALIASES = {"gemini-3-pro-high": "gemini-3-pro-preview", "k2p6": "kimi-k2.6"}
+OPENCODE_FAMILIES = "claude-(?:haiku|opus|sonnet)-"
 
 
 def opencode_model(name):
-    """A claude name's 4.5 or 45 is 4-5; some names stand for another."""
-    dashed = F.regexp_replace(F.regexp_replace(name, r"^(claude-[a-z]+-\d)\.(\d)", "$1-$2"), r"^(claude-[a-z]+-\d)(\d)$", "$1-$2")
+    """In those families 4.5 and 45 are 4-5; some names stand for another."""
+    dotted, packed = rf"^({OPENCODE_FAMILIES}\d*)\.(\d)", rf"^({OPENCODE_FAMILIES}\d)(\d)"
+    out = F.when(name.rlike(dotted), F.regexp_replace(name, dotted, "$1-$2")).otherwise(F.regexp_replace(name, packed, "$1-$2"))
     for a, b in OPENCODE_ALIASES.items():
-        dashed = F.when(dashed == a, F.lit(b)).otherwise(dashed)
-    return dashed
+        out = F.when(out == a, F.lit(b)).otherwise(out)
+    return out
 
 
 def messages(rows: DataFrame, tool: str, tz: str = "UTC") -> DataFrame:
@@ -78,7 +80,7 @@ def droid(spark: SparkSession, path: str, tz: str = "UTC") -> DataFrame:
     return canonical(dated(first_wins(rows, ["session_id"], ("ts_ms", "file"), last=True), tz))
 
 
-_BUFF_USAGE = "struct<inputTokens:bigint,input_tokens:bigint,promptTokens:bigint,outputTokens:bigint,output_tokens:bigint,completionTokens:bigint,cacheCreationInputTokens:bigint,cache_creation_input_tokens:bigint,cacheReadInputTokens:bigint,cache_read_input_tokens:bigint,reasoningTokens:bigint,totalTokens:bigint>"
+_BUFF_USAGE = "struct<inputTokens:bigint,input_tokens:bigint,promptTokens:bigint,prompt_tokens:bigint,outputTokens:bigint,output_tokens:bigint,completionTokens:bigint,completion_tokens:bigint,cacheCreationInputTokens:bigint,cache_creation_input_tokens:bigint,cacheCreationTokens:bigint,cache_creation_tokens:bigint,cachedTokensCreated:bigint,cached_tokens_created:bigint,cacheReadInputTokens:bigint,cache_read_input_tokens:bigint,promptTokensDetails:struct<cachedTokens:bigint>,prompt_tokens_details:struct<cached_tokens:bigint>,totalTokens:bigint,total_tokens:bigint,total:bigint>"
 _BUFF = f"array<struct<id:string,role:string,variant:string,timestamp:string,credits:double,metadata:struct<model:string,usage:{_BUFF_USAGE},codebuff:struct<usage:{_BUFF_USAGE}>,runState:struct<sessionState:struct<mainAgentState:struct<messageHistory:array<struct<role:string,providerOptions:struct<codebuff:struct<model:string,usage:{_BUFF_USAGE}>>>>>>>>>>"
 
 
@@ -90,7 +92,9 @@ def codebuff(spark: SparkSession, path: str, tz: str = "UTC") -> DataFrame:
     tried = F.concat(F.array(F.col("m.metadata.usage"), F.col("m.metadata.codebuff.usage")), history)
     safe = lambda c: F.coalesce(c, F.lit(0))
     pick = lambda *names: F.get(F.filter(F.transform(tried, lambda u: F.coalesce(*(u[n] for n in names))), lambda x: x.isNotNull()), F.lit(0))
-    rows = counters(rows, safe(pick("inputTokens", "input_tokens", "promptTokens")), safe(pick("outputTokens", "output_tokens", "completionTokens")), safe(pick("cacheCreationInputTokens", "cache_creation_input_tokens")), safe(pick("cacheReadInputTokens", "cache_read_input_tokens")), safe(pick("reasoningTokens")), pick("totalTokens"))
+    read = F.get(F.filter(F.transform(tried, lambda u: F.greatest(F.coalesce(u["cacheReadInputTokens"], u["cache_read_input_tokens"]), u["promptTokensDetails"]["cachedTokens"], u["prompt_tokens_details"]["cached_tokens"])), lambda x: x.isNotNull()), F.lit(0))
+    create = pick("cacheCreationInputTokens", "cache_creation_input_tokens", "cacheCreationTokens", "cache_creation_tokens", "cachedTokensCreated", "cached_tokens_created")
+    rows = counters(rows, safe(pick("inputTokens", "input_tokens", "promptTokens", "prompt_tokens")), safe(pick("outputTokens", "output_tokens", "completionTokens", "completion_tokens")), safe(create), safe(read), None, pick("totalTokens", "total_tokens", "total"))
     chat = clock.parse_ms(F.regexp_replace(part(F.col("file"), 2), r"T(\d\d)-(\d\d)-(\d\d)", "T$1:$2:$3"))
     rows = rows.withColumns(
         {

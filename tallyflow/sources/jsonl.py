@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clock, text
 from ..operators.dedup import best_source, carry_forward, first_wins
+from ..operators.pricing import review_fallback
 from ..schema import canonical
 from .files import after, counters, dated, documents, filled, first, lines, part, stem
 
@@ -110,7 +111,7 @@ def codex(spark: SparkSession, path: str, tz: str = "UTC") -> DataFrame:
     cached = F.least(F.col("u.cached"), F.col("u.input"))
     out = rows.withColumns(
         {
-            "tool": F.lit("codex"), "model": F.coalesce("model", F.lit("gpt-5")), "session_id": F.regexp_replace(F.regexp_extract("file", r"/sessions/(.*)$", 1), r"\.[^./]*$", ""),
+            "tool": F.lit("codex"), "model": review_fallback(F.coalesce("model", F.lit("gpt-5")), clock.local_date(F.col("ts_ms"))), "session_id": F.regexp_replace(F.regexp_extract("file", r"/sessions/(.*)$", 1), r"\.[^./]*$", ""),
             "input": text.without_overlap(F.col("u.input"), cached), "output": F.col("u.output"), "cache_read": cached, "speed": F.when(F.col("tier").isin("fast", "priority"), F.lit("fast")),
         }
     ).where("input + output + cache_read > 0")
@@ -214,6 +215,9 @@ _GEMINI_TOKENS = "input double, prompt double, input_tokens double, prompt_token
 _GT = f"struct<{_GEMINI_TOKENS.replace(' double', ':double').replace(', ', ',')}>"
 
 
+_GEMINI_NAMES = [x.split()[0] for x in _GEMINI_TOKENS.split(", ")]
+
+
 def _gemini_counts(t: Column) -> dict[str, Column]:
     pick = lambda *names: F.coalesce(*(t[n] for n in names))
     whole = lambda c: F.greatest(F.floor(F.coalesce(c, F.lit(0.0))), F.lit(0)).cast("bigint")
@@ -226,7 +230,7 @@ def _gemini_counts(t: Column) -> dict[str, Column]:
 def gemini(spark: SparkSession, path: str, tz: str = "UTC") -> DataFrame:
     """Session documents and lines: messages of type gemini, replaced by id, and statistics by model."""
     message = f"type:string,id:string,model:string,timestamp:string,created_at:string,tokens:{_GT}"
-    stats = f"struct<models:map<string,struct<tokens:{_GT}>>>"
+    stats = f"struct<models:map<string,struct<tokens:{_GT}>>,{_GT[7:-1]}>"
     log = lines(spark, path, "*.jsonl").withColumn("e", F.from_json("line", f"{message.replace(':', ' ', 6).replace(',', ', ', 5)}, sessionId string, session_id string, stats {stats}"))
     log = log.withColumns({"session": first(filled(F.col("e.sessionId")), filled(F.col("e.session_id"))), "hint": filled(F.col("e.model"))})
     log = carry_forward(carry_forward(log, "session", ["file"], PLACE), "hint", ["file"], PLACE)
@@ -240,7 +244,8 @@ def gemini(spark: SparkSession, path: str, tz: str = "UTC") -> DataFrame:
     direct = first_wins(direct, ["file", "message_id"], PLACE, last=True)
     totals = both.where("stats.models is not null and coalesce(m.type, '') <> 'gemini'").select("file", "line_ord", "session", F.coalesce(clock.parse_ms(F.col("at")), F.col("modified_ms")).alias("ts_ms"), F.posexplode(F.array_sort(F.map_entries("stats.models"))).alias("sub_ord", "x"))
     totals = totals.select("file", "line_ord", "sub_ord", "session", F.col("x.key").alias("model"), F.lit(None).cast("string").alias("message_id"), "ts_ms", F.col("x.value.tokens").alias("t"), F.lit(False).alias("by_total")).where("t is not null")
-    rows = direct.unionByName(totals).where("trim(model) <> ''").withColumns(_gemini_counts(F.col("t")))
+    plain = both.where("stats is not null and stats.models is null and coalesce(m.type, '') <> 'gemini'").select("file", "line_ord", F.lit(0).alias("sub_ord"), "session", F.coalesce("hint", F.lit("unknown")).alias("model"), F.lit(None).cast("string").alias("message_id"), F.coalesce(clock.parse_ms(F.col("at")), F.col("modified_ms")).alias("ts_ms"), F.struct(*(F.col(f"stats.{n}") for n in _GEMINI_NAMES)).alias("t"), F.lit(False).alias("by_total"))
+    rows = direct.unionByName(totals).unionByName(plain).where("trim(model) <> ''").withColumns(_gemini_counts(F.col("t")))
     sums = F.col("i") + F.col("o") + F.col("th") + F.col("tl")
     inclusive = ~F.col("by_total") | ((F.col("c") > 0) & F.coalesce((F.col("tt") == sums) & (F.col("tt") != sums + F.col("c")), F.lit(False)))
     fresh = F.when(inclusive, text.without_overlap(F.col("i"), F.col("c"))).otherwise(F.col("i")) + F.col("tl")
@@ -252,7 +257,7 @@ _KIMI_COUNTS = "struct<inputOther:bigint,output:bigint,inputCacheCreation:bigint
 _KIMI_OLD = "struct<input_other:bigint,output:bigint,input_cache_creation:bigint,input_cache_read:bigint,total:bigint>"
 
 
-def kimi(spark: SparkSession, path: str, default: str = "kimi-k2.5", tz: str = "UTC") -> DataFrame:
+def kimi(spark: SparkSession, path: str, default: str = "kimi-for-coding", tz: str = "UTC") -> DataFrame:
     """Usage records of a turn, and the older status updates."""
     rows = lines(spark, path, "wire.jsonl").withColumn("e", F.from_json("line", f"type string, usageScope string, model string, time bigint, timestamp double, usage {_KIMI_COUNTS}, message struct<type:string,payload:struct<token_usage:{_KIMI_OLD},message_id:string>>"))
     new = F.coalesce((F.col("e.type") == "usage.record") & (F.col("e.usageScope") == "turn"), F.lit(False))
@@ -272,7 +277,7 @@ def kimi(spark: SparkSession, path: str, default: str = "kimi-k2.5", tz: str = "
     return canonical(dated(first_wins(out, ["session_id", "ts_ms", "model", "input", "output", "cache_flat", "cache_read"], PLACE), tz))
 
 
-def qwen(spark: SparkSession, path: str, default: str = "qwen3-coder-plus", tz: str = "UTC") -> DataFrame:
+def qwen(spark: SparkSession, path: str, default: str = "unknown", tz: str = "UTC") -> DataFrame:
     """Assistant lines with usage metadata; thoughts are extra tokens, and cached input is not subtracted."""
     counts = "struct<promptTokenCount:bigint,candidatesTokenCount:bigint,thoughtsTokenCount:bigint,cachedContentTokenCount:bigint,totalTokenCount:bigint>"
     rows = lines(spark, path, marker='"usageMetadata"').withColumn("e", F.from_json("line", f"type string, sessionId string, model string, timestamp string, uuid string, usageMetadata {counts}"))

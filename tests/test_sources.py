@@ -44,7 +44,7 @@ def test_claude(spark, tmp_path):
         claude_line(6, "f", "r6", {"input_tokens": -1}),
         {"data": {"message": claude_line(7, "g", "r7", {"input_tokens": 1000})}},
         claude_line(8, "", "r8", {}),
-        {**claude_line(9, "h", "r9", {}), "isApiErrorMessage": True, "note": "usage limit reached|1790000000"},
+        {**claude_line(9, "h", "r9", {}), "isApiErrorMessage": True, "note": "Claude AI usage limit reached, come back|1790000000"},
         raw=["not json", '{"message":{"usage": {"input_tokens":1}}}'],
     )
     rows = jsonl.claude(spark, str(tmp_path)).collect()
@@ -70,10 +70,10 @@ def test_codex(spark, tmp_path):
         count(1, (100, 30, 10), (100, 30, 10)),
         count(2, (100, 30, 10), (100, 30, 10)),
         count(3, None, (150, 40, 15)),
-        count(4, (5, 9, 1), None, model="gpt-5.4"),
+        count(4, (5, 9, 1), None, model="codex-auto-review"),
     )
     rows = jsonl.codex(spark, str(tmp_path)).orderBy("ts_ms").collect()
-    assert [(r["model"], r["input"], r["cache_read"], r["output"]) for r in rows] == [("gpt-5.2-codex", 70, 30, 10), ("gpt-5.2-codex", 40, 10, 5), ("gpt-5.4", 0, 5, 1)]
+    assert [(r["model"], r["input"], r["cache_read"], r["output"]) for r in rows] == [("gpt-5.2-codex", 70, 30, 10), ("gpt-5.2-codex", 40, 10, 5), ("gpt-5.3-codex", 0, 5, 1)]
     assert {r["session_id"] for r in rows} == {"p/one"}
 
 
@@ -120,8 +120,9 @@ def test_gemini(spark, tmp_path):
     g = lambda i, mid, **tokens: {"type": "gemini", "id": mid, "model": "gemini-3", "timestamp": AT.format(1, i), "tokens": tokens}
     put(tmp_path / "log.jsonl", {"sessionId": "s1"}, g(1, "a", input=100, output=10, cached=40, total=110), g(2, "a", input=100, output=20, cached=40, total=120), g(3, "b", input=100, output=10, cached=40, total=150))
     doc(tmp_path / "doc.json", {"sessionId": "s2", "timestamp": AT.format(2, 0), "stats": {"models": {"gemini-3": {"tokens": {"prompt": 50, "candidates": 5, "cached": 20, "thoughts": 3, "total": 58}}}}})
+    doc(tmp_path / "plain.json", {"sessionId": "s3", "model": "gemini-2", "stats": {"input": 9, "output": 1}})
     rows = jsonl.gemini(spark, str(tmp_path))
-    assert sorted((r["session_id"], r["input"], r["output"], r["cache_read"], r["extra"]) for r in rows.collect()) == [("s1", 60, 20, 40, 0), ("s1", 100, 10, 40, 0), ("s2", 30, 5, 20, 3)]
+    assert sorted((r["session_id"], r["input"], r["output"], r["cache_read"], r["extra"]) for r in rows.collect()) == [("s1", 60, 20, 40, 0), ("s1", 100, 10, 40, 0), ("s2", 30, 5, 20, 3), ("s3", 9, 1, 0, 0)]
 
 
 def test_kimi_and_qwen(spark, tmp_path):
