@@ -10,7 +10,8 @@ Texts with the same shingle set are one class, so copies are never paired. Of a
 first compared with one pivot; what is then in the same group needs no comparison. Among classes of one
 bucket that are still in different groups, those are compared further that can link at all: a class has at
 most as many shingles in common with another as it has shingles that any other such class holds, which
-rules out copies with many edits of their own. So no link between different texts is lost to a cap, and a
+rules out copies with many edits of their own; and a bit of each signature slot tells apart most sets below
+0.6, while one link in millions differs in as many. So no link between different texts is lost to a cap, and a
 large group of near copies costs about one comparison a member. With 40 bands of 6 rows a link at
 similarity 0.8 goes unproposed five times in a million, and one at 0.3 is proposed three times in a hundred.
 Band keys that one class alone has are told apart by packed exchange before any row is made of a key.
@@ -21,6 +22,8 @@ one shingle; rows that share a doc_id are one node; a row without doc_id takes n
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,6 +35,8 @@ from .scratch import Scratch, shuffle_partitions
 from .textkit import LOWER, U64, WHITESPACE, Words, mix, pieces, text_bytes, windows
 
 BANDS, ROWS = 40, 6
+#: Words of 64 bits that hold a bit of each slot.
+WORDS = 4
 _GOLDEN = U64(0x9E3779B97F4A7C15)
 
 
@@ -101,11 +106,14 @@ def _sketch(size: int):
                 n = np.diff(bound)
                 sums = [np.concatenate((np.zeros(1, U64), np.cumsum(mix(keys ^ U64(salt)), dtype=U64))) for salt in (0x5851F42D4C957F2D, 0x14057B7EF767814F)]
                 d1, d2 = (s[bound[1:]] - s[bound[:-1]] for s in sums)
-                bands = _bands(signatures(keys, bound, BANDS * ROWS)).view(np.int64)
+                signature = signatures(keys, bound, BANDS * ROWS)
+                bands = _bands(signature).view(np.int64)
+                part = np.pad(mix(signature) & U64(1), ((0, 0), (0, 64 * WORDS - BANDS * ROWS))).astype(np.uint8)
+                words = np.packbits(part, axis=1).view(np.int64).reshape(-1)
                 at = pa.array(np.arange(len(n) + 1, dtype=np.int32) * BANDS)
                 yield pa.RecordBatch.from_arrays(
-                    [piece["doc_id"], pa.array(n.astype(np.int64)), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.ListArray.from_arrays(at, pa.array(bands.reshape(-1)))],
-                    names=["doc_id", "n_shingles", "d1", "d2", "bands"],
+                    [piece["doc_id"], pa.array(n.astype(np.int64)), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.ListArray.from_arrays(at, pa.array(bands.reshape(-1))), pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * WORDS), pa.array(words))],
+                    names=["doc_id", "n_shingles", "d1", "d2", "bands", "bits"],
                 )
 
     return sketch
@@ -138,8 +146,15 @@ def _confirm(percent: int):
     return confirm
 
 
+def most_apart(percent: int) -> int:
+    """How many of the slots' bits may differ: of two sets at the threshold half of the slots that differ do, and five deviations more."""
+    differ = (1 - percent / 100) / 2
+    slots = BANDS * ROWS
+    return math.ceil(slots * differ + 5 * math.sqrt(slots * differ * (1 - differ)))
+
+
 def _members(reps: DataFrame) -> DataFrame:
-    """For (rep, n_shingles, bands): rep, n_shingles and key for every band key that another class has too."""
+    """For (rep, n_shingles, bands, bits): rep, n_shingles, bits and key for every band key that another class has too."""
     parts = shuffle_partitions(reps.sparkSession)
     dealt = exchange.bucketed(reps, "rep").groupBy("bucket")
 
@@ -154,10 +169,10 @@ def _members(reps: DataFrame) -> DataFrame:
         own = flat(table["bands"])
         hit = np.flatnonzero(found[np.minimum(np.searchsorted(found, own), len(found) - 1)] == own) if len(found) else np.zeros(0, np.int64)
         at = pa.array(hit // BANDS)
-        return pa.table([table["rep"].take(at), table["n_shingles"].take(at), pa.array(own[hit])], names=["rep", "n_shingles", "key"])
+        return pa.table([table["rep"].take(at), table["n_shingles"].take(at), table["bits"].take(at), pa.array(own[hit])], names=["rep", "n_shingles", "bits", "key"])
 
     shared = exchange.repeated(dealt.applyInArrow(send, exchange.SENT), 1)
-    return dealt.cogroup(shared.groupBy("bucket")).applyInArrow(rows, "rep long, n_shingles long, key long")
+    return dealt.cogroup(shared.groupBy("bucket")).applyInArrow(rows, "rep long, n_shingles long, bits array<long>, key long")
 
 
 def _common(sets: DataFrame) -> DataFrame:
@@ -179,7 +194,7 @@ def _common(sets: DataFrame) -> DataFrame:
     return dealt.cogroup(shared.groupBy("bucket")).applyInArrow(count, "rep long, common long").groupBy("rep").agg(F.max("common").alias("common"))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", pairs_a_member: int = 4, pivot_rounds: int = 6, broadcast_ids: int = 500_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", pairs_a_member: int = 4, pivot_rounds: int = 2, broadcast_ids: int = 500_000) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, kept. Links have a Jaccard similarity of at least `percent` hundredths.
 
     After a pivot round, the pairs left are compared at once if there are at most `pairs_a_member` for each bucket
@@ -187,10 +202,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     """
     scratch = Scratch(docs.sparkSession, "near-duplicates")
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sketches = scratch.keep(base.mapInArrow(_sketch(shingle), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"), "sketches")
+    sketches = scratch.keep(base.mapInArrow(_sketch(shingle), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, bits array<long>"), "sketches")
     some = sketches.where("n_shingles > 0 and doc_id is not null")
     classes = scratch.keep(some.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = some.join(classes.withColumnRenamed("rep", "doc_id"), ["d1", "d2", "n_shingles", "doc_id"], "left_semi").select(F.col("doc_id").alias("rep"), "n_shingles", "bands")
+    reps = some.join(classes.withColumnRenamed("rep", "doc_id"), ["d1", "d2", "n_shingles", "doc_id"], "left_semi").select(F.col("doc_id").alias("rep"), "n_shingles", "bands", "bits")
     shared = scratch.keep(_members(reps.dropDuplicates(["rep"])), "shared")
     members = scratch.keep(shared.join(shared.groupBy("key").agg(F.min("rep").alias("pivot")), "key"), "members")
 
@@ -200,8 +215,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     sets = scratch.keep(base.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(shingle), "doc_id long, held binary"), "sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        a, b = sets.toDF("a", "held_a"), sets.toDF("b", "held_b")
-        return pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "held_a", "held_b").mapInArrow(_confirm(percent), "a long, b long")
+        """Only the sets that are compared move, while the pairs are few."""
+        few = pairs.count() <= broadcast_ids
+        hint = F.broadcast if few else (lambda d: d)
+        left = sets.toDF("a", "held_a").join(hint(pairs.select("a", "b")), "a")
+        right = sets.toDF("b", "held_b").join(hint(pairs.select("b").distinct()), "b", "left_semi") if few else sets.toDF("b", "held_b")
+        return left.join(right, "b").select("a", "b", "held_a", "held_b").mapInArrow(_confirm(percent), "a long, b long")
 
     # Each class with the smallest pivot of its buckets; the others only if that leaves them in different groups.
     first = members.groupBy("rep").agg(F.min("pivot").alias("pivot")).where("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b"))
@@ -225,11 +244,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
         if every:
             against = now
         else:
-            order = F.struct(F.xxhash64("rep", F.lit(k)), "rep", "n_shingles", "component", "common")
+            order = F.struct(F.xxhash64("rep", F.lit(k)), "rep", "n_shingles", "bits", "component", "common")
             against = now.groupBy("key").agg(F.min(order).alias("p")).select("key", "p.*")
-        sides = [d.select("key", *(F.col(c).alias(f"{n}_{s}") for c, n in (("rep", "r"), ("n_shingles", "n"), ("component", "g"), ("common", "m")))) for d, s in ((now, "a"), (against, "b"))]
+        sides = [d.select("key", *(F.col(c).alias(f"{n}_{s}") for c, n in (("rep", "r"), ("n_shingles", "n"), ("bits", "s"), ("component", "g"), ("common", "m")))) for d, s in ((now, "a"), (against, "b"))]
         close = F.expr(f"100 * least(m_a, m_b) >= {percent} * (n_a + n_b - least(m_a, m_b))") & F.expr(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-        pairs = sides[0].join(sides[1], "key").where("g_a <> g_b").where(close).where("r_a > r_b" if every else "true")
+        alike = sum((F.bit_count(F.col("s_a")[w].bitwiseXOR(F.col("s_b")[w])) for w in range(WORDS)), F.lit(0)) <= most_apart(percent)
+        pairs = sides[0].join(sides[1], "key").where("g_a <> g_b").where(close & alike).where("r_a > r_b" if every else "true")
         pairs = pairs.select(F.greatest("r_a", "r_b").alias("a"), F.least("r_a", "r_b").alias("b")).distinct()
         pairs = scratch.keep(pairs.join(tested, ["a", "b"], "left_anti"), f"tested-{k}")
         more = scratch.keep(confirmed(pairs), f"links-{k}")
@@ -238,6 +258,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
             groups = components(links, scratch, f"groups-{k}")
         if every:
             break
-    placed = sketches.drop("bands").join(classes, ["d1", "d2", "n_shingles"], "left").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
+    placed = sketches.drop("bands", "bits").join(classes, ["d1", "d2", "n_shingles"], "left").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
     placed = placed.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")))
     return placed.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
