@@ -81,7 +81,7 @@ def _struct_of() -> str:
 
 
 _CODEX_COUNTS = "struct<input_tokens:bigint,prompt_tokens:bigint,cached_input_tokens:bigint,output_tokens:bigint,completion_tokens:bigint,reasoning_output_tokens:bigint,total_tokens:bigint>"
-_CODEX = f"timestamp string, type string, payload struct<type:string,model:string,service_tier:string,id:string,forked_from_id:string,info:struct<model:string,last_token_usage:{_CODEX_COUNTS},total_token_usage:{_CODEX_COUNTS}>>"
+_CODEX = f"timestamp string, type string, payload struct<type:string,model:string,service_tier:string,id:string,forked_from_id:string,source:string,info:struct<model:string,last_token_usage:{_CODEX_COUNTS},total_token_usage:{_CODEX_COUNTS}>>"
 _COUNTS = ("input", "cached", "output", "reasoning", "total")
 
 
@@ -91,10 +91,19 @@ def _codex_usage(u: Column) -> Column:
     return F.when(u.isNotNull(), F.struct(*(v.alias(n) for n, v in zip(_COUNTS, values, strict=True))))
 
 
+#: Milliseconds between usage entries of a burst that a fork wrote when it copied its parent's.
+_BURST_MS = 1000
+_REPLAY_KEYS = tuple(f"_raw_{c}" for c in _COUNTS)
+
+
 def codex(spark: SparkSession, path: str, tz: str = "UTC") -> DataFrame:
-    """Token counts: the last usage if the running total moved, else what the total gained. Model and tier are carried on."""
+    """Token counts: the last usage if the running total moved, else what the total gained. Model and tier are carried on.
+
+    Forked sessions lose the usage they replay from their parents, whatever timestamps it was given.
+    """
     rows = lines(spark, path).withColumn("e", F.from_json("line", _CODEX))
     p = F.col("e.payload")
+    forks, heads = _codex_forks(rows), _codex_heads(rows)
     is_count = F.coalesce((p["type"] == "token_count") & p["info"].isNotNull(), F.lit(False))
     rows = rows.select(
         "file", "line_ord", "modified_ms", is_count.alias("is_count"), clock.parse_ms(F.col("e.timestamp")).alias("ts_ms"),
@@ -115,10 +124,45 @@ def codex(spark: SparkSession, path: str, tz: str = "UTC") -> DataFrame:
             "input": text.without_overlap(F.col("u.input"), cached), "output": F.col("u.output"), "cache_read": cached, "speed": F.when(F.col("tier").isin("fast", "priority"), F.lit("fast")),
         }
     ).where("input + output + cache_read > 0")
-    once = first_wins(out, ["ts_ms", "model", "input", "cache_read", "output"], PLACE)
+    once = first_wins(_without_replays(out, forks, heads), ["ts_ms", "model", "input", "cache_read", "output"], PLACE)
     return canonical(dated(once, tz).withColumn("project", F.lit("codex")))
 
 
+def _codex_forks(rows: DataFrame) -> DataFrame:
+    """file, forked_ms and parent_file of each forked session; no parent_file where the parent's log is not there. A session is named by the first line of its first file."""
+    p = F.col("e.payload")
+    parent = F.coalesce(F.nullif(p["forked_from_id"], F.lit("")), F.nullif(F.get_json_object(p["source"], "$.subagent.thread_spawn.parent_thread_id"), F.lit("")))
+    meta = rows.where((F.col("line_ord") == 0) & (F.col("e.type") == "session_meta")).select("file", p["id"].alias("session"), parent.alias("parent"), clock.parse_ms(F.col("e.timestamp")).alias("forked_ms"))
+    files = meta.where("session is not null").groupBy(F.col("session").alias("parent")).agg(F.min("file").alias("parent_file"))
+    forks = meta.where("parent is not null").join(files, "parent", "left")
+    return forks.select("file", "forked_ms", F.when(F.col("parent_file") != F.col("file"), F.col("parent_file")).alias("parent_file"))
+
+
+def _codex_heads(rows: DataFrame) -> DataFrame:
+    """file and burst_ms, the time of the first usage entry, of files whose second one came within a second."""
+    info, ts = F.col("e.payload.info"), clock.parse_ms(F.col("e.timestamp"))
+    used = rows.where((F.col("e.type") == "event_msg") & (F.col("e.payload.type") == "token_count") & (info["last_token_usage"].isNotNull() | info["total_token_usage"].isNotNull()))
+    order = Window.partitionBy("file").orderBy("line_ord")
+    used = used.select("file", "line_ord", ts.alias("burst_ms")).where("burst_ms is not null")
+    used = used.withColumns({"_n": F.row_number().over(order), "_gap": F.lead("burst_ms").over(order) - F.col("burst_ms")})
+    return used.where((F.col("_n") == 1) & F.col("_gap").between(0, _BURST_MS)).select("file", "burst_ms")
+
+
+def _without_replays(events: DataFrame, forks: DataFrame, heads: DataFrame) -> DataFrame:
+    """Usage events without what forked sessions repeat: the leading events that equal the parent's before the fork; where not even the first does, the burst that the log begins with."""
+    order = Window.partitionBy("file").orderBy("line_ord")
+    events = events.withColumns({f"_raw_{c}": F.col(f"u.{c}") for c in _COUNTS} | {"pos": F.row_number().over(order), "_until": F.max("ts_ms").over(order)})
+    prefix = forks.select(F.col("file").alias("session"), "forked_ms", F.col("parent_file").alias("file")).join(events.select("file", "pos", "_until", *_REPLAY_KEYS), "file")
+    prefix = prefix.where("forked_ms is null or _until <= forked_ms").select("session", "pos", *_REPLAY_KEYS)
+    forked = events.join(forks.select("file", F.lit(True).alias("_fork")), "file", "left")
+    left = without_replay(forked.withColumns({"session": F.col("file"), "parent": F.when(F.col("_fork"), F.col("file"))}), prefix, _REPLAY_KEYS)
+    left = left.join(heads, "file", "left").withColumn("_whole", F.min("pos").over(Window.partitionBy("file")) == 1)
+    gap = F.col("ts_ms") - F.coalesce(F.lag("ts_ms").over(order), F.col("burst_ms"))
+    burst = F.coalesce(F.col("_fork") & F.col("_whole") & gap.between(0, _BURST_MS), F.lit(False))
+    left = left.withColumn("_burst", burst.cast("int")).withColumn("_burst", F.min("_burst").over(order))
+    return left.where("_burst = 0").select(*(c for c in events.columns if c not in ("pos", "_until", *_REPLAY_KEYS)))
+
+
 def without_replay(child: DataFrame, parent: DataFrame, keys: tuple[str, ...] = ("input", "output", "cache_read")) -> DataFrame:
     """A forked session's events (pos, keys, ...) without the leading ones that equal its parent's at the same place."""
     same = F.lit(True)

@@ -190,3 +190,39 @@ def test_registry(spark, tmp_path):
     assert len(registry.SOURCES) == 18
     with pytest.raises(ValueError):
         registry.register_source("pi", lambda s, p: None)
+
+
+def codex_log(path, sid, at, counts, parent=None, seconds=None):
+    """A session whose usage entries have the given counts, at `at` plus their seconds."""
+    stamp = lambda s: f"2026-03-01T{at}:{s // 60:02}:{s % 60:02}.000Z"
+    used = lambda n, s: {"timestamp": stamp(s), "type": "event_msg", "payload": {"type": "token_count", "info": {"last_token_usage": {"input_tokens": n, "output_tokens": 1}}}}
+    seconds = seconds or [60 * (k + 1) for k in range(len(counts))]
+    put(path, {"timestamp": stamp(0), "type": "session_meta", "payload": {"id": sid} | (parent or {})}, *(used(n, s) for n, s in zip(counts, seconds, strict=True)))
+
+
+def test_codex_forks_lose_their_replays(spark, tmp_path):
+    fork = {"forked_from_id": "p"}
+    folder = tmp_path / "sessions"
+    # Forked at 11: the parent's 40 came later, so the child's own 40 stays, and so does a 10 behind it.
+    codex_log(folder / "parent.jsonl", "p", "10", [10, 20, 30, 40], seconds=[60, 120, 180, 3599])
+    codex_log(folder / "child.jsonl", "c", "11", [10, 20, 30, 41, 10], fork)
+    codex_log(folder / "spawned.jsonl", "s", "12", [10, 22], {"source": {"subagent": {"thread_spawn": {"parent_thread_id": "p"}}}})
+    codex_log(folder / "early.jsonl", "e", "13", [5, 10, 20], fork)
+    codex_log(folder / "orphan.jsonl", "o", "14", [1, 2, 3, 4], {"forked_from_id": "gone"}, [1, 2, 3, 60])
+    codex_log(folder / "calm.jsonl", "q", "15", [6, 7], {"forked_from_id": "gone"})
+    codex_log(folder / "own.jsonl", "z", "16", [8, 9], {"forked_from_id": "z"}, [1, 2])
+    codex_log(folder / "plain.jsonl", "n", "17", [10, 20], {"source": "cli"}, [1, 2])
+    got = {}
+    for r in jsonl.codex(spark, str(tmp_path)).orderBy("session_id", "ts_ms").collect():
+        got.setdefault(r["session_id"], []).append(r["input"])
+    assert got == {"parent": [10, 20, 30, 40], "child": [41, 10], "spawned": [22], "early": [5, 10, 20], "orphan": [4], "calm": [6, 7], "plain": [10, 20]}
+
+
+def test_codex_replays_end_at_the_fork(spark, tmp_path):
+    folder = tmp_path / "sessions"
+    codex_log(folder / "parent.jsonl", "p", "10", [10, 20, 30], seconds=[60, 120, 3000])
+    at = "2026-03-01T10:30:00.000Z"
+    used = lambda n, k: {"timestamp": f"2026-03-01T10:4{k}:00.000Z", "type": "event_msg", "payload": {"type": "token_count", "info": {"last_token_usage": {"input_tokens": n, "output_tokens": 1}}}}
+    put(folder / "child.jsonl", {"timestamp": at, "type": "session_meta", "payload": {"id": "c", "forked_from_id": "p"}}, used(10, 0), used(20, 1), used(30, 2))
+    rows = jsonl.codex(spark, str(tmp_path)).where("session_id = 'child'").collect()
+    assert [r["input"] for r in rows] == [30]
