@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.money import tokens
+from ..llm.scratch import Scratch
 
 ARRIVAL = ("file_ord", "line_ord", "sub_ord")
 
@@ -90,19 +91,37 @@ def fallback(rows: DataFrame, preferred: DataFrame, key: str) -> DataFrame:
     return preferred.unionByName(rows.join(preferred.select(key).distinct(), key, "left_anti").select(*preferred.columns))
 
 
-def top_ancestor(links: DataFrame, depth: int = 32) -> DataFrame:
-    """id and root of each (id, parent): parents are followed until there is none, or a loop closes."""
-    links.createOrReplaceTempView("_tallyflow_links")
-    return links.sparkSession.sql(
-        f"""
-        WITH RECURSIVE up(id, node, path) AS (
-          SELECT id, id, array(id) FROM _tallyflow_links
-          UNION ALL
-          SELECT up.id, l.parent, concat(up.path, array(l.parent))
-          FROM up JOIN _tallyflow_links l ON l.id = up.node
-          JOIN _tallyflow_links p ON p.id = l.parent
-          WHERE NOT array_contains(up.path, l.parent) AND size(up.path) < {depth}
-        )
-        SELECT id, max_by(node, size(path)) AS root FROM up GROUP BY id
-        """
-    )
+def _tops(up: DataFrame, scratch: Scratch, name: str) -> tuple[DataFrame, DataFrame]:
+    """Pointer doubling over (id, parent), where a null parent is none. Returns id and top of the ids that have one, and the ids whose way runs in a loop.
+
+    After round k, `node` is 2^k steps up, or the top. Ids that are met 2^k steps up grow fewer each round until only loops are left.
+    """
+    now, met, k = scratch.keep(up.select("id", F.coalesce("parent", "id").alias("node"), F.col("parent").isNotNull().alias("open")), f"{name}-0"), None, 0
+    while True:
+        open_nodes = now.where("open").agg(F.countDistinct("node")).first()[0]
+        if open_nodes == 0 or open_nodes == met:
+            return now.where("not open").select("id", F.col("node").alias("top")), now.where("open").select(F.col("node").alias("id")).distinct()
+        met, k = open_nodes, k + 1
+        above = now.select(F.col("id").alias("node"), F.col("node").alias("_node"), F.col("open").alias("_open"))
+        moved = now.where("open").join(above, "node").select("id", F.col("_node").alias("node"), F.col("_open").alias("open"))
+        now = scratch.keep(now.where("not open").unionByName(moved), f"{name}-{k}")
+
+
+def top_ancestor(links: DataFrame) -> DataFrame:
+    """id and root of each (id, parent): parents are followed until there is none among the ids, or a loop closes.
+
+    In a loop the root is the last session before the one where the loop was entered. An id with several parents has the smallest.
+    """
+    scratch = Scratch(links.sparkSession, "ancestors")
+    up = links.where("id is not null").groupBy("id").agg(F.min("parent").alias("parent"))
+    up = up.join(up.select(F.col("id").alias("parent"), F.lit(True).alias("_there")), "parent", "left").select("id", F.when(F.col("_there"), F.col("parent")).alias("parent"))
+    up = scratch.keep(up, "links")
+    tops, loops = _tops(up, scratch, "all")
+    if not loops.head(1):
+        return tops.withColumnRenamed("top", "root")
+    # Cut at every session of a loop, each way ends where it enters; what points there closes the loop.
+    loops = scratch.keep(loops, "loops")
+    cut = up.join(loops.withColumn("_loop", F.lit(True)), "id", "left").select("id", F.when(F.col("_loop").isNull(), F.col("parent")).alias("parent"))
+    entered, _ = _tops(cut, scratch, "cut")
+    last = up.join(loops, "id", "left_semi").select(F.col("parent").alias("top"), F.col("id").alias("_last"))
+    return entered.join(last, "top", "left").select("id", F.coalesce("_last", "top").alias("root"))

@@ -132,3 +132,20 @@ def test_latest_report_wins_and_an_empty_day_clears_nothing(spark):
 
 def test_parse_limit():
     assert [blocks.parse_limit(x, 9) for x in (None, "", "max", "12k", "x")] == [9, 9, 9, 12, None] and blocks.parse_limit("max", 0) is None
+
+
+def test_ancestors_of_long_chains_and_loops(spark):
+    chain = [(f"c{i:03}", f"c{i - 1:03}" if i else None) for i in range(400)]
+    loop = [("a", "b"), ("b", "c"), ("c", "a"), ("x", "b"), ("y", "x"), ("self", "self"), ("under", "self"), ("lost", "nowhere")]
+    links = spark.createDataFrame(chain + loop, "id string, parent string")
+    parent = dict(chain + loop)
+
+    def root(i):
+        seen = {i}
+        while parent[i] in parent and parent[i] not in seen:
+            i = parent[i]
+            seen.add(i)
+        return i
+
+    assert {r["id"]: r["root"] for r in dedup.top_ancestor(links).collect()} == {i: root(i) for i in parent}
+    assert dedup.top_ancestor(links.where("false")).collect() == []
