@@ -11,7 +11,7 @@ from .decontamination import decontaminate
 from .language_id import held_out, predict, train
 from .line_dedup import dedup_lines
 from .minhash_dedup import near_duplicates
-from .mixing import mix
+from .mixing import mix, topic_of
 from .nn_descent import nearest
 from .sql import ORACLES
 from .substring_dedup import dedup_substrings
@@ -56,7 +56,8 @@ def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mix(table(spark, sf_dir, "documents"))
+    # Its SQL fixes the first word as topic and probabilities cut off at 1; the pipeline does neither.
+    mixed = mix(table(spark, sf_dir, "documents"), topic=topic_of(F.col("text")), clip=True)
     return mixed.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"), "kept")
 
 

@@ -143,3 +143,37 @@ def test_neighbours_edges(spark):
     copies = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(300)], "vec_id long, embedding array<double>")
     got = {(r["query_id"], r["rank"]): r["vec_id"] for r in nearest(copies, F.col("vec_id") % 50 == 0).collect()}
     assert [got[0, k] for k in range(1, 6)] == [1, 2, 3, 4, 5] and [got[50, k] for k in range(1, 6)] == [0, 1, 2, 3, 4]
+
+
+def test_mixing_takes_topics_from_whole_texts(spark):
+    from tallyflow.llm.mixing import topics_of_texts
+
+    rng = random.Random(8)
+    words = [[f"w{rng.randrange(10**6)}" for _ in range(30)] for _ in range(2)]
+    rows = [(i, "the " + " ".join(rng.sample(7 * words[i % 2], 210)), "s", "en") for i in range(40)] + [(90, " ", "s", "en"), (91, None, "s", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    topic = {r["doc_id"]: r["topic"] for r in mix(docs).collect()}
+    assert topic[0] != topic[1] and all(topic[i] == topic[i % 2] for i in range(40)) and topic[90] == topic[91] == "unknown"
+    own = {r["doc_id"]: r["topic"] for r in mix(docs.withColumn("topic", F.when(F.col("doc_id") < 90, (F.col("doc_id") % 3).cast("string")))).collect()}
+    assert own == {i: str(i % 3) for i in range(40)} | {90: "unknown", 91: "unknown"}
+    assert topics_of_texts(docs, F.col("text"), F.col("lang"), "t").where("t is null").count() == 2
+
+
+def test_mixing_meets_the_targets_of_skewed_sources(spark):
+    from tallyflow.llm.mixing import distance, tempered
+
+    rows = [(i, "a b c d", "s1" if i < 900 else "s2" if i < 990 else "s3", "en", "t") for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, topic string")
+    sums = {}
+    for r in mix(docs).collect():
+        assert 0 < r["probability"] <= 1
+        sums[r["source"]] = sums.get(r["source"], 0) + r["probability"]
+    raised = {s: n**0.5 for s, n in (("s1", 900), ("s2", 90), ("s3", 10))}
+    for s, n in raised.items():
+        assert sums[s] / sum(sums.values()) == pytest.approx(n / sum(raised.values()), abs=1e-9)
+
+    def gap(**how):
+        cells = mix(docs, **how).groupBy("source", "lang", "topic").agg(F.sum("n_tokens").alias("tokens"), F.first("probability").alias("probability"))
+        return distance(cells, {"source": tempered(cells.select("source", "tokens"), "source", 0.5)})["source"]
+
+    assert gap() == pytest.approx(0, abs=1e-9) and gap(clip=True) > 0.04
