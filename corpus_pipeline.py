@@ -3,8 +3,8 @@
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; `run` writes it as Parquet and reads it again
 as the next stage's documents. All stages but the last return the columns of `documents`.
 
-Defined results: a table without rows passes all stages; a row without doc_id has no group of its own to
-represent, so near-dedup lets it go; columns beside those of `documents` pass through the stages.
+Defined results: a table without rows passes all stages; near-dedup keeps one row of a group of near copies,
+with or without doc_id; columns beside those of `documents` pass through the stages.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tallyflow.llm.decontamination import decontaminate
 from tallyflow.llm.language_id import UNKNOWN, held_out, predict, train
 from tallyflow.llm.line_dedup import dedup_lines
-from tallyflow.llm.minhash_dedup import near_duplicates
+from tallyflow.llm.minhash_dedup import one_of_each
 from tallyflow.llm.mixing import mix
 from tallyflow.llm.scratch import Scratch
 
@@ -40,9 +40,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group of near copies."""
-    kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """Keeps one row of each group of near copies: that with the smallest doc_id, the first without ids."""
+    return one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

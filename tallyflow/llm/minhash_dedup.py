@@ -17,7 +17,10 @@ similarity 0.8 goes unproposed five times in a million, and one at 0.3 is propos
 Band keys that one class alone has are told apart by packed exchange before any row is made of a key.
 
 Defined results: a null text or one without words has 0 shingles and no link; fewer words than a shingle are
-one shingle; rows that share a doc_id are one node; a row without doc_id takes no part and is not kept.
+one shingle. Where ids repeat or are missing, every row is a node of its own while links are looked for, and
+rows that share a doc_id are then tied together. `near_duplicates` gives a row without doc_id no component and
+does not mark it kept, for it has no id to be named by; `one_of_each` keeps one row of every group, also of
+groups without any id, and of repeated rows; a text without words that has no id is a group of its own.
 """
 
 from __future__ import annotations
@@ -194,8 +197,8 @@ def _common(sets: DataFrame) -> DataFrame:
     return dealt.cogroup(shared.groupBy("bucket")).applyInArrow(count, "rep long, common long").groupBy("rep").agg(F.max("common").alias("common"))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", pairs_a_member: int = 4, pivot_rounds: int = 2, broadcast_ids: int = 500_000) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id, kept. Links have a Jaccard similarity of at least `percent` hundredths.
+def _near(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", pairs_a_member: int = 4, pivot_rounds: int = 2, broadcast_ids: int = 500_000) -> DataFrame:
+    """`near_duplicates` of documents whose ids are all there and all different.
 
     After a pivot round, the pairs left are compared at once if there are at most `pairs_a_member` for each bucket
     member, or after `pivot_rounds` rounds in any case. Up to `broadcast_ids` ids (8 bytes each) are broadcast.
@@ -261,3 +264,45 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     placed = sketches.drop("bands", "bits").join(classes, ["d1", "d2", "n_shingles"], "left").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
     placed = placed.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")))
     return placed.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
+def _ids_are_nodes(docs: DataFrame, id_col: str) -> bool:
+    """Whether every row has an id of its own."""
+    n, distinct = docs.select(F.col(id_col).cast("long").alias("id")).agg(F.count("*"), F.countDistinct("id")).first()
+    return n == distinct
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, **how) -> tuple[DataFrame, DataFrame]:
+    """For any ids: `docs` with a number `_near_row` for each row, and row, doc_id, n_shingles and group of each."""
+    scratch = Scratch(docs.sparkSession, "near-groups")
+    numbered = scratch.keep(docs.withColumn("_near_row", F.monotonically_increasing_id()), "numbered")
+    found = _near(numbered.select("_near_row", text_col), id_col="_near_row", text_col=text_col, **how)
+    found = found.select(F.col("doc_id").alias("row"), "n_shingles", F.col("component_id").alias("node"))
+    ids = numbered.select(F.col("_near_row").alias("row"), F.col(id_col).cast("long").alias("doc_id"))
+    placed = scratch.keep(found.join(ids, "row"), "placed")
+    least = placed.where("doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("b"))
+    ties = placed.join(least, "doc_id").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
+    tied = components(scratch.keep(ties, "ties"), scratch, "tied")
+    return numbered, placed.join(tied, "node", "left").select("row", "doc_id", "n_shingles", F.coalesce("component", "node").alias("group"))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id, kept. Links have a Jaccard similarity of at least `percent` hundredths."""
+    how |= {"shingle": shingle, "percent": percent, "id_col": id_col, "text_col": text_col}
+    if _ids_are_nodes(docs, id_col):
+        return _near(docs, **how)
+    _, placed = _grouped(docs, **how)
+    low = placed.groupBy("group").agg(F.min("doc_id").alias("low"))
+    out = placed.join(low, "group").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("low")))
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """One row of `docs` for each group of near copies: that with the smallest id, the first without ids."""
+    how |= {"shingle": shingle, "percent": percent, "id_col": id_col, "text_col": text_col}
+    if _ids_are_nodes(docs, id_col):
+        kept = _near(docs, **how).where("kept").select(F.col("doc_id").alias(id_col))
+        return docs.join(kept, id_col, "left_semi").select(*docs.columns)
+    numbered, placed = _grouped(docs, **how)
+    best = placed.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best"))
+    return numbered.join(best.select(F.col("best.row").alias("_near_row")), "_near_row", "left_semi").select(*docs.columns)

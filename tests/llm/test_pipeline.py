@@ -4,6 +4,7 @@ import brute
 
 import corpus_pipeline as P
 from tallyflow.llm.language_id import held_out
+from tallyflow.llm.minhash_dedup import near_duplicates
 from tallyflow.llm.mixing import mix
 
 SMALL = "/root/testdata/sf0.001"
@@ -49,3 +50,18 @@ def test_run_passes_rows_on(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/none/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/none/benchmark.parquet")
     assert P.run(spark, f"{tmp_path}/none").collect() == []
+
+
+def test_near_dedup_keeps_one_row_a_group_whatever_the_ids(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    near = lambda k, e: text(k) + f" edit{e}"
+    rows = [(None, text(0)), (None, text(1)), (None, near(1, 1)), (None, text(1)), (4, text(2)), (4, text(2)), (5, text(3)), (None, near(3, 1))]
+    # Two texts under one id: near copies of either belong to its group.
+    rows += [(6, text(4)), (6, text(5)), (7, near(4, 1)), (8, near(5, 1)), (9, None), (9, None), (10, "")]
+    docs = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = P.minhash_dedup(spark, docs, SMALL).collect()
+    assert sorted((r["doc_id"] for r in got if r["doc_id"] is not None)) == [4, 5, 6, 9, 10]
+    nameless = [r["text"] for r in got if r["doc_id"] is None]
+    assert len(nameless) == 2 and text(0) in nameless and set(nameless) - {text(0)} <= {text(1), near(1, 1)}
+    named = {r["doc_id"]: (r["component_id"], r["kept"]) for r in near_duplicates(docs).collect() if r["doc_id"] is not None}
+    assert named == {4: (4, True), 5: (5, True), 6: (6, True), 7: (6, False), 8: (6, False), 9: (9, True), 10: (10, True)}
