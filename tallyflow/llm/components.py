@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,37 +38,41 @@ def _forest(batches):
         yield pa.RecordBatch.from_arrays([pa.array(node[move], pa.int64()), pa.array(low[move], pa.int64())], names=["a", "b"])
 
 
-def _whole_forest(batches):
-    """All links of a partition at once."""
-    held = [(b["a"].to_numpy(), b["b"].to_numpy()) for b in batches]
-    if held:
-        node, low = union_find(*(np.concatenate(x) for x in zip(*held, strict=True)))
-        yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(low, pa.int64())], names=["node", "component"])
-
-
-def components(links: DataFrame, scratch: Scratch, name: str, small: int = 200_000) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """`links` has a and b. Returns node and component, the smallest node it reaches, for every node with a link.
 
-    Up to `small` links that are left after each batch of links has been joined up are finished by one
-    union-find, a few megabytes in one task. More take alternating stars: a node sends its larger neighbours, then its smaller ones, to the smallest node it
-    knows. Minima are aggregated before the shuffle, so a node with very many links is no hot group.
+    Each batch of links is joined up by itself first. Then alternating stars: a node sends its larger neighbours,
+    then its smaller ones, to the smallest node it knows. Minima are aggregated before the shuffle, so a node with
+    very many links is no hot group.
     """
     low, high = F.least("a", "b"), F.greatest("a", "b")
-    stars = links.mapInArrow(_forest, "a long, b long").select(high.alias("a"), low.alias("b")).distinct()
-    stars = scratch.keep(stars, f"{name}-0")
-    if stars.count() <= small:
-        return scratch.keep(stars.coalesce(1).mapInArrow(_whole_forest, "node long, component long"), f"{name}-whole")
-    k, seen = 0, None
-    while True:
+    stars = scratch.keep(links.mapInArrow(_forest, "a long, b long").select(high.alias("a"), low.alias("b")).distinct(), f"{name}-0")
+    sign = [F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")]
+    seen = stars.agg(*sign).first()
+    for k in count(1):
         both = stars.select("a", "b").union(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         large = scratch.keep(large, f"{name}-{k}-large")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
-        k += 1
         stars = scratch.keep(small, f"{name}-{k}")
-        state = stars.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
+        state = stars.agg(*sign).first()
         if seen == state:
             return stars.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(stars.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
         seen = state
+
+
+def joined(groups: DataFrame | None, links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """Components of old `groups` (None: none) and more `links`; only the links between groups are followed."""
+    if groups is None:
+        return scratch.keep(components(links, scratch, name), f"{name}-all")
+    if not links.head(1):
+        return groups
+    for side in "ab":
+        known = groups.select(F.col("node").alias(side), F.col("component").alias("own"))
+        links = links.join(known, side, "left").withColumn(side, F.coalesce("own", side)).drop("own")
+    more = scratch.keep(components(scratch.keep(links.where("a <> b"), f"{name}-between"), scratch, f"{name}-new"), f"{name}-more")
+    moved = groups.join(more.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    fresh = more.join(groups, "node", "left_anti").select("node", "component")
+    return scratch.keep(moved.unionByName(fresh), f"{name}-all")

@@ -6,15 +6,23 @@ of a batch of texts; a text is done as soon as no slot is above the level, becau
 it. Bands of signature rows propose links, which are confirmed on the full shingle sets, and the confirmed
 links are grouped by union-find.
 
-Texts with the same shingle set are one class, so copies are never paired. Of a band's bucket, each class is
-first compared with one pivot; what is then in the same group needs no comparison. Among classes of one
-bucket that are still in different groups, those are compared further that can link at all: a class has at
-most as many shingles in common with another as it has shingles that any other such class holds, which
-rules out copies with many edits of their own; and a bit of each signature slot tells apart most sets below
-0.6, while one link in millions differs in as many. So no link between different texts is lost to a cap, and a
-large group of near copies costs about one comparison a member. With 40 bands of 6 rows a link at
-similarity 0.8 goes unproposed five times in a million, and one at 0.3 is proposed three times in a hundred.
-Band keys that one class alone has are told apart by packed exchange before any row is made of a key.
+Texts with the same shingle set are one class, so copies are never paired. Classes that share a band key are
+not paired with each other either:
+
+* Each is compared with the pivot of its key, the member that collides most. Members that link to it are one
+  group, which settles nearly all keys.
+* In a key that is still in several groups, at least one of any two members that are to be told apart is not
+  linked to the pivot. If two such members link, what they differ from the pivot in has to overlap by a number
+  of shingles that follows from the three sizes, so both hold a shared difference among their first few, rarest
+  first (a prefix filter on differences). Those differences are the keys of the next round. What a whole
+  group has in common is no difference, and an edit of one member alone is no key.
+* A key of at most `small` members is settled by comparing members of different groups directly. After
+  `rounds` rounds that holds for every key, which is exact, whatever its size.
+
+With 40 bands of 6 rows a link at similarity 0.8 goes unproposed five times in a million, and one at 0.3 is
+proposed three times in a hundred. `exact` takes the rarest shingles of each whole set for keys instead of
+bands (the same filter against an empty pivot), by which no link is lost. Band keys that one class alone has are told
+apart by packed exchange before any row is made of a key.
 
 Defined results: a null text or one without words has 0 shingles and no link; fewer words than a shingle are
 one shingle. Where ids repeat or are missing, every row is a node of its own while links are looked for, and
@@ -25,21 +33,19 @@ groups without any id, and of repeated rows; a text without words that has no id
 
 from __future__ import annotations
 
-import math
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import exchange
-from .components import components
+from .components import components, joined
 from .scratch import Scratch, shuffle_partitions
 from .textkit import LOWER, U64, WHITESPACE, Words, mix, pieces, text_bytes, windows
 
 BANDS, ROWS = 40, 6
-#: Words of 64 bits that hold a bit of each slot.
-WORDS = 4
 _GOLDEN = U64(0x9E3779B97F4A7C15)
 
 
@@ -111,12 +117,10 @@ def _sketch(size: int):
                 d1, d2 = (s[bound[1:]] - s[bound[:-1]] for s in sums)
                 signature = signatures(keys, bound, BANDS * ROWS)
                 bands = _bands(signature).view(np.int64)
-                part = np.pad(mix(signature) & U64(1), ((0, 0), (0, 64 * WORDS - BANDS * ROWS))).astype(np.uint8)
-                words = np.packbits(part, axis=1).view(np.int64).reshape(-1)
                 at = pa.array(np.arange(len(n) + 1, dtype=np.int32) * BANDS)
                 yield pa.RecordBatch.from_arrays(
-                    [piece["doc_id"], pa.array(n.astype(np.int64)), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.ListArray.from_arrays(at, pa.array(bands.reshape(-1))), pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * WORDS), pa.array(words))],
-                    names=["doc_id", "n_shingles", "d1", "d2", "bands", "bits"],
+                    [piece["doc_id"], pa.array(n.astype(np.int64)), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.ListArray.from_arrays(at, pa.array(bands.reshape(-1)))],
+                    names=["doc_id", "n_shingles", "d1", "d2", "bands"],
                 )
 
     return sketch
@@ -149,15 +153,26 @@ def _confirm(percent: int):
     return confirm
 
 
-def most_apart(percent: int) -> int:
-    """How many of the slots' bits may differ: of two sets at the threshold half of the slots that differ do, and five deviations more."""
-    differ = (1 - percent / 100) / 2
-    slots = BANDS * ROWS
-    return math.ceil(slots * differ + 5 * math.sqrt(slots * differ * (1 - differ)))
+_DIFFERENCE = "rep long, pivot long, n long, n_pivot long, d long, token long"
+
+
+def _differences(batches):
+    """A row for each shingle that only one of the sets held_a (rep) and held_b (pivot) has."""
+    for batch in batches:
+        rows, n, m, d, token = [np.zeros(0, np.int64)], [], [], [], [np.zeros(0, np.uint64)]
+        for k, (x, y) in enumerate(zip(batch["held_a"].to_pylist(), batch["held_b"].to_pylist(), strict=True)):
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            one = np.setxor1d(x, y, assume_unique=True)
+            rows.append(np.full(len(one), k))
+            token.append(one)
+            n.append(len(x)), m.append(len(y)), d.append(len(one))
+        at = np.concatenate(rows)
+        counts = [pa.array(np.array(c, np.int64)[at]) for c in (n, m, d)]
+        yield pa.RecordBatch.from_arrays([batch["a"].take(pa.array(at)), batch["b"].take(pa.array(at)), *counts, pa.array(np.concatenate(token).view(np.int64))], names=["rep", "pivot", "n", "n_pivot", "d", "token"])
 
 
 def _members(reps: DataFrame) -> DataFrame:
-    """For (rep, n_shingles, bands, bits): rep, n_shingles, bits and key for every band key that another class has too."""
+    """For (rep, n, bands): rep, n and key for every band key that another class has too."""
     parts = shuffle_partitions(reps.sparkSession)
     dealt = exchange.bucketed(reps, "rep").groupBy("bucket")
 
@@ -172,96 +187,104 @@ def _members(reps: DataFrame) -> DataFrame:
         own = flat(table["bands"])
         hit = np.flatnonzero(found[np.minimum(np.searchsorted(found, own), len(found) - 1)] == own) if len(found) else np.zeros(0, np.int64)
         at = pa.array(hit // BANDS)
-        return pa.table([table["rep"].take(at), table["n_shingles"].take(at), table["bits"].take(at), pa.array(own[hit])], names=["rep", "n_shingles", "bits", "key"])
+        return pa.table([table["rep"].take(at), table["n"].take(at), pa.array(own[hit])], names=["rep", "n", "key"])
 
     shared = exchange.repeated(dealt.applyInArrow(send, exchange.SENT), 1)
-    return dealt.cogroup(shared.groupBy("bucket")).applyInArrow(rows, "rep long, n_shingles long, bits array<long>, key long")
-
+    return dealt.cogroup(shared.groupBy("bucket")).applyInArrow(rows, "rep long, n long, key long")
 
-def _common(sets: DataFrame) -> DataFrame:
-    """For each of the given sets: rep, common, how many of its shingles any other of them holds."""
-    parts = shuffle_partitions(sets.sparkSession)
-    dealt = exchange.bucketed(sets, "doc_id").groupBy("bucket")
 
-    def send(key, table):
-        return exchange.send(exchange.unpack(exchange.rows(table, "held"), 1), key[0].as_py(), parts)
-
-    def count(key, table, repeated):
-        shared = exchange.unpack(exchange.rows(repeated, "found"), 1)
-        size = np.array([len(x) // 8 for x in table["held"].to_pylist()], np.int64)
-        hit = exchange.member(exchange.unpack(exchange.rows(table, "held"), 1), shared)
-        total = np.concatenate(([0], np.cumsum(hit)))[np.concatenate(([0], np.cumsum(size)))]
-        return pa.table({"rep": table["doc_id"], "common": np.diff(total)})
+def _difference_keys(rows: DataFrame, percent: int) -> DataFrame:
+    """rep, n, key, role, d and common for differences from a pivot (see `_DIFFERENCE`): links among members that are not both linked to it share a key.
 
-    shared = exchange.repeated(dealt.applyInArrow(send, exchange.SENT), 1)
-    return dealt.cogroup(shared.groupBy("bucket")).applyInArrow(count, "rep long, common long").groupBy("rep").agg(F.max("common").alias("common"))
-
-
-def _near(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", pairs_a_member: int = 4, pivot_rounds: int = 2, broadcast_ids: int = 500_000) -> DataFrame:
-    """`near_duplicates` of documents whose ids are all there and all different.
-
-    After a pivot round, the pairs left are compared at once if there are at most `pairs_a_member` for each bucket
-    member, or after `pivot_rounds` rounds in any case. Up to `broadcast_ids` ids (8 bytes each) are broadcast.
+    A and B link if d_A + d_B - 2 |overlap of their differences| <= q (n_A + n_B), where q is (1 - similarity) /
+    (1 + similarity). If B is not linked to the pivot P, twice the overlap thus exceeds d_A + q (n_P - n_A); and if
+    A is linked to P, it is at least d_B - q (n_B + n_P). So many fewer of the differences, rarest first, have to
+    meet: `core` by the first bound, `long` by the second. Role 2: core and linked; 1: core and not linked; 0: only
+    long. Roles of a pair that may link sum to 2 or more. The overlap is at most `common`, the differences that any
+    other member has too, so a key is only kept for A if one of its members could be near enough.
     """
+    up, down = 100 + percent, 100 - percent
+    shared = rows.join(rows.groupBy("pivot", "token").agg(F.count("*").alias("df")).where("df > 1"), ["pivot", "token"])
+    own = Window.partitionBy("pivot", "rep")
+    # a difference that no other member has comes first and is no key
+    placed = shared.withColumn("common", F.count("*").over(own)).withColumn("at", F.expr("d - common") + F.row_number().over(own.orderBy("df", "token")))
+    first = F.expr(f"floor(({up} * d + {down} * (n_pivot - n)) / {2 * up}D) + 1")
+    second = F.expr(f"greatest(1, ceil(({up} * d - {down} * (n + n_pivot)) / {2 * up}D))")
+    linked = F.expr(f"{up} * d <= {down} * (n + n_pivot)")
+    core, long = F.col("at") <= F.col("d") - first + 1, F.col("at") <= F.col("d") - second + 1
+    placed = placed.withColumn("role", F.when(core, F.when(linked, 2).otherwise(1)).when(long & ~linked, 0)).where("role is not null")
+    placed = placed.withColumn("away", F.expr(f"{up} * d - {down} * n")).withColumn("reach", F.expr(f"{up} * (2 * common - d) + {down} * n"))
+    held = placed.groupBy("pivot", "token").agg(F.max("reach").alias("farthest"))
+    placed = placed.join(held, ["pivot", "token"]).where("away <= farthest")
+    held = placed.groupBy("pivot", "token").agg(F.expr("count_if(role = 2)").alias("linked"), F.expr("count_if(role = 1)").alias("loose"), F.expr("count_if(role < 2)").alias("all"))
+    held = held.where("(linked > 0 and all > 0) or loose > 1")
+    placed = placed.join(held, ["pivot", "token"]).where("role = 1 or (role = 2 and all > 0) or (role = 0 and linked > 0)")
+    return placed.select("rep", "n", F.xxhash64("pivot", "token").alias("key"), "role", "d", "common")
+
+
+def _with_pivots(members: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """Members of keys that two or more have, with the key's `size` and its `pivot`, the member that meets most others in all its keys."""
+    sizes = members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    sized = scratch.keep(members.join(sizes, "key"), f"{name}-sized")
+    meets = sized.groupBy("rep").agg(F.sum("size").alias("meets"))
+    first = sized.join(meets, "rep").groupBy("key").agg(F.min(F.struct((-F.col("meets")).alias("order"), F.col("rep"))).alias("first"))
+    return scratch.keep(sized.join(first.select("key", F.col("first.rep").alias("pivot")), "key"), f"{name}-pivots")
+
+
+def _paired(a: Column | str, b: Column | str) -> list[Column]:
+    return [F.greatest(a, b).alias("a"), F.least(a, b).alias("b")]
+
+
+def _near(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", small: int = 32, rounds: int = 6, exact: bool = False) -> DataFrame:
+    """`near_duplicates` of documents whose ids are all there and all different."""
     scratch = Scratch(docs.sparkSession, "near-duplicates")
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sketches = scratch.keep(base.mapInArrow(_sketch(shingle), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, bits array<long>"), "sketches")
+    sketches = scratch.keep(base.mapInArrow(_sketch(shingle), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"), "sketches")
     some = sketches.where("n_shingles > 0 and doc_id is not null")
     classes = scratch.keep(some.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = some.join(classes.withColumnRenamed("rep", "doc_id"), ["d1", "d2", "n_shingles", "doc_id"], "left_semi").select(F.col("doc_id").alias("rep"), "n_shingles", "bands", "bits")
-    shared = scratch.keep(_members(reps.dropDuplicates(["rep"])), "shared")
-    members = scratch.keep(shared.join(shared.groupBy("key").agg(F.min("rep").alias("pivot")), "key"), "members")
-
-    wanted = scratch.keep(members.select(F.col("rep").alias("doc_id")).distinct(), "wanted")
-    # The texts need not be shuffled to find the wanted ones while their ids are a few megabytes.
-    wanted = F.broadcast(wanted) if wanted.count() <= broadcast_ids else wanted
-    sets = scratch.keep(base.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(shingle), "doc_id long, held binary"), "sets")
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        """Only the sets that are compared move, while the pairs are few."""
-        few = pairs.count() <= broadcast_ids
-        hint = F.broadcast if few else (lambda d: d)
-        left = sets.toDF("a", "held_a").join(hint(pairs.select("a", "b")), "a")
-        right = sets.toDF("b", "held_b").join(hint(pairs.select("b").distinct()), "b", "left_semi") if few else sets.toDF("b", "held_b")
-        return left.join(right, "b").select("a", "b", "held_a", "held_b").mapInArrow(_confirm(percent), "a long, b long")
-
-    # Each class with the smallest pivot of its buckets; the others only if that leaves them in different groups.
-    first = members.groupBy("rep").agg(F.min("pivot").alias("pivot")).where("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b"))
-    tested = scratch.keep(first, "tested-0")
-    links = scratch.keep(confirmed(tested), "links-0")
-    groups, live, k = components(links, scratch, "groups-0"), None, 0
-    while True:
-        k += 1
-        now = (members.drop("pivot") if live is None else live).join(groups.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        apart = now.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("n"), (F.pow(F.sum("c"), 2) - F.sum(F.col("c") * F.col("c"))).alias("pairs"), F.count("*").alias("groups")).where("groups > 1")
-        apart = scratch.keep(apart, f"apart-{k}")
-        now = scratch.keep(now.join(apart.select("key"), "key", "left_semi"), f"now-{k}")
-        if live is None:
-            common = scratch.keep(_common(sets.join(now.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")), "common")
-            live = scratch.keep(now.drop("component").join(common, "rep").where(F.expr(f"100 * common >= {percent} * n_shingles")), "live")
-            continue
-        left = apart.agg(F.sum("n").alias("n"), (F.sum("pairs") / 2).alias("pairs")).first()
-        if not left["n"]:
-            break
-        every = left["pairs"] <= pairs_a_member * left["n"] or k > pivot_rounds
-        if every:
-            against = now
-        else:
-            order = F.struct(F.xxhash64("rep", F.lit(k)), "rep", "n_shingles", "bits", "component", "common")
-            against = now.groupBy("key").agg(F.min(order).alias("p")).select("key", "p.*")
-        sides = [d.select("key", *(F.col(c).alias(f"{n}_{s}") for c, n in (("rep", "r"), ("n_shingles", "n"), ("bits", "s"), ("component", "g"), ("common", "m")))) for d, s in ((now, "a"), (against, "b"))]
-        close = F.expr(f"100 * least(m_a, m_b) >= {percent} * (n_a + n_b - least(m_a, m_b))") & F.expr(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-        alike = sum((F.bit_count(F.col("s_a")[w].bitwiseXOR(F.col("s_b")[w])) for w in range(WORDS)), F.lit(0)) <= most_apart(percent)
-        pairs = sides[0].join(sides[1], "key").where("g_a <> g_b").where(close & alike).where("r_a > r_b" if every else "true")
-        pairs = pairs.select(F.greatest("r_a", "r_b").alias("a"), F.least("r_a", "r_b").alias("b")).distinct()
-        pairs = scratch.keep(pairs.join(tested, ["a", "b"], "left_anti"), f"tested-{k}")
-        more = scratch.keep(confirmed(pairs), f"links-{k}")
-        tested, links = tested.union(pairs), links.union(more)
-        if more.head(1):
-            groups = components(links, scratch, f"groups-{k}")
-        if every:
+    reps = some.join(classes.withColumnRenamed("rep", "doc_id"), ["d1", "d2", "n_shingles", "doc_id"], "left_semi").select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "bands")
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        """The texts meet the wanted ids by a shuffle at every size; only sets of the wanted are written."""
+        wanted = base.join(ids.select(F.col("rep").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi")
+        return scratch.keep(wanted.mapInArrow(_sets(shingle), "doc_id long, held binary"), "sets")
+
+    if exact:
+        sets = sets_of(reps)
+        whole = sets.select(F.col("doc_id").alias("a"), F.lit(None).cast("long").alias("b"), F.col("held").alias("held_a"), F.lit(b"").alias("held_b"))
+        rows = scratch.keep(whole.mapInArrow(_differences, _DIFFERENCE).withColumn("pivot", F.lit(-1)), "shingles")
+        members = _difference_keys(rows, percent)
+    else:
+        members = scratch.keep(_members(reps), "members").withColumns({"role": F.lit(1), "d": F.lit(0).cast("long"), "common": F.lit(0).cast("long")})
+        sets = sets_of(members)
+
+    def with_sets(pairs: DataFrame) -> DataFrame:
+        left = sets.toDF("a", "held_a").join(pairs.hint("merge"), "a")
+        return left.join(sets.toDF("b", "held_b").hint("merge"), "b").select("a", "b", "held_a", "held_b")
+
+    fit = F.expr(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b) and {100 + percent} * (d_a + d_b - 2 * least(common_a, common_b)) <= {100 - percent} * (n_a + n_b)")
+    live = _with_pivots(members, scratch, "round-0")
+    direct, tested, groups = None, None, None
+    for k in count(1):
+        pairs = live.where("rep <> pivot").select(*_paired("rep", "pivot"))
+        pairs = (pairs if direct is None else pairs.union(direct)).distinct()
+        pairs = scratch.keep(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), f"pairs-{k}")
+        tested = pairs if tested is None else tested.union(pairs)
+        links = scratch.keep(with_sets(pairs).mapInArrow(_confirm(percent), "a long, b long"), f"links-{k}")
+        groups = joined(groups, links, scratch, f"groups-{k}")
+        now = live.join(groups.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        apart = now.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+        now = scratch.keep(now.join(apart.select("key"), "key", "left_semi"), f"apart-{k}")
+        if not now.head(1):
             break
-    placed = sketches.drop("bands", "bits").join(classes, ["d1", "d2", "n_shingles"], "left").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
+        few = F.col("size") <= small if k < rounds else F.lit(True)
+        sides = [now.where(few).select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "n", "component", "role", "d", "common"))) for s in "ab"]
+        direct = sides[0].join(sides[1], "key").where("rep_a > rep_b and component_a <> component_b and role_a + role_b >= 2").where(fit)
+        direct = direct.select(*_paired("rep_a", "rep_b"))
+        many = now.where(~few & (F.col("rep") != F.col("pivot"))).select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
+        rows = scratch.keep(with_sets(many).mapInArrow(_differences, _DIFFERENCE), f"differences-{k}")
+        live = _with_pivots(_difference_keys(rows, percent), scratch, f"round-{k}")
+    placed = sketches.drop("bands").join(classes, ["d1", "d2", "n_shingles"], "left").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
     placed = placed.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")))
     return placed.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
