@@ -24,11 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .identity import DOCUMENT as _DOC
+from .identity import doc_id, document
 from .scratch import Scratch
 from .textkit import LOWER, NON_ALNUM, Words, pieces, text_bytes
 
-_DOC = ["ord", "text_hash"]
-_LAST = (1 << 63) - 1
 
 
 def _words(texts: pa.Array) -> tuple[Words, np.ndarray]:
@@ -152,7 +152,7 @@ class Block:
 
 
 def _prepared(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, block_words: int, id_col: str, text_col: str, item_col: str) -> tuple[DataFrame, list[DataFrame]]:
-    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("ord"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    base = docs.select(*document(F.col(id_col), F.col(text_col)), F.col(text_col).alias("text"))
     items = benchmark.select(F.monotonically_increasing_id().alias("item"), F.col(item_col).cast("string").alias("item_id"), F.col("text"))
     items = scratch.keep(items.mapInArrow(_item_words, "item long, item_id string, size int, at int, word long"), "items")
     blocks = -(-items.count() // block_words)
@@ -168,8 +168,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
     count = hits.groupBy(*_DOC).agg(F.countDistinct("pos").alias("n_hit"), F.array_sort(F.collect_set("item_id")).alias("items"))
     every = made[0][0].postings.where("word = 0").select(*_DOC, "n_words")
     out = every.join(count, _DOC, "left").withColumn("n_hit", F.coalesce("n_hit", F.lit(0)).cast("long")).withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
-    doc_id = F.when(F.col("ord") != _LAST, F.col("ord")).alias("doc_id")
-    return out.select(doc_id, "text_hash", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", (F.col("n_hit") > 0).alias("contaminated"))
+    return out.select(doc_id().alias("doc_id"), "text_hash", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def near_phrases(docs: DataFrame, benchmark: DataFrame, window: int = 10, slack: int = 2, block_words: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
@@ -177,4 +176,4 @@ def near_phrases(docs: DataFrame, benchmark: DataFrame, window: int = 10, slack:
     scratch = Scratch(docs.sparkSession, "near-phrases")
     base, blocks = _prepared(docs, benchmark, scratch, block_words, id_col, text_col, item_col)
     found = [Block(base, items, window, scratch, f"block{k}", slack).near(items, slack) for k, items in enumerate(blocks)]
-    return reduce(DataFrame.union, found).select(F.when(F.col("ord") != _LAST, F.col("ord")).alias("doc_id"), "item_id", "start", "first_pos", "last_pos")
+    return reduce(DataFrame.union, found).select(doc_id().alias("doc_id"), "item_id", "start", "first_pos", "last_pos")

@@ -10,25 +10,20 @@ deletion, so doubling stops there; longer repeated runs are unions of such class
 A run counts if it has `min_lines` lines, or is one line of at least `min_chars` characters.
 
 Defined results: a null text has no lines; an empty text has one empty line; rows equal in id and text are
-one document, and share its decisions; a null doc_id comes last in the order; other columns are kept.
+one document, and share its decisions; a null doc_id comes last in the order; other columns are kept,
+but for columns named n_lines, n_removed, n_runs or kept_text, which the results replace.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .identity import DOCUMENT as _DOC
+from .identity import document, free_prefix
 from .scratch import Scratch
 
 
-_DOC = ["ord", "text_hash"]
-_LAST = (1 << 63) - 1
-
-
-def _document(id_col: str, text_col: str) -> list[Column]:
-    return [F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("ord"), F.xxhash64(text_col).alias("text_hash")]
-
-
 def _tied(rows: DataFrame, keys: tuple[str, str], scratch: Scratch, name: str) -> DataFrame:
     """Rows whose key pair occurs more than once, with `rank`, the pair's place in the order of all such pairs, and `first`, its first position."""
     a, b = keys
@@ -67,7 +62,7 @@ def dedup_lines(docs: DataFrame, min_lines: int = 3, min_chars: int = 60, id_col
     """`docs` with n_lines, n_removed, n_runs and kept_text, the text without later copies of repeated lines."""
     scratch = Scratch(docs.sparkSession, "line-dedup")
     line = F.col("line")
-    lines = docs.select(*_document(id_col, text_col), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("pos", "line")).select(
+    lines = docs.select(*document(F.col(id_col), F.col(text_col)), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("pos", "line")).select(
         *_DOC, "pos", F.xxhash64("line").alias("id1"), F.xxhash64(F.lit(7), line).alias("id2"), (F.length(line) >= min_chars).alias("long")
     )
     levels = repeated_runs(lines, min_lines, scratch)
@@ -75,9 +70,11 @@ def dedup_lines(docs: DataFrame, min_lines: int = 3, min_chars: int = 60, id_col
     single = levels[1].where(F.col("long") & later).select(*_DOC, "pos")
     run = levels[min_lines].where(later).select(*_DOC, F.explode(F.sequence(F.col("pos"), F.col("pos") + (min_lines - 1))).alias("pos"))
     removed = single.unionByName(run).groupBy(*_DOC).agg(F.collect_set("pos").alias("gone"))
-    out = docs.withColumns(dict(zip(("_ord", "_hash"), _document(id_col, text_col), strict=True)))
-    out = out.join(removed.select(F.col("ord").alias("_ord"), F.col("text_hash").alias("_hash"), F.array_sort("gone").alias("_gone")), ["_ord", "_hash"], "left")
-    gone = F.coalesce("_gone", F.array().cast("array<int>"))
+    own = free_prefix(docs.columns, "_lines_")
+    names = [own + c for c in _DOC]
+    out = docs.withColumns(dict(zip(names, document(F.col(id_col), F.col(text_col)), strict=True)))
+    out = out.join(removed.select(*(F.col(c).alias(n) for c, n in zip(_DOC, names, strict=True)), F.array_sort("gone").alias(own + "gone")), names, "left")
+    gone = F.coalesce(own + "gone", F.array().cast("array<int>"))
     held = F.split(F.col(text_col), "\n", -1)
     # gone is sorted, so the first line of a removed run is one whose predecessor is not removed
     starts = F.size(F.array_except(gone, F.transform(gone, lambda p: p + 1)))
@@ -88,4 +85,4 @@ def dedup_lines(docs: DataFrame, min_lines: int = 3, min_chars: int = 60, id_col
     kept = F.when(F.size(gone) == 0, F.col(text_col)).otherwise(F.array_join(F.flatten(pieces), "\n"))
     return out.withColumns(
         {"n_lines": F.when(F.col(text_col).isNull(), 0).otherwise(F.size(held)).cast("long"), "n_removed": F.size(gone).cast("long"), "n_runs": starts.cast("long"), "kept_text": kept}
-    ).drop("_ord", "_hash", "_gone")
+    ).drop(*names, own + "gone")

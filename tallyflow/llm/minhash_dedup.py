@@ -9,8 +9,8 @@ links are grouped by union-find.
 Texts with the same shingle set are one class, so copies are never paired. Classes that share a band key are
 not paired with each other either:
 
-* Each is compared with the pivot of its key, the member that collides most. Members that link to it are one
-  group, which settles nearly all keys.
+* Each is compared with the pivot of its key, the member that collides most or, for a large key, the one that
+  collides most among the pivots of its members. Those that link to it are one group, which settles nearly all keys.
 * In a key that is still in several groups, at least one of any two members that are to be told apart is not
   linked to the pivot. If two such members link, what they differ from the pivot in has to overlap by a number
   of shingles that follows from the three sizes, so both hold a shared difference among their first few, rarest
@@ -33,6 +33,7 @@ groups without any id, and of repeated rows; a text without words that has no id
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import count
 
 import numpy as np
@@ -193,7 +194,7 @@ def _members(reps: DataFrame) -> DataFrame:
     return dealt.cogroup(shared.groupBy("bucket")).applyInArrow(rows, "rep long, n long, key long")
 
 
-def _difference_keys(rows: DataFrame, percent: int) -> DataFrame:
+def _difference_keys(rows: DataFrame, percent: int, scratch: Scratch, name: str) -> DataFrame:
     """rep, n, key, role, d and common for differences from a pivot (see `_DIFFERENCE`): links among members that are not both linked to it share a key.
 
     A and B link if d_A + d_B - 2 |overlap of their differences| <= q (n_A + n_B), where q is (1 - similarity) /
@@ -214,28 +215,38 @@ def _difference_keys(rows: DataFrame, percent: int) -> DataFrame:
     core, long = F.col("at") <= F.col("d") - first + 1, F.col("at") <= F.col("d") - second + 1
     placed = placed.withColumn("role", F.when(core, F.when(linked, 2).otherwise(1)).when(long & ~linked, 0)).where("role is not null")
     placed = placed.withColumn("away", F.expr(f"{up} * d - {down} * n")).withColumn("reach", F.expr(f"{up} * (2 * common - d) + {down} * n"))
+    placed = scratch.keep(placed.select("pivot", "token", "rep", "n", "d", "common", "role", "away", "reach"), f"{name}-placed")
     held = placed.groupBy("pivot", "token").agg(F.max("reach").alias("farthest"))
     placed = placed.join(held, ["pivot", "token"]).where("away <= farthest")
+    placed = scratch.keep(placed, f"{name}-near")
     held = placed.groupBy("pivot", "token").agg(F.expr("count_if(role = 2)").alias("linked"), F.expr("count_if(role = 1)").alias("loose"), F.expr("count_if(role < 2)").alias("all"))
     held = held.where("(linked > 0 and all > 0) or loose > 1")
     placed = placed.join(held, ["pivot", "token"]).where("role = 1 or (role = 2 and all > 0) or (role = 0 and linked > 0)")
-    return placed.select("rep", "n", F.xxhash64("pivot", "token").alias("key"), "role", "d", "common")
+    return scratch.keep(placed.select("rep", "n", F.xxhash64("pivot", "token").alias("key"), "role", "d", "common"), f"{name}-keys")
 
 
-def _with_pivots(members: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """Members of keys that two or more have, with the key's `size` and its `pivot`, the member that meets most others in all its keys."""
+def _with_pivots(members: DataFrame, small: int, scratch: Scratch, name: str) -> DataFrame:
+    """Members of keys that two or more have, with the key's `size` and its `pivot`.
+
+    The pivot is the member that meets most others in all its keys. A key of more than `small` members takes the
+    best pivot that any member has in any of its keys, so that a large group has few pivots.
+    """
     sizes = members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     sized = scratch.keep(members.join(sizes, "key"), f"{name}-sized")
     meets = sized.groupBy("rep").agg(F.sum("size").alias("meets"))
-    first = sized.join(meets, "rep").groupBy("key").agg(F.min(F.struct((-F.col("meets")).alias("order"), F.col("rep"))).alias("first"))
-    return scratch.keep(sized.join(first.select("key", F.col("first.rep").alias("pivot")), "key"), f"{name}-pivots")
+    best = sized.join(meets, "rep").groupBy("key").agg(F.min(F.struct((-F.col("meets")).alias("order"), F.col("rep"))).alias("first"))
+    large = scratch.keep(sized.join(best, "key"), f"{name}-firsts")
+    of_rep = large.where(F.col("size") > small).groupBy("rep").agg(F.min("first").alias("known"))
+    better = large.where(F.col("size") > small).join(of_rep, "rep").groupBy("key").agg(F.min("known").alias("known"))
+    pivot = F.coalesce("known.rep", "first.rep").alias("pivot")
+    return scratch.keep(large.join(better, "key", "left").select(*sized.columns, pivot), f"{name}-pivots")
 
 
 def _paired(a: Column | str, b: Column | str) -> list[Column]:
     return [F.greatest(a, b).alias("a"), F.least(a, b).alias("b")]
 
 
-def _near(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", small: int = 32, rounds: int = 6, exact: bool = False) -> DataFrame:
+def _near(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", small: int = 32, rounds: int = 3, exact: bool = False) -> DataFrame:
     """`near_duplicates` of documents whose ids are all there and all different."""
     scratch = Scratch(docs.sparkSession, "near-duplicates")
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -253,7 +264,7 @@ def _near(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "d
         sets = sets_of(reps)
         whole = sets.select(F.col("doc_id").alias("a"), F.lit(None).cast("long").alias("b"), F.col("held").alias("held_a"), F.lit(b"").alias("held_b"))
         rows = scratch.keep(whole.mapInArrow(_differences, _DIFFERENCE).withColumn("pivot", F.lit(-1)), "shingles")
-        members = _difference_keys(rows, percent)
+        members = _difference_keys(rows, percent, scratch, "round-0")
     else:
         members = scratch.keep(_members(reps), "members").withColumns({"role": F.lit(1), "d": F.lit(0).cast("long"), "common": F.lit(0).cast("long")})
         sets = sets_of(members)
@@ -263,15 +274,17 @@ def _near(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "d
         return left.join(sets.toDF("b", "held_b").hint("merge"), "b").select("a", "b", "held_a", "held_b")
 
     fit = F.expr(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b) and {100 + percent} * (d_a + d_b - 2 * least(common_a, common_b)) <= {100 - percent} * (n_a + n_b)")
-    live = _with_pivots(members, scratch, "round-0")
+    live = _with_pivots(members, small, scratch, "round-0")
     direct, tested, groups = None, None, None
     for k in count(1):
-        pairs = live.where("rep <> pivot").select(*_paired("rep", "pivot"))
-        pairs = (pairs if direct is None else pairs.union(direct)).distinct()
+        ways = ([] if direct is None else [direct]) + ([] if live is None else [live.where("rep <> pivot").select(*_paired("rep", "pivot"))])
+        pairs = reduce(DataFrame.union, ways).distinct()
         pairs = scratch.keep(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), f"pairs-{k}")
         tested = pairs if tested is None else tested.union(pairs)
         links = scratch.keep(with_sets(pairs).mapInArrow(_confirm(percent), "a long, b long"), f"links-{k}")
         groups = joined(groups, links, scratch, f"groups-{k}")
+        if live is None:
+            break
         now = live.join(groups.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         apart = now.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
         now = scratch.keep(now.join(apart.select("key"), "key", "left_semi"), f"apart-{k}")
@@ -281,9 +294,12 @@ def _near(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "d
         sides = [now.where(few).select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "n", "component", "role", "d", "common"))) for s in "ab"]
         direct = sides[0].join(sides[1], "key").where("rep_a > rep_b and component_a <> component_b and role_a + role_b >= 2").where(fit)
         direct = direct.select(*_paired("rep_a", "rep_b"))
+        live = None
+        if not now.where(~few).head(1):
+            continue
         many = now.where(~few & (F.col("rep") != F.col("pivot"))).select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
         rows = scratch.keep(with_sets(many).mapInArrow(_differences, _DIFFERENCE), f"differences-{k}")
-        live = _with_pivots(_difference_keys(rows, percent), scratch, f"round-{k}")
+        live = _with_pivots(_difference_keys(rows, percent, scratch, f"round-{k}"), small, scratch, f"round-{k}")
     placed = sketches.drop("bands").join(classes, ["d1", "d2", "n_shingles"], "left").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
     placed = placed.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")))
     return placed.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))

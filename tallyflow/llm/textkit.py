@@ -1,7 +1,9 @@
 """Vectorised words and fingerprints over batches of UTF-8 text.
 
-A batch is one byte array with document offsets. Fingerprints are polynomials modulo 2^64 over
-prefix sums, so the hash of any span or word window costs O(1) once the batch is summed.
+A batch is one byte array with document offsets. A word's fingerprint is a sum over its eight-byte chunks,
+each scrambled together with its place, so words of any length take one pass and no two patterns of bytes
+cancel out. Windows of words are polynomials modulo 2^64 in these fingerprints over prefix sums, so that any
+window costs O(1) once the batch is summed; such a sum can only cancel by its form over a thousand words.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-#: Odd multipliers: (bytes, words) for each of the two independent hash families.
+#: Odd numbers, (chunk places, window multiplier), for each of the two independent hash families.
 _BASES = ((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F), (0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -22,6 +24,8 @@ NON_ALNUM = np.zeros(256, bool)
 NON_ALNUM[[*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
+#: The first k bytes of eight, for k = 0 to 8.
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -107,9 +111,17 @@ class Words:
         self.counts = np.diff(self.first)
 
     def hashes(self, family: int = 0) -> np.ndarray:
-        base = _BASES[family][0]
-        sums = _sums(self.data.astype(U64) + U64(1), base)
-        return mix(_spans(sums, base, self.starts, self.ends) + (self.ends - self.starts).astype(U64))
+        place = U64(_BASES[family][0])
+        size = self.ends - self.starts
+        if not len(size):
+            return np.zeros(0, U64)
+        chunks = (size + 7) >> 3
+        first = np.concatenate(([0], np.cumsum(chunks)[:-1]))
+        k = np.arange(chunks.sum()) - np.repeat(first, chunks)
+        # eight bytes from every chunk's start, those beyond the word masked out
+        eights = np.ndarray(len(self.data), "<u8", np.concatenate((self.data, np.zeros(8, np.uint8))), strides=(1,))
+        held = eights[np.repeat(self.starts, chunks) + (k << 3)] & _MASKS[np.minimum(np.repeat(size, chunks) - (k << 3), 8)]
+        return mix(np.add.reduceat(mix(mix(held) + (k + 1).astype(U64) * place), first) + size.astype(U64))
 
     def window_starts(self, size: int) -> np.ndarray:
         """Indexes of the words at which a window of `size` words of one document starts."""
@@ -117,11 +129,6 @@ class Words:
         return np.flatnonzero(left >= size)
 
 
-def byte_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, family: int = 0) -> np.ndarray:
-    base = _BASES[family][0]
-    return mix(_spans(_sums(data.astype(U64) + U64(1), base), base, starts, ends))
-
-
 def windows(values: np.ndarray, at: np.ndarray, size: int | np.ndarray, family: int = 0) -> np.ndarray:
     """Fingerprint of `size` consecutive values from each index of `at`."""
     base = _BASES[family][1]
@@ -134,14 +141,3 @@ def covered(at: np.ndarray, size: int | np.ndarray, n: int) -> np.ndarray:
     np.add.at(steps, at, 1)
     np.add.at(steps, at + size, -1)
     return np.cumsum(steps[:-1]) > 0
-
-
-def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the maximal runs of True."""
-    step = np.diff(np.concatenate(([0], mask.view(np.int8), [0])))
-    return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
-
-
-def distinct_sorted(values: np.ndarray) -> np.ndarray:
-    values = np.sort(values)
-    return values[np.concatenate(([True], values[1:] != values[:-1]))] if len(values) else values

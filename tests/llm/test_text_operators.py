@@ -14,7 +14,7 @@ from tallyflow.llm.substring_dedup import dedup_substrings
 from tallyflow.llm.suffix_dedup import dedup_bytes
 
 #: Column names that the operators use inside, as extra columns of their input.
-CLASHING = ("bucket", "part", "ord", "text_hash", "pos", "rank", "word", "key", "rep", "pid", "weight", "kept_text", "n", "component", "found")
+CLASHING = ("bucket", "part", "ord", "text_hash", "pos", "rank", "word", "key", "rep", "pid", "weight", "kept_text", "n", "component", "found", "_gone", "_ord", "_hash", "_lines_ord", "n_lines", "text_id")
 
 
 def frame(spark, rows, extra=True):
@@ -62,7 +62,7 @@ def test_suffix_dedup(spark, length):
 
 def test_line_dedup(spark):
     rows = corpus()
-    got = dedup_lines(frame(spark, rows).drop("kept_text")).select("doc_id", "n_lines", "n_removed", "n_runs", "kept_text").collect()
+    got = dedup_lines(frame(spark, rows)).select("doc_id", "n_lines", "n_removed", "n_runs", "kept_text").collect()
     assert sorted(map(tuple, got), key=str) == sorted(brute.lines(rows), key=str)
 
 
@@ -101,6 +101,26 @@ def test_decontamination(spark):
     assert sorted(map(tuple, got), key=str) == sorted(brute.contaminated(rows, bench), key=str)
 
 
+def test_decontamination_of_repeated_null_and_largest_ids(spark):
+    last = (1 << 63) - 1
+    rows = [(1, "said once before"), (1, "said once before"), (1, "never"), (None, "said once before"), (None, "never"), (last, "said once before"), (last, None)]
+    got = decontaminate(frame(spark, rows), spark.createDataFrame([(8, "once before")], "item_id long, text string")).select("doc_id", "n_words", "n_hit", "n_items", F.array_join("items", ","), "contaminated")
+    assert sorted(map(tuple, got.distinct().collect()), key=str) == sorted(set(brute.contaminated(rows, [(8, "once before")])), key=str)
+
+
+def test_words_of_two_thousand_bytes_that_cancel_out_in_a_polynomial(spark):
+    a = "a"
+    while len(a) < 2048:
+        a += a.translate({97: 98, 98: 97})
+    b = a.translate({97: 98, 98: 97})
+    common = " ".join(f"w{i}" for i in range(34))
+    rows = [(1, f"{a} {common}"), (2, f"{b} {common}"), (3, a), (4, b)]
+    assert {r["doc_id"]: r["n_removed"] for r in dedup_substrings(frame(spark, rows)).collect()} == dict.fromkeys((1, 2, 3, 4), 0)
+    found = decontaminate(frame(spark, rows), spark.createDataFrame([(8, a)], "item_id long, text string")).collect()
+    assert {r["doc_id"] for r in found if r["contaminated"]} == {1, 3}
+    assert {r["doc_id"]: r["component_id"] for r in near_duplicates(frame(spark, rows), 1).collect() if r["doc_id"] > 2} == {3: 3, 4: 4}
+
+
 def test_proximity_matches_allow_moved_words(spark):
     said = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
     docs = [(1, "so " + said), (2, said.replace("gamma", "gamma uh")), (3, said.replace("beta gamma", "x y z v w u beta gamma")), (4, "alpha beta")]
@@ -111,7 +131,7 @@ def test_proximity_matches_allow_moved_words(spark):
 def test_empty_tables(spark):
     none = frame(spark, [])
     bench = spark.createDataFrame([], "item_id long, text string")
-    for df in (dedup_substrings(none), dedup_bytes(none), dedup_lines(none.drop("kept_text")), near_duplicates(none), decontaminate(none, bench)):
+    for df in (dedup_substrings(none), dedup_bytes(none), dedup_lines(none), near_duplicates(none), decontaminate(none, bench)):
         assert df.collect() == []
     got = decontaminate(frame(spark, [(1, "a b c"), (2, None)]), bench).collect()
     assert sorted((r["doc_id"], r["n_words"], r["contaminated"]) for r in got) == [(1, 3, False), (2, 0, False)]
