@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyflow.llm.decontamination import decontaminate
+from tallyflow.llm.identity import LAST, document
 from tallyflow.llm.language_id import UNKNOWN, held_out, predict, train
 from tallyflow.llm.line_dedup import dedup_lines
 from tallyflow.llm.minhash_dedup import one_of_each
@@ -47,9 +48,9 @@ def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lets documents with benchmark passages go."""
     found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    bad = found.where("contaminated").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
-    return docs.join(bad, same, "left_anti").select(*docs.columns)
+    bad = found.where("contaminated").select(F.coalesce("doc_id", F.lit(LAST)).alias("ord"), "text_hash").distinct()
+    own = dict(zip(("_bad_ord", "_bad_hash"), document(F.col("doc_id"), F.col("text")), strict=True))
+    return docs.withColumns(own).join(bad.toDF(*own), list(own), "left_anti").select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
