@@ -1,22 +1,30 @@
 """Approximate nearest neighbours: an NN-descent graph, searched greedily.
 
-Vectors are dealt to blocks of about `block` by a hash of their id. Each starts with its best neighbours
-within its block. A round joins neighbours of neighbours: a vector's neighbours, forward and a sample of
-reverse, are compared with each other, and each keeps its best. The comparisons of a block run in one
-task, to which every vector they need is sent once. Queries walk the graph from their own neighbours: a
-round expands the best unexpanded nodes of each query's beam, in the tasks of the blocks that hold them.
-The best of the final beam are rescored in double precision on the original vectors.
+Random projection trees deal the vectors to blocks of about `block`: each inner node splits at the median
+between two of its sample's vectors. The trees are fitted on at most `SAMPLE` vectors (so they have at most
+`SAMPLE` / 8 leaves; where that leaves blocks too large, a hash of the id splits them on), all vectors are dealt.
+Each vector starts with its best neighbours within its block of each of `TREES` trees, so that blocks of
+one tree are joined by those of the others. Then rounds join neighbours of neighbours, wherever they are: a
+vector's neighbours, forward and a sample of reverse, are compared with each other, and each keeps its best. Rounds go
+on until less than `settled` of all edges are new. Comparisons run where the first tree puts the vector in
+the middle, so that most of what they need is there; every other vector is sent there once.
+
+Queries walk the graph from their own neighbours: a round expands the best unexpanded nodes of each query's
+beam, where those nodes are, until no beam has an unexpanded node. The best of the final beam are rescored in
+double precision on the original vectors.
 
 Equal vectors are one node that remembers its smallest ids, as many as a query can ask for, so any number
 of copies is one step of the walk and every copy that can rank is returned.
 
 Defined results: vectors that are null, zero, of another length than most, or hold a null or a non-finite
-component take no part, nor do rows without id; fewer candidates than asked give shorter lists; ties go to
-the smaller id; an empty table gives no rows.
+component take no part, nor do rows without id; components may be as small or large as doubles are; fewer candidates
+than asked give shorter lists; ties go to the smaller id; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from itertools import count
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -28,9 +36,44 @@ from .textkit import mix
 GRAPH = "part long, id long, near array<long>, sims array<float>, fresh array<boolean>"
 STATE = "part long, id long, beam array<long>, sims array<float>, done array<boolean>"
 
-
-def _part(ids: np.ndarray, parts: int) -> np.ndarray:
-    return (mix(ids.astype(np.int64).view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+TREES, SAMPLE = 3, 32768
+#: A node's id has its block of the first tree above so many bits; 2^3 neighbouring blocks are a part.
+_BLOCK_BITS, _PART_BITS = 32, 35
+
+
+def _part(ids: np.ndarray) -> np.ndarray:
+    return ids >> _PART_BITS
+
+
+class Tree:
+    """Splits of a complete binary tree, each by a hyperplane at the median of the sample that reaches it."""
+
+    def __init__(self, sample: np.ndarray, depth: int, seed: int):
+        rng = np.random.default_rng(seed)
+        self.depth, self.seed = depth, seed
+        self.normal = np.zeros(((1 << depth) - 1, sample.shape[1]), np.float32)
+        self.middle = np.zeros(len(self.normal), np.float32)
+        held = {0: np.arange(len(sample))}
+        for at in range(len(self.normal)):
+            own = held.pop(at)
+            if len(own) > 1:
+                one, two = sample[rng.choice(own, 2, replace=False)]
+                self.normal[at] = one - two
+                far = sample[own] @ self.normal[at]
+                self.middle[at] = np.median(far)
+                right = far > self.middle[at]
+                own, other = own[~right], own[right]
+            else:
+                other = own
+            held[2 * at + 1], held[2 * at + 2] = own, other
+
+    def leaves(self, ids: np.ndarray, held: np.ndarray) -> np.ndarray:
+        at = np.zeros(len(held), np.int64)
+        toss = mix(ids.view(np.uint64) + np.uint64(self.seed))
+        for level in range(self.depth):
+            gap = np.einsum("ij,ij->i", held, self.normal[at]) - self.middle[at]
+            at = 2 * at + 1 + np.where(gap == 0, (toss >> np.uint64(level)) & np.uint64(1), gap > 0).astype(np.int64)
+        return at - len(self.normal)
 
 
 def _lists(flat: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.ListArray:
@@ -87,43 +130,79 @@ def _sampled(table: pa.Table, degree: int, salt: int) -> tuple[np.ndarray, np.nd
     return owner, other, ~stale
 
 
-class Graph:
-    """Nodes (part, id, vec), the neighbour lists, and the adjacency that searches walk."""
+def _best_within(ids: np.ndarray, held: np.ndarray, degree: int, block: int, seed: int) -> tuple[np.ndarray, ...]:
+    """owner, other, sim: the best of each vector's block. Blocks far larger than meant are cut up at random."""
+    cuts = np.array_split(np.random.default_rng(seed).permutation(len(ids)), max(1, len(ids) // (4 * block)))
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))]
+    for cut in cuts:
+        k = min(degree, len(cut) - 1)
+        for a in range(0, len(cut) if k > 0 else 0, 512):
+            own = cut[a : a + 512]
+            sim = held[own] @ held[cut].T
+            sim[np.arange(len(own)), np.arange(a, a + len(own))] = -np.inf
+            top = np.argpartition(-sim, k - 1, axis=1)[:, :k]
+            out.append((np.repeat(ids[own], k), ids[cut[top]].reshape(-1), np.take_along_axis(sim, top, 1).reshape(-1)))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
-    def __init__(self, vectors: DataFrame, scratch: Scratch, degree: int = 24, rounds: int = 3, block: int = 2048):
-        self.scratch, self.degree = scratch, degree
-        self.parts = parts = max(1, -(-vectors.count() // block))
-        self.vectors = vectors
 
-        def place(batches):
+class Graph:
+    """Nodes (part, id, own, vec), where `own` is the id a vector came with, the neighbour lists, and the adjacency that searches walk."""
+
+    def __init__(self, vectors: DataFrame, scratch: Scratch, degree: int = 24, block: int = 256, settled: float = 0.02, trees: int = TREES):
+        self.scratch, self.degree, self.block = scratch, degree, block
+        total = vectors.count()
+        depth = 0
+        while (total >> depth) > block and (8 << depth) < SAMPLE:
+            depth += 1
+        cuts = max(1, -(-(total >> depth) // (2 * block)))
+        sample = vectors.sample(min(1.0, 1.2 * SAMPLE / max(total, 1)), 1).limit(SAMPLE) if depth else vectors.limit(0)
+        sample = _vectors(sample.toArrow())[1]
+        grown = vectors.sparkSession.sparkContext.broadcast([Tree(sample, depth, 7 + t) for t in range(trees)])
+
+        def deal(batches):
             for batch in batches:
-                yield batch.append_column("part", pa.array(_part(batch["id"].to_numpy(), parts)))
-
-        self.nodes = scratch.keep(vectors.mapInArrow(place, "id long, vec binary, part long"), "nodes")
+                if not batch.num_rows:
+                    continue
+                ids, held = batch["own"].to_numpy(), np.frombuffer(b"".join(batch["vec"].to_pylist()), np.float32).reshape(batch.num_rows, -1)
+                on = (mix(ids.view(np.uint64)) % np.uint64(cuts)).astype(np.int64)
+                leaves = np.stack([t.leaves(ids, held) * cuts + on for t in grown.value], axis=1)
+                yield pa.RecordBatch.from_arrays([batch["own"], batch["vec"], pa.array(leaves[:, 0]), _lists(leaves[:, 1:].reshape(-1), np.full(len(ids), trees - 1), pa.int64())], names=["own", "vec", "block", "others"])
+
+        def number(key, table):
+            ids = (key[0].as_py() << _BLOCK_BITS) + np.arange(table.num_rows)
+            return pa.table([_part(ids), ids, table["own"], table["vec"], table["others"]], names=["part", "id", "own", "vec", "others"])
+
+        dealt = vectors.withColumnRenamed("id", "own").mapInArrow(deal, "own long, vec binary, block long, others array<long>")
+        self.nodes = scratch.keep(dealt.groupBy("block").applyInArrow(number, "part long, id long, own long, vec binary, others array<long>"), "nodes")
         graph = scratch.keep(self._start(), "graph-0")
-        for k in range(1, rounds + 1):
+        for k in count(1):
             graph = scratch.keep(self._round(graph, k), f"graph-{k}")
+            edges = graph.agg(F.sum(F.size("near")).alias("all"), F.sum(F.size(F.filter("fresh", lambda x: x))).alias("new")).first()
+            if (edges["new"] or 0) <= settled * (edges["all"] or 0):
+                break
+        self.rounds = k
         self.adjacency = scratch.keep(self._adjacency(graph), "adjacency")
 
     def _start(self) -> DataFrame:
-        degree = self.degree
+        degree, block = self.degree, self.block
 
-        def start(key, table):
-            ids, held = _vectors(table)
-            out = []
-            for a in range(0, len(ids), 512):
-                sim = held[a : a + 512] @ held.T
-                sim[np.arange(len(sim)), np.arange(a, a + len(sim))] = -np.inf
-                k = min(degree, len(ids) - 1)
-                top = np.argpartition(-sim, k - 1, axis=1)[:, :k] if k else np.zeros((len(sim), 0), int)
-                out.append((np.repeat(ids[a : a + 512], k), ids[top].reshape(-1), np.take_along_axis(sim, top, 1).reshape(-1), np.ones(top.size, bool)))
-            return _graph_rows(key[0].as_py(), ids, _best(*(np.concatenate(x) for x in zip(*out, strict=True)), degree), _G)
+        def within(key, table):
+            owner, other, sim = _best_within(*_vectors(table), degree, block, key[0].as_py())
+            return pa.table({"part": _part(owner), "id": owner, "other": other, "sim": sim})
+
+        def gather(key, nodes, found):
+            flag = np.ones(found.num_rows, bool)
+            best = _best(found["id"].to_numpy(), found["other"].to_numpy(), found["sim"].to_numpy(), flag, degree)
+            return _graph_rows(key[0].as_py(), np.sort(nodes["id"].to_numpy()), best, _G)
 
-        return self.nodes.groupBy("part").applyInArrow(start, GRAPH)
+        blocks = F.concat(F.array(F.shiftright("id", _BLOCK_BITS)), "others")
+        dealt = self.nodes.select("id", "vec", F.posexplode(blocks).alias("tree", "block"))
+        found = dealt.groupBy("tree", "block").applyInArrow(within, "part long, id long, other long, sim float")
+        return self.nodes.select("part", "id").groupBy("part").cogroup(found.groupBy("part")).applyInArrow(gather, GRAPH)
 
     def _edges(self, graph: DataFrame, salt: int) -> DataFrame:
         """Both directions of every edge, at the block of `v`: part, v, u, fresh, back. A hub keeps `degree` reverse edges a batch."""
-        parts, degree = self.parts, self.degree
+        degree = self.degree
 
         def edges(batches):
             for batch in batches:
@@ -137,12 +216,12 @@ class Graph:
                 first = np.flatnonzero(new)
                 place = np.arange(len(u)) - np.repeat(first, np.diff(np.append(first, len(u))))
                 keep = order[place < degree]
-                yield pa.RecordBatch.from_arrays([pa.array(_part(u[keep], parts)), pa.array(u[keep]), pa.array(v[keep]), pa.array(fresh.astype(bool)[keep]), pa.array(np.ones(len(keep), bool))], names=["part", "v", "u", "fresh", "back"])
+                yield pa.RecordBatch.from_arrays([pa.array(_part(u[keep])), pa.array(u[keep]), pa.array(v[keep]), pa.array(fresh.astype(bool)[keep]), pa.array(np.ones(len(keep), bool))], names=["part", "v", "u", "fresh", "back"])
 
         return graph.mapInArrow(edges, "part long, v long, u long, fresh boolean, back boolean")
 
     def _round(self, graph: DataFrame, k: int) -> DataFrame:
-        degree, parts = self.degree, self.parts
+        degree = self.degree
         edges = self.scratch.keep(self._edges(graph, k), f"edges-{k}")
         worst = graph.select("id", F.when(F.size("sims") >= degree, F.element_at("sims", -1)).otherwise(F.lit(-2.0)).cast("float").alias("worst"))
         wanted = edges.select(F.col("part").alias("at"), F.col("u").alias("id")).distinct().join(self.nodes.select("id", "vec"), "id").join(worst, "id")
@@ -168,7 +247,7 @@ class Graph:
                 found.append((node[x, y], node[x, z], sim[x, y, z]))
             a, b, s = (np.concatenate(x) for x in zip(*found, strict=True))
             a, b, s, _ = _best(a, b, s, np.zeros(len(a), bool), degree)
-            return pa.table({"part": _part(ids[a], parts) if len(a) else np.zeros(0, np.int64), "id": ids[a] if len(a) else np.zeros(0, np.int64), "other": ids[b] if len(b) else np.zeros(0, np.int64), "sim": s.astype(np.float32)})
+            return pa.table({"part": _part(ids[a]) if len(a) else np.zeros(0, np.int64), "id": ids[a] if len(a) else np.zeros(0, np.int64), "other": ids[b] if len(b) else np.zeros(0, np.int64), "sim": s.astype(np.float32)})
 
         def merge(key, old, found):
             ids = old["id"].to_numpy()
@@ -192,10 +271,10 @@ class Graph:
 
         return self._edges(graph, 0).groupBy("part").applyInArrow(gather, "part long, id long, near array<long>")
 
-    def search(self, queries: DataFrame, beam: int = 320, step: int = 64, rounds: int = 8) -> DataFrame:
-        """For the nodes in `queries` (id): id, beam, sims, best first, from a walk that starts at their own neighbours."""
-        parts, scratch = self.parts, self.scratch
-        own = self.nodes.join(queries.select("id").distinct(), "id", "left_semi")
+    def search(self, queries: DataFrame, beam: int = 192, step: int = 64) -> DataFrame:
+        """For the vectors in `queries` (own): id, beam, sims, best first, from a walk that starts at their own neighbours."""
+        scratch = self.scratch
+        own = self.nodes.join(queries.select("own").distinct(), "own", "left_semi")
         vec = own.select(F.col("id").alias("query"), F.col("vec").alias("aim"))
 
         def ask(batches):
@@ -208,7 +287,7 @@ class Graph:
                 yield grouped(batch["id"].to_numpy()[row[open_at[place < step]]], node[open_at[place < step]])
 
         def grouped(query: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
-            part = _part(node, parts) if len(node) else np.zeros(0, np.int64)
+            part = _part(node)
             order = np.lexsort((node, part, query))
             query, node, part = query[order], node[order], part[order]
             new = np.ones(len(query), bool)
@@ -261,7 +340,7 @@ class Graph:
 
         state = own.select("part", "id", F.array("id").alias("beam"), F.array(F.lit(2.0).cast("float")).alias("sims"), F.array(F.lit(False)).alias("done"))
         state = scratch.keep(state, "walk-0")
-        for k in range(1, rounds + 1):
+        for k in count(1):
             asked = state.mapInArrow(ask, "part long, query long, ids array<long>")
             near = asked.groupBy("part").cogroup(self.adjacency.groupBy("part")).applyInArrow(expand, "part long, query long, ids array<long>")
             scored = near.join(vec, "query").groupBy("part").cogroup(self.nodes.groupBy("part")).applyInArrow(score, "query long, ids array<long>, sims array<float>")
@@ -289,7 +368,14 @@ def _pack(batches):
         yield pa.RecordBatch.from_arrays([batch["id"], pa.array([x.tobytes() for x in unit], pa.binary())], names=["id", "vec"])
 
 
-def nearest(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", degree: int = 24, rounds: int = 3, beam: int = 320, salts: int = 64) -> DataFrame:
+def _scaled(vector: Column) -> Column:
+    """The vector times a power of two, which keeps its digits, where squares would vanish or overflow."""
+    most = F.array_max(F.transform(vector, F.abs))
+    by = F.when(most < 1e-100, F.lit(2.0**600)).when(most > 1e100, F.lit(2.0**-600)).otherwise(F.lit(1.0))
+    return F.transform(vector, lambda x: x * by)
+
+
+def nearest(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", degree: int = 24, block: int = 256, settled: float = 0.02, beam: int = 192, salts: int = 64) -> DataFrame:
     """For the rows where `queries` holds: query_id, rank, vec_id, score of the k nearest others found, by cosine."""
     scratch = Scratch(vectors.sparkSession, "nearest")
     rows = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"), F.coalesce(queries, F.lit(False)).alias("is_query")).where(usable(F.col("vector")))
@@ -301,10 +387,13 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_
     ids = rows.withColumn("n", F.row_number().over(salted)).where(F.col("n") <= k + 1)
     ids = ids.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("vec_id"))).where(F.col("n") <= k + 1).select("id", "vec_id")
 
-    graph = Graph(nodes.mapInArrow(_pack, "id long, vec binary"), scratch, degree, rounds)
-    walked = graph.search(rows.where("is_query").select("id"), beam)
+    graph = Graph(nodes.mapInArrow(_pack, "id long, vec binary"), scratch, degree, block, settled)
+    walked = graph.search(rows.where("is_query").select(F.col("id").alias("own")), beam)
     found = walked.select(F.col("id").alias("query"), F.explode(F.array_distinct(F.concat(F.array("id"), F.slice("beam", 1, 4 * k)))).alias("id"))
-    a, b = nodes.toDF("a", "query"), nodes.toDF("b", "id")
+    names = graph.nodes.select("id", "own")
+    found = found.join(names, "id").join(names.toDF("query", "asks"), "query").select(F.col("asks").alias("query"), F.col("own").alias("id"))
+    scaled = nodes.select(_scaled(F.col("vector")).alias("vector"), "id")
+    a, b = scaled.toDF("a", "query"), scaled.toDF("b", "id")
 
     def dot(x: str, y: str) -> Column:
         return F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
