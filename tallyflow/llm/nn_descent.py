@@ -36,9 +36,9 @@ from .textkit import mix
 GRAPH = "part long, id long, near array<long>, sims array<float>, fresh array<boolean>"
 STATE = "part long, id long, beam array<long>, sims array<float>, done array<boolean>"
 
-TREES, SAMPLE = 3, 32768
-#: A node's id has its block of the first tree above so many bits; 2^3 neighbouring blocks are a part.
-_BLOCK_BITS, _PART_BITS = 32, 35
+TREES, SAMPLE = 3, 8192
+#: A node's id has its block of the first tree above so many bits; 32 neighbouring blocks are a part.
+_BLOCK_BITS, _PART_BITS = 32, 37
 
 
 def _part(ids: np.ndarray) -> np.ndarray:
@@ -148,7 +148,7 @@ def _best_within(ids: np.ndarray, held: np.ndarray, degree: int, block: int, see
 class Graph:
     """Nodes (part, id, own, vec), where `own` is the id a vector came with, the neighbour lists, and the adjacency that searches walk."""
 
-    def __init__(self, vectors: DataFrame, scratch: Scratch, degree: int = 24, block: int = 256, settled: float = 0.02, trees: int = TREES):
+    def __init__(self, vectors: DataFrame, scratch: Scratch, degree: int = 24, block: int = 256, settled: float = 0.15, trees: int = TREES):
         self.scratch, self.degree, self.block = scratch, degree, block
         total = vectors.count()
         depth = 0
@@ -226,6 +226,10 @@ class Graph:
         worst = graph.select("id", F.when(F.size("sims") >= degree, F.element_at("sims", -1)).otherwise(F.lit(-2.0)).cast("float").alias("worst"))
         wanted = edges.select(F.col("part").alias("at"), F.col("u").alias("id")).distinct().join(self.nodes.select("id", "vec"), "id").join(worst, "id")
 
+        def reduced(found):
+            a, b, s = (np.concatenate(x) for x in zip(*found, strict=True))
+            return _best(a, b, s, np.zeros(len(a), bool), degree)[:3]
+
         def join(key, edge, vector):
             ids, held = _vectors(vector)
             worst = vector["worst"].to_numpy()[np.argsort(vector["id"].to_numpy(), kind="stable")]
@@ -245,8 +249,9 @@ class Graph:
                 ok &= sim > worst[node][:, :, None]
                 x, y, z = np.nonzero(ok)
                 found.append((node[x, y], node[x, z], sim[x, y, z]))
-            a, b, s = (np.concatenate(x) for x in zip(*found, strict=True))
-            a, b, s, _ = _best(a, b, s, np.zeros(len(a), bool), degree)
+                if sum(len(x[0]) for x in found[1:]) > 1 << 20:
+                    found = [reduced(found)]
+            a, b, s = reduced(found)
             return pa.table({"part": _part(ids[a]) if len(a) else np.zeros(0, np.int64), "id": ids[a] if len(a) else np.zeros(0, np.int64), "other": ids[b] if len(b) else np.zeros(0, np.int64), "sim": s.astype(np.float32)})
 
         def merge(key, old, found):
@@ -271,7 +276,7 @@ class Graph:
 
         return self._edges(graph, 0).groupBy("part").applyInArrow(gather, "part long, id long, near array<long>")
 
-    def search(self, queries: DataFrame, beam: int = 192, step: int = 64) -> DataFrame:
+    def search(self, queries: DataFrame, beam: int = 224, step: int = 224) -> DataFrame:
         """For the vectors in `queries` (own): id, beam, sims, best first, from a walk that starts at their own neighbours."""
         scratch = self.scratch
         own = self.nodes.join(queries.select("own").distinct(), "own", "left_semi")
@@ -343,7 +348,7 @@ class Graph:
         for k in count(1):
             asked = state.mapInArrow(ask, "part long, query long, ids array<long>")
             near = asked.groupBy("part").cogroup(self.adjacency.groupBy("part")).applyInArrow(expand, "part long, query long, ids array<long>")
-            scored = near.join(vec, "query").groupBy("part").cogroup(self.nodes.groupBy("part")).applyInArrow(score, "query long, ids array<long>, sims array<float>")
+            scored = near.join(vec, "query").groupBy("part").cogroup(self.nodes.select("part", "id", "vec").groupBy("part")).applyInArrow(score, "query long, ids array<long>, sims array<float>")
             home = state.select(F.col("part").alias("at"), F.col("id").alias("query"))
             state = state.groupBy("part").cogroup(scored.join(home, "query").groupBy("at")).applyInArrow(merge, STATE)
             state = scratch.keep(state, f"walk-{k}")
@@ -375,7 +380,7 @@ def _scaled(vector: Column) -> Column:
     return F.transform(vector, lambda x: x * by)
 
 
-def nearest(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", degree: int = 24, block: int = 256, settled: float = 0.02, beam: int = 192, salts: int = 64) -> DataFrame:
+def nearest(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", degree: int = 24, block: int = 256, settled: float = 0.15, beam: int = 224, salts: int = 64) -> DataFrame:
     """For the rows where `queries` holds: query_id, rank, vec_id, score of the k nearest others found, by cosine."""
     scratch = Scratch(vectors.sparkSession, "nearest")
     rows = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"), F.coalesce(queries, F.lit(False)).alias("is_query")).where(usable(F.col("vector")))
