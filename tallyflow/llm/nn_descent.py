@@ -224,15 +224,31 @@ class Graph:
         degree = self.degree
         edges = self.scratch.keep(self._edges(graph, k), f"edges-{k}")
         worst = graph.select("id", F.when(F.size("sims") >= degree, F.element_at("sims", -1)).otherwise(F.lit(-2.0)).cast("float").alias("worst"))
-        wanted = edges.select(F.col("part").alias("at"), F.col("u").alias("id")).distinct().join(self.nodes.select("id", "vec"), "id").join(worst, "id")
+        where = edges.select("part", F.col("u").alias("id")).distinct().groupBy("id").agg(F.collect_set("part").alias("parts"))
+
+        def pack(batches):
+            """Vectors for each part that wants them, in one row a batch."""
+            for batch in batches:
+                at, row = _flat(batch["parts"])
+                order = np.argsort(at, kind="stable")
+                at, row = at[order], row[order]
+                first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1]))) if len(at) else np.zeros(0, np.int64)
+                ids, worst, vec = batch["id"].to_numpy(), batch["worst"].to_numpy(), batch["vec"].to_pylist()
+                own = [row[a:b] for a, b in zip(first, [*first[1:], len(at)], strict=True)]
+                packed = [pa.array([f(x) for x in own], pa.binary()) for f in (lambda x: ids[x].tobytes(), lambda x: worst[x].tobytes(), lambda x: b"".join(vec[i] for i in x))]
+                yield pa.RecordBatch.from_arrays([pa.array(at[first], pa.int64()), *packed], names=["at", "ids", "worst", "vecs"])
+
+        wanted = self.nodes.select("id", "vec").join(worst, "id").join(where, "id").mapInArrow(pack, "at long, ids binary, worst binary, vecs binary")
 
         def reduced(found):
             a, b, s = (np.concatenate(x) for x in zip(*found, strict=True))
             return _best(a, b, s, np.zeros(len(a), bool), degree)[:3]
 
         def join(key, edge, vector):
-            ids, held = _vectors(vector)
-            worst = vector["worst"].to_numpy()[np.argsort(vector["id"].to_numpy(), kind="stable")]
+            ids, worst, held = (np.frombuffer(b"".join(vector[c].to_pylist()), t) for c, t in (("ids", np.int64), ("worst", np.float32), ("vecs", np.float32)))
+            order = np.argsort(ids, kind="stable")
+            held = held.reshape(len(ids), -1)[order] if len(ids) else np.zeros((0, 1), np.float32)
+            ids, worst = ids[order], worst[order]
             v, u, fresh = _sampled(edge, degree, k)
             at = np.searchsorted(ids, u)
             first = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1]))) if len(v) else np.zeros(0, np.int64)
