@@ -132,13 +132,13 @@ def days_until(rows: DataFrame, today: str, days: int = 30) -> DataFrame:
 def streaks(rows: DataFrame, today: str, *keys: str) -> DataFrame:
     """Active days, and the run of days with tokens that ends today, or yesterday if today has no rows."""
     day = rows.groupBy(*keys, "date").agg(F.sum(cell_tokens()).alias("tokens"))
-    number = F.datediff(F.lit(today).cast("date"), F.to_date("date"))  # days ago
-    line = Window.partitionBy(*keys).orderBy("ago")
-    used = day.where("tokens > 0").withColumn("ago", number).where("ago >= 0")
-    has_today = day.groupBy(*keys).agg(F.count("*").alias("active_days"), F.max(F.col("date") == today).alias("has_today"))
-    begin = F.when(F.col("has_today"), 0).otherwise(1)
-    run = used.join(has_today, list(keys)).where(F.col("ago") >= begin).withColumn("place", F.row_number().over(line) - 1).where(F.col("ago") - begin == F.col("place"))
-    return has_today.join(run.groupBy(*keys).agg(F.count("*").alias("streak")), list(keys), "left").select(*keys, "active_days", F.coalesce("streak", F.lit(0)).alias("streak"))
+    every = Window.partitionBy(*keys)
+    day = day.withColumn("ago", F.datediff(F.lit(today).cast("date"), F.to_date("date"))).withColumn("begin", F.when(F.max(F.col("date") == today).over(every), 0).otherwise(1))
+    used = F.when((F.col("tokens") > 0) & (F.col("ago") >= F.col("begin")), 1).otherwise(0)
+    before = F.sum("used").over(every.orderBy("ago").rowsBetween(Window.unboundedPreceding, -1))
+    day = day.withColumn("used", used).withColumn("place", F.coalesce(before, F.lit(0)))
+    unbroken = (F.col("used") == 1) & (F.col("ago") - F.col("begin") == F.col("place"))
+    return day.groupBy(*keys).agg(F.count("*").alias("active_days"), F.sum(F.when(unbroken, 1).otherwise(0)).alias("streak"))
 
 
 def within_limit(requests: DataFrame, most: int = 60, window_ms: int = clock.HOUR_MS, key: str = "token") -> DataFrame:

@@ -120,14 +120,14 @@ def cache_savings(spark, d):
     return served(spark, d, include_flagged=True).groupBy("user_id").agg(F.round(F.sum("savings"), 8).alias("savings"), F.round(F.sum("cost"), 8).alias("cost"))
 
 
-_DAYS = f""", day AS (SELECT user_id, date, sum(tokens) AS t FROM l WHERE hour < 6 GROUP BY ALL), who AS (SELECT user_id, count(*) AS active_days, bool_or(date = '{TODAY}') AS now FROM day GROUP BY user_id),
+_DAYS = f""", day AS (SELECT user_id, date, sum(tokens) AS t FROM l GROUP BY ALL), who AS (SELECT user_id, count(*) AS active_days, bool_or(date = '{TODAY}') AS now FROM day GROUP BY user_id),
 ago AS (SELECT user_id, DATE '{TODAY}' - CAST(date AS DATE) - CASE WHEN now THEN 0 ELSE 1 END AS k FROM day JOIN who USING (user_id) WHERE t > 0),
 run AS (SELECT user_id, k, row_number() OVER (PARTITION BY user_id ORDER BY k) - 1 AS n FROM ago WHERE k >= 0)"""
 
 
 @query(f"{_DAYS} SELECT user_id, active_days, coalesce((SELECT count(*) FROM run WHERE run.user_id = who.user_id AND k = n), 0) AS streak FROM who", HOURLY)
 def streak(spark, d):
-    return cube.streaks(served(spark, d, include_flagged=True).where("hour < 6"), TODAY, "user_id")
+    return cube.streaks(served(spark, d, include_flagged=True), TODAY, "user_id")
 
 
 @query("SELECT user_id, count(DISTINCT date) AS active_days FROM l GROUP BY user_id", HOURLY)

@@ -62,10 +62,10 @@ def session_keyswap(spark, d):
     return shown(reports.summarize(priced(spark, d), "session_id"), "session_id")
 
 
-@query("SELECT session_id, max(ts_ms) AS last_ms, CAST(sum(tokens) AS BIGINT) AS tokens FROM e GROUP BY session_id HAVING strftime(make_timestamp(max(ts_ms) * 1000), '%Y%m%dT%H:%M:%S.%gZ') BETWEEN '20240110' AND '20240130'")
+@query("SELECT session_id, max(ts_ms) AS last_ms, CAST(sum(tokens) AS BIGINT) AS tokens FROM e GROUP BY session_id HAVING strftime(make_timestamp(max(ts_ms) * 1000), '%Y%m%dT%H:%M:%S.%gZ') BETWEEN '20240110' AND '20240130T23:30'")
 def session_having_last_activity(spark, d):
     rows = usage_entries(spark, d).groupBy("session_id").agg(F.max("ts_ms").alias("last_ms"), F.sum(money.tokens()).alias("tokens"))
-    return reports.having_last_activity(rows, "20240110", "20240130")
+    return reports.having_last_activity(rows, "20240110", "20240130T23:30")
 
 
 @query("SELECT usage_date, CAST(sum(tokens) AS BIGINT) AS tokens FROM e WHERE usage_date >= '2024-01-24' GROUP BY usage_date")

@@ -202,10 +202,9 @@ def blocks(spark, d):
     return found.select("tool", "block_start", "block_end", "first_ms", "last_ms", "entries", "tokens", "limit_reset_ms", "active")
 
 
-@query(_block_sql("0 AS z", ", h AS (SELECT tool, last_ms, lead(first_ms) OVER (PARTITION BY tool ORDER BY first_ms) AS nxt FROM b) SELECT tool, 'gap-' || strftime(make_timestamp((last_ms + 18000000) * 1000), '%Y-%m-%dT%H:%M:%S.%gZ') AS gap_id, last_ms + 18000000 AS gap_start, nxt AS gap_end FROM h WHERE nxt - last_ms > 18000000", "(SELECT * FROM e WHERE event_id % 41 = 0)"))
+@query(_block_sql("0 AS z", ", h AS (SELECT tool, last_ms, lead(first_ms) OVER (PARTITION BY tool ORDER BY first_ms) AS nxt FROM b) SELECT tool, 'gap-' || strftime(make_timestamp((last_ms + 18000000) * 1000), '%Y-%m-%dT%H:%M:%S.%gZ') AS gap_id, last_ms + 18000000 AS gap_start, nxt AS gap_end FROM h WHERE nxt - last_ms > 18000000"))
 def block_gaps(spark, d):
-    thin = usage_entries(spark, d).where("line_ord % 41 = 0").withColumn("cost", F.lit(0.0))
-    return B.gaps(B.blocks(thin, NOW))
+    return B.gaps(B.blocks(usage_entries(spark, d).withColumn("cost", F.lit(0.0)), NOW))
 
 
 _RATES = "CASE WHEN last_ms > first_ms THEN {0} / ((last_ms - first_ms) / 60000.0) END"

@@ -149,3 +149,24 @@ def test_ancestors_of_long_chains_and_loops(spark):
 
     assert {r["id"]: r["root"] for r in dedup.top_ancestor(links).collect()} == {i: root(i) for i in parent}
     assert dedup.top_ancestor(links.where("false")).collect() == []
+
+
+def test_gaps_lie_between_blocks_that_are_far_apart(spark):
+    rows = [("a", 0, 2 * H), ("a", 7 * H, 8 * H), ("a", 14 * H, 15 * H), ("b", 100 * H, 101 * H)]
+    found = spark.createDataFrame(rows, "tool string, first_ms long, last_ms long")
+    got = [tuple(r) for r in blocks.gaps(found).collect()]
+    assert got == [("a", "gap-1970-01-01T13:00:00.000Z", 13 * H, 14 * H)]
+
+
+def test_streaks_end_today_or_yesterday_and_break(spark):
+    days = {
+        1: [("2024-01-10", 5), ("2024-01-09", 1), ("2024-01-08", 1), ("2024-01-06", 1)],  # broken on the 7th
+        2: [("2024-01-09", 5), ("2024-01-08", 2), ("2024-01-05", 2)],  # nothing today yet
+        3: [("2024-01-10", 0), ("2024-01-09", 5)],  # today has rows, but no tokens
+        4: [("2024-01-07", 5)],
+        5: [("2024-01-11", 5), ("2024-01-10", 5)],  # a day ahead
+    }
+    rows = [(u, d, h, t, 0, 0, 0, 0) for u, own in days.items() for d, t in own for h in (3, 20)]
+    df = spark.createDataFrame(rows, "user_id long, date string, hour int, input long, output long, cache_read long, cache_5m long, cache_1h long")
+    got = {r["user_id"]: (r["active_days"], r["streak"]) for r in cube.streaks(df, "2024-01-10", "user_id").collect()}
+    assert got == {1: (4, 3), 2: (3, 2), 3: (2, 0), 4: (1, 0), 5: (2, 1)}
