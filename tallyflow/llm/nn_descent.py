@@ -392,8 +392,7 @@ def _pack(batches):
 def _scaled(vector: Column) -> Column:
     """The vector times a power of two, which keeps its digits, where squares would vanish or overflow."""
     most = F.array_max(F.transform(vector, F.abs))
-    by = F.when(most < 1e-100, F.lit(2.0**600)).when(most > 1e100, F.lit(2.0**-600)).otherwise(F.lit(1.0))
-    return F.transform(vector, lambda x: x * by)
+    return F.when(most < 1e-100, F.transform(vector, lambda x: x * F.lit(2.0**600))).when(most > 1e100, F.transform(vector, lambda x: x * F.lit(2.0**-600))).otherwise(vector)
 
 
 def nearest(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", degree: int = 24, block: int = 256, settled: float = 0.15, beam: int = 224, salts: int = 64) -> DataFrame:
