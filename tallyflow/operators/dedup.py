@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.money import tokens
-from ..llm.scratch import Scratch
+from ..scratch import Scratch
 
 ARRIVAL = ("file_ord", "line_ord", "sub_ord")
 
