@@ -1,45 +1,5 @@
-"""Tables that cut lineage, kept in the folder all executors share."""
+"""Tables that cut lineage, as the library keeps them."""
 
-from __future__ import annotations
+from ..scratch import Scratch, shared_folder, shuffle_partitions
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_own: dict[str, str] = {}
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; a folder of our own only where it is unset (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = "file://" + tempfile.mkdtemp(prefix="spark-")
-    return _own[app]
-
-
-class Scratch:
-    """Written tables of one operator run."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """Write `df` as Parquet and read it back: later plans start from the files."""
-        path = f"{self.root}/{name}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, name: str) -> None:
-        """Delete a table that no later plan reads."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+__all__ = ["Scratch", "shared_folder", "shuffle_partitions"]
