@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from ..functions import clock
 from ..functions.money import cache_1h, cache_5m
+from .ranking import row_numbers
 
 CELL = ("hour", "tool", "model")
 COUNTERS = ("input", "output", "cache_read", "cache_5m", "cache_1h")
@@ -69,10 +76,14 @@ def served(hourly: DataFrame, devices: DataFrame, users: DataFrame, **filters: s
     return rows.join(devices, "device_id").join(who, "user_id")
 
 
+def by_user(rows: DataFrame, cache: bool = True) -> DataFrame:
+    """What each user has used; `rows` have a cost."""
+    return rows.groupBy("user_id", "name", "city").agg(F.sum(cell_tokens(cache)).alias("tokens"), F.sum("cost").alias("cost"), F.countDistinct("device_id").alias("devices"), F.max("flagged").alias("flagged"))
+
+
 def leaderboard(rows: DataFrame, cache: bool = True) -> DataFrame:
-    """Users by tokens, then name; `rows` have a cost. The rank is a row number over the few columns of users."""
-    users = rows.groupBy("user_id", "name", "city").agg(F.sum(cell_tokens(cache)).alias("tokens"), F.sum("cost").alias("cost"), F.countDistinct("device_id").alias("devices"), F.max("flagged").alias("flagged"))
-    return users.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("tokens"), "name", "user_id")))
+    """Users by tokens, then name, with their rank; `rows` have a cost."""
+    return row_numbers(by_user(rows, cache), "rank", F.desc("tokens"), F.asc("name"), F.asc("user_id")).withColumn("rank", F.col("rank").cast("int"))
 
 
 def top_models(rows: DataFrame, most: int = 4, cache: bool = True) -> DataFrame:
@@ -142,12 +153,29 @@ def streaks(rows: DataFrame, today: str, *keys: str) -> DataFrame:
 
 
 def within_limit(requests: DataFrame, most: int = 60, window_ms: int = clock.HOUR_MS, key: str = "token") -> DataFrame:
-    """`requests` (key, ts_ms) with `allowed`: at most `most` in each window that opens with the first request after the last one closed."""
-    firsts = requests.groupBy(key).agg(F.array_sort(F.collect_list("ts_ms")).alias("all"))
-    start = F.struct(F.lit(None).cast("bigint").alias("open"), F.array().cast("array<bigint>").alias("opens"))
-    fold = F.aggregate("all", start, lambda s, t: F.when(s["open"].isNull() | (t - s["open"] >= window_ms), F.struct(t.alias("open"), F.concat(s["opens"], F.array(t)).alias("opens"))).otherwise(s))
-    opens = firsts.select(key, F.explode(fold["opens"]).alias("open"))
-    last = Window.partitionBy(key).orderBy("ts_ms", F.desc_nulls_last("open")).rowsBetween(Window.unboundedPreceding, 0)
-    both = requests.withColumn("open", F.lit(None).cast("bigint")).unionByName(opens.withColumn("ts_ms", F.col("open")), allowMissingColumns=True).withColumn("_isopen", F.col("open").isNotNull())
-    placed = both.withColumn("window_ms", F.last("open", ignorenulls=True).over(last)).where(~F.col("_isopen")).drop("open", "_isopen")
-    return placed.withColumn("allowed", F.row_number().over(Window.partitionBy(key, "window_ms").orderBy("ts_ms")) <= most)
+    """`requests` (key, ts_ms) with window_ms and `allowed`: at most `most` in each window that opens with the first request after the last one closed.
+
+    A task reads its keys' requests in order of time, batch by batch, and remembers only the open window. A request without a time has neither.
+    """
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, opened, used = None, None, 0
+        for batch in batches:
+            ts, runs = batch["ts_ms"].to_numpy(zero_copy_only=False), pc.run_end_encode(batch[key])
+            open_at, allowed = np.zeros(len(ts), np.int64), np.zeros(len(ts), bool)
+            missing = batch["ts_ms"].is_null().to_numpy(zero_copy_only=False)
+            a = 0
+            for end, name in zip(runs.run_ends.to_pylist(), runs.values.to_pylist(), strict=True):
+                if (name,) != now:
+                    now, opened, used = (name,), None, 0
+                a += int(missing[a:end].sum())  # those without a time come first
+                while a < end:
+                    if opened is None or ts[a] - opened >= window_ms:
+                        opened, used = int(ts[a]), 0
+                    b = a + int(np.searchsorted(ts[a:end], opened + window_ms))
+                    open_at[a:b], allowed[a:b] = opened, used + np.arange(b - a) < most
+                    a, used = b, used + b - a
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(open_at, mask=missing), pa.array(allowed, mask=missing)], names=[*batch.schema.names, "window_ms", "allowed"])
+
+    ordered = requests.repartition(key).sortWithinPartitions(key, "ts_ms")
+    return ordered.mapInArrow(judge, StructType([*requests.schema.fields, StructField("window_ms", LongType()), StructField("allowed", BooleanType())]))

@@ -77,10 +77,12 @@ def deltas(rows: DataFrame, counters: list[str], by: list[str], order: tuple[str
 
 
 def best_source(rows: DataFrame, keys: list[str], rank: str = "rank") -> DataFrame:
-    """Drops a row if a source of lower rank reports one of its keys; null keys never match."""
+    """Drops a row if a source of lower rank reports one of its keys; null keys never match, and their rows are spread by what else they hold."""
     out = rows
+    spread = F.xxhash64(*(F.col(c) for c, t in rows.dtypes if "map<" not in t))
     for k in keys:
-        out = out.withColumn(f"_{k}", F.when(F.col(k).isNotNull(), F.min(rank).over(Window.partitionBy(k))))
+        by = Window.partitionBy(k, F.when(F.col(k).isNull(), spread))
+        out = out.withColumn(f"_{k}", F.when(F.col(k).isNotNull(), F.min(rank).over(by)))
     for k in keys:
         out = out.where(F.col(f"_{k}").isNull() | (F.col(rank) <= F.col(f"_{k}"))).drop(f"_{k}")
     return out

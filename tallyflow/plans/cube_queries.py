@@ -72,7 +72,7 @@ def leaderboard_top_models(spark, d):
 
 @query("SELECT CAST(sum(tokens) AS BIGINT) AS tokens, round(sum(cost), 8) AS cost, count(DISTINCT user_id) AS users, CAST(count(DISTINCT device_id) AS BIGINT) AS devices FROM l WHERE NOT flagged", HOURLY)
 def community_totals(spark, d):
-    return cube.community(cube.leaderboard(served(spark, d))).withColumn("cost", F.round("cost", 8))
+    return cube.community(cube.by_user(served(spark, d))).withColumn("cost", F.round("cost", 8))
 
 
 _RATE = "CASE WHEN sum(cache_read + cache_5m + cache_1h + input) > 0 THEN round(sum(cache_read) / sum(cache_read + cache_5m + cache_1h + input), 9) END"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clock, money, rate_card
 from ..operators import pricing, reports
+from ..operators.ranking import row_numbers
 from ..sources.events import usage_entries
 from .registry import ENTRIES, PRICED, SUMS, query
 
@@ -155,7 +156,5 @@ def session_by_id(spark, d):
 
 @query(f"SELECT session_id, row_number() OVER (ORDER BY round(sum(cost), 8) DESC, session_id) AS place, {SUMS} FROM c GROUP BY session_id", PRICED)
 def sessions_by_cost(spark, d):
-    from pyspark.sql import Window
-
     rows = shown(reports.summarize(priced(spark, d), "session_id"), "session_id")
-    return rows.withColumn("place", F.row_number().over(Window.orderBy(F.desc("cost"), "session_id")).cast("bigint"))
+    return row_numbers(rows, "place", F.desc("cost"), F.asc("session_id"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import glob
 import os
 import sqlite3
+import urllib.parse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,15 +19,33 @@ from .documents import messages
 from .files import counters, dated, filled, first
 
 
+_HEADER = b"SQLite format 3\0"
+
+
 class _File(InputPartition):
     def __init__(self, path: str):
         self.path = path
 
 
+def _databases(path: str) -> list[str]:
+    """A file; of a folder all files that begin as databases do; else the files that match the pattern."""
+    if os.path.isdir(path):
+        return sorted(p for p in glob.glob(f"{glob.escape(path)}/**", recursive=True, include_hidden=True) if os.path.isfile(p) and _is_database(p))
+    found = sorted(p for p in glob.glob(path, recursive=True) if os.path.isfile(p))
+    if not found and not glob.has_magic(path):
+        raise FileNotFoundError(path)
+    return found
+
+
+def _is_database(path: str) -> bool:
+    with open(path, "rb") as f:
+        return f.read(len(_HEADER)) == _HEADER
+
+
 class _Reader(DataSourceReader):
     def __init__(self, schema, options):
-        self.query, self.names = options["query"], [f.name for f in schema.fields]
-        self.paths = sorted(p for p in glob.glob(options["path"], recursive=True) if os.path.isfile(p))
+        self.query, self.of = options["query"], options["of"]
+        self.paths = _databases(options["path"].removeprefix("file://"))
 
     def partitions(self):
         return [_File(p) for p in self.paths]
@@ -33,16 +53,15 @@ class _Reader(DataSourceReader):
     def read(self, partition):
         if partition is None:
             return
-        with sqlite3.connect(f"file:{partition.path}?mode=ro", uri=True) as db:
-            try:
+        with contextlib.closing(sqlite3.connect(f"file:{urllib.parse.quote(partition.path)}?mode=ro", uri=True)) as db:
+            # a database of another tool has no such table; any other failure is an error
+            if db.execute("SELECT 1 FROM sqlite_master WHERE type IN ('table', 'view') AND name = ?", (self.of,)).fetchone():
                 for n, row in enumerate(db.execute(self.query)):
                     yield (partition.path, n, *row)
-            except sqlite3.OperationalError:  # a database of another tool has no such table
-                return
 
 
 class Sqlite(DataSource):
-    """Options: path (a glob), query. The schema begins with file string, line_ord bigint."""
+    """Options: path (a file, a folder or a glob), query, of (the table it reads). The schema begins with file string, line_ord bigint."""
 
     @classmethod
     def name(cls):
@@ -56,8 +75,10 @@ class Sqlite(DataSource):
 
 
 def table(spark: SparkSession, path: str, query: str, schema: str) -> DataFrame:
+    """Rows of the query over each database that has the table the query reads from first."""
     spark.dataSource.register(Sqlite)
-    return spark.read.format("tallyflow_sqlite").schema(f"file string, line_ord bigint, {schema}").option("path", path).option("query", query).load()
+    of = query.partition(" FROM ")[2].split()[0]
+    return spark.read.format("tallyflow_sqlite").schema(f"file string, line_ord bigint, {schema}").option("path", path).option("query", query).option("of", of).load()
 
 
 def stored_messages(spark: SparkSession, path: str) -> DataFrame:

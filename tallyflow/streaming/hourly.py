@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -38,9 +39,10 @@ def upsert_days(spark: SparkSession, path: str):
                 both = batch.unionByName(stored.join(batch.select("date").distinct(), "date", "left_semi").select(batch.columns))
             latest = cube.latest_report(both).dropDuplicates()
             # what is rewritten is read from the same table, so it is written beside it first
-            aside = f"{path}-batch"
-            latest.write.mode("overwrite").parquet(aside)
+            aside = f"{path}-batch-{uuid.uuid4().hex}"
+            latest.write.parquet(aside)
             spark.read.schema(batch.schema).parquet(aside).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)
+            fs.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(aside), True)
         finally:
             batch.unpersist()
 
@@ -59,19 +61,21 @@ def hourly_totals(entries: DataFrame, late: str = "1 hour") -> DataFrame:
 
 
 def limiter(requests: DataFrame, most: int = 60, window_ms: int = clock.HOUR_MS) -> DataFrame:
-    """token, ts_ms, allowed: a window opens with the first request after the last one closed; state is a token's open window."""
+    """token, ts_ms, allowed: a window opens with the first request after the last one closed; state is a token's open window.
+
+    A token's requests of one micro-batch are judged in order of time together, however many Arrow batches bring them.
+    """
 
     def judge(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         opened, used = state.get if state.exists else (None, 0)
-        for batch in batches:
-            batch = batch.sort_values("ts_ms")
-            allowed = []
-            for ts in batch["ts_ms"]:
-                if opened is None or ts - opened >= window_ms:
-                    opened, used = int(ts), 0
-                used += 1
-                allowed.append(used <= most)
-            yield pd.DataFrame({"token": batch["token"], "ts_ms": batch["ts_ms"], "allowed": allowed})
+        asked = pd.concat([b for b in batches if len(b)]).sort_values("ts_ms")
+        allowed = []
+        for ts in asked["ts_ms"]:
+            if opened is None or ts - opened >= window_ms:
+                opened, used = int(ts), 0
+            used += 1
+            allowed.append(used <= most)
         state.update((opened, used))
+        yield pd.DataFrame({"token": asked["token"], "ts_ms": asked["ts_ms"], "allowed": allowed})
 
     return requests.groupBy("token").applyInPandasWithState(judge, "token string, ts_ms long, allowed boolean", "opened long, used long", "append", GroupStateTimeout.NoTimeout)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyflow.functions import clock, money, rate_card, text
 from tallyflow.operators import blocks, cube, dedup, pricing
+from tallyflow.operators.ranking import row_numbers
 from tallyflow.schema import canonical
 
 H = clock.HOUR_MS
@@ -170,3 +171,36 @@ def test_streaks_end_today_or_yesterday_and_break(spark):
     df = spark.createDataFrame(rows, "user_id long, date string, hour int, input long, output long, cache_read long, cache_5m long, cache_1h long")
     got = {r["user_id"]: (r["active_days"], r["streak"]) for r in cube.streaks(df, "2024-01-10", "user_id").collect()}
     assert got == {1: (4, 3), 2: (3, 2), 3: (2, 0), 4: (1, 0), 5: (2, 1)}
+
+
+def test_limits_equal_the_fold_over_batches_of_any_size(spark):
+    """One hot token, ties, a token of one request, requests without a token or a time; a key goes over many Arrow batches."""
+    rng = random.Random(5)
+    asked = [("hot", rng.randrange(4000)) for _ in range(900)] + [("b", 7), ("b", 7), ("b", 107), ("c", 1)] + [(None, t) for t in (3, 1, 2, 500)]
+    want, state = [], {}
+    for token, ts in sorted(asked, key=lambda r: (str(r[0]), r[1])):
+        opened, used = state.get(token, (None, 0))
+        if opened is None or ts - opened >= 100:
+            opened, used = ts, 0
+        state[token] = opened, used + 1
+        want.append((str(token), ts, opened, used < 2))
+    rows = spark.createDataFrame([(*r, "more") for r in asked] + [("hot", None, "more")], "token string, ts_ms long, kind string")
+    for size in ("7", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        got = cube.within_limit(rows, 2, 100).collect()
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert sorted((str(r["token"]), r["ts_ms"], r["window_ms"], r["allowed"]) for r in got if r["ts_ms"] is not None) == sorted(want)
+        assert [(r["window_ms"], r["allowed"], r["kind"]) for r in got if r["ts_ms"] is None] == [(None, None, "more")]
+    assert cube.within_limit(rows.where("false")).collect() == []
+
+
+def test_row_numbers_are_those_of_one_sort(spark):
+    rows = spark.range(500).select("id", (F.col("id") * 37 % 11).alias("v"))
+    got = {r["id"]: r["n"] for r in row_numbers(rows, "n", F.desc("v"), F.asc("id")).collect()}
+    assert got == {i: n for n, i in enumerate(sorted(range(500), key=lambda i: (-(i * 37 % 11), i)), 1)}
+    assert row_numbers(rows.where("false"), "n", F.asc("id")).collect() == []
+
+
+def test_source_precedence_leaves_rows_without_keys(spark):
+    rows = spark.createDataFrame([(1, "t", None, 1, {}), (2, "t", "r", 2, {}), (3, None, "r", 3, {}), (4, None, None, 9, {}), (5, None, None, 9, {}), (6, "u", "r", 2, {})], "id int, trace string, response string, rank int, more map<string,string>")
+    assert sorted(r["id"] for r in dedup.best_source(rows, ["trace", "response"]).collect()) == [1, 4, 5, 6]

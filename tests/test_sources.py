@@ -182,6 +182,26 @@ def test_sqlite(spark, tmp_path):
     assert sqlite.kilo(spark, f"{tmp_path}/none*").collect() == []
 
 
+def test_sqlite_folders_and_failures(spark, tmp_path):
+    said = json.dumps({"role": "assistant", "modelID": "m", "providerID": "p", "time": {"created": 1775934200000}, "tokens": {"input": 9, "output": 1}})
+    (tmp_path / "a dir?/deep").mkdir(parents=True)
+    with sqlite3.connect(tmp_path / "a dir?/deep/kilo.db") as db:
+        db.execute("CREATE TABLE message(id, session_id, data)")
+        db.execute("INSERT INTO message VALUES('m1', 's1', ?)", (said,))
+    with sqlite3.connect(tmp_path / "a dir?/other.db") as db:
+        db.execute("CREATE TABLE settings(id)")
+    (tmp_path / "a dir?/notes.txt").write_text("no database")
+    rows = registry.load(spark, {"kilo": str(tmp_path / "a dir?")}).collect()
+    assert [(r["session_id"], r["input"], r["output"]) for r in rows] == [("s1", 9, 1)]
+    with pytest.raises(Exception, match="nowhere"):
+        sqlite.kilo(spark, f"{tmp_path}/nowhere").collect()
+    with sqlite3.connect(tmp_path / "odd.db") as db:
+        db.execute("CREATE TABLE message(id)")
+        db.execute("INSERT INTO message VALUES('m1')")
+    with pytest.raises(Exception, match="no such column"):
+        sqlite.kilo(spark, f"{tmp_path}/odd.db").collect()
+
+
 def test_registry(spark, tmp_path):
     put(tmp_path / "pi/sessions/p/x_s.jsonl", {"id": "1", "timestamp": AT.format(1, 1), "message": {"role": "assistant", "usage": {"input": 3}}})
     doc(tmp_path / "amp/a.json", {"id": "t", "messages": []})
