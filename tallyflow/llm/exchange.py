@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import shuffle_partitions
@@ -22,9 +22,18 @@ _SENT = pa.schema([("part", pa.int64()), ("bucket", pa.int64()), ("once", pa.bin
 _FOUND = pa.schema([("bucket", pa.int64()), ("found", pa.binary())])
 
 
-def bucketed(docs: DataFrame, *columns: str, times: int = 1) -> DataFrame:
-    """`docs` with a bucket number: `times` buckets a shuffle partition, even when ids repeat or are null."""
-    count = shuffle_partitions(docs.sparkSession) * times
+#: Bytes that a bucket holds at most, about: a task has one bucket at a time in memory.
+BUCKET = 64 << 20
+
+
+def bucket_count(docs: DataFrame, size: Column, times: int = 1, most: int = BUCKET) -> int:
+    """How many buckets: `times` a shuffle partition, and more where these would hold over `most` bytes; `size` is a row's bytes."""
+    whole = docs.agg(F.sum(F.coalesce(size, F.lit(0)).cast("long"))).first()[0] or 0
+    return max(shuffle_partitions(docs.sparkSession) * times, -(-whole // most))
+
+
+def bucketed(docs: DataFrame, count: int, *columns: str) -> DataFrame:
+    """`docs` with the number of one of `count` buckets, even when ids repeat or are null; whole rows each, so copies of one row share one."""
     return docs.withColumn("bucket", F.pmod(F.xxhash64(*columns), F.lit(count)))
 
 

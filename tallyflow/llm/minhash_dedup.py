@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from . import exchange
 from .components import components, joined
-from .scratch import Scratch, shuffle_partitions
+from .scratch import Scratch
 from .textkit import LOWER, U64, WHITESPACE, Words, mix, pieces, text_bytes, windows
 
 BANDS, ROWS = 40, 6
@@ -174,8 +174,8 @@ def _differences(batches):
 
 def _members(reps: DataFrame) -> DataFrame:
     """For (rep, n, bands): rep, n and key for every band key that another class has too."""
-    parts = shuffle_partitions(reps.sparkSession)
-    dealt = exchange.bucketed(reps, "rep").groupBy("bucket")
+    parts = exchange.bucket_count(reps, F.lit(8 * BANDS + 16))
+    dealt = exchange.bucketed(reps, parts, "rep").groupBy("bucket")
 
     def flat(column: pa.ChunkedArray) -> np.ndarray:
         return np.concatenate([np.zeros(0, np.int64), *(c.flatten().to_numpy(zero_copy_only=False) for c in column.chunks)])

@@ -19,7 +19,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange
-from .scratch import shuffle_partitions
 from .textkit import WHITESPACE, Words, covered, pieces, text_bytes, windows
 
 #: Perfect difference covers by period; every residue is a difference of two members.
@@ -74,11 +73,11 @@ def join_words(w: Words, keep: np.ndarray) -> pa.Array:
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bound) - 1, [None, pa.py_buffer(end[bound].astype(np.int64)), pa.py_buffer(out)]).cast(pa.binary()).cast(pa.string())
 
 
-def dedup_substrings(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: n_words, n_removed, kept_text without the words of any window that starts elsewhere too."""
-    spark = docs.sparkSession
-    parts = shuffle_partitions(spark)
-    base = exchange.bucketed(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "text")
+def dedup_substrings(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text", most: int = exchange.BUCKET) -> DataFrame:
+    """Per document: n_words, n_removed, kept_text without the words of any window that starts elsewhere too. A bucket has about `most` bytes of text."""
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    parts = exchange.bucket_count(base, F.octet_length("text") + 64, most=most)
+    base = exchange.bucketed(base, parts, "doc_id", "text")
 
     def anchors(key, table):
         found = [np.zeros(0, np.uint64)]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tallyflow.llm import queries as Q
 from tallyflow.llm.decontamination import decontaminate, near_phrases
+from tallyflow.llm.exchange import bucket_count
 from tallyflow.llm.line_dedup import dedup_lines
 from tallyflow.llm.minhash_dedup import near_duplicates
 from tallyflow.llm.substring_dedup import dedup_substrings
@@ -53,6 +54,19 @@ def test_substring_dedup(spark, window):
     assert sorted(map(tuple, got), key=str) == sorted(brute.substrings(rows, window), key=str)
 
 
+def test_buckets_follow_the_input(spark):
+    """With a bound of a few documents a bucket there are more buckets than shuffle partitions, and the same rows."""
+    rows = corpus(unique=False)
+    df = frame(spark, rows, extra=False)
+    size = sum(len((t or "").encode()) + 64 for _, t in rows)
+    assert bucket_count(df, F.octet_length("text") + 64, most=5000) >= size // 5000 > 4 == bucket_count(df, F.octet_length("text") + 64)
+    assert bucket_count(df.where("false"), F.octet_length("text"), most=5000) == 4
+    got = dedup_substrings(df, 35, most=5000).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(brute.substrings(rows, 35), key=str)
+    got = dedup_bytes(frame(spark, rows[:70], extra=False), 50, block=4000, chunk=512, most=5000).collect()
+    assert sorted(((*r[:4], bytes(r[4])) for r in got), key=str) == sorted(brute.byte_strings(rows[:70], 50), key=str)
+
+
 @pytest.mark.parametrize("length", [50, 7, 24])
 def test_suffix_dedup(spark, length):
     rows = corpus(unique=False)[:70]
