@@ -13,6 +13,7 @@ from .line_dedup import dedup_lines
 from .minhash_dedup import near_duplicates
 from .mixing import mix, topic_of
 from .nn_descent import nearest
+from .piece_encoding import encode_pieces
 from .sql import ORACLES
 from .substring_dedup import dedup_substrings
 from .suffix_dedup import dedup_bytes
@@ -80,6 +81,13 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = encode_pieces(table(spark, sf_dir, "documents"))
+    ids = F.sha2(F.array_join(F.transform("ids", lambda i: i.cast("string")), ",").cast("binary"), 256)
+    covered = F.coalesce(F.element_at("ends", -1) - F.element_at("starts", 1), F.lit(0).cast("long"))
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids.alias("ids_sha256"), _sha256("decoded").alias("decoded_sha256"), covered.alias("n_bytes_covered"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the contract's deviation is a long; one that is none is null
     return whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
@@ -97,6 +105,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_line_dedup": op8_line_dedup,
         "op9_token_counts": op9_token_counts,
         "op10_suffix_dedup": op10_suffix_dedup,
+        "op11_piece_encoding": op11_piece_encoding,
         "op13_whitening": op13_whitening,
     }
 
