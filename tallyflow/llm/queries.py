@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .collocations import collocations
 from .decontamination import decontaminate
 from .language_id import held_out, predict, train
 from .line_dedup import dedup_lines
@@ -88,6 +89,10 @@ def op11_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids.alias("ids_sha256"), _sha256("decoded").alias("decoded_sha256"), covered.alias("n_bytes_covered"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the contract's deviation is a long; one that is none is null
     return whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
@@ -106,6 +111,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_token_counts": op9_token_counts,
         "op10_suffix_dedup": op10_suffix_dedup,
         "op11_piece_encoding": op11_piece_encoding,
+        "op12_collocations": op12_collocations,
         "op13_whitening": op13_whitening,
     }
 

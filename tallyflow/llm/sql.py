@@ -80,6 +80,20 @@ def _mixing() -> str:
       CAST('0x' || substr(md5('mix-' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) / 4503599627370496.0 < least(1.0, 0.5 * w) AS kept FROM p"""
 
 
+COLLOCATIONS = f"""WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, 'und') AS lang, {_low("coalesce(text, '')")} AS t FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM d),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws FROM p),
+t AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, m, array_to_string(ws[i : i + m - 1], ' ') AS phrase, count(*) AS a FROM (SELECT lang, ws, m, unnest(range(1, len(ws) - m + 2)) AS i FROM w CROSS JOIN range(1, 6) r(m)) GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT lang, m, phrase, a, string_split(phrase, ' ') AS ws FROM g WHERE m > 1),
+cut AS (SELECT lang, phrase, a, k, array_to_string(ws[1 : k], ' ') AS one, array_to_string(ws[k + 1 :], ' ') AS two FROM (SELECT *, unnest(range(1, m)) AS k FROM c)),
+s AS (SELECT cut.lang, cut.phrase, cut.a, n, k, x.a AS l, y.a AS r, (1000 * cut.a::HUGEINT * n) // (x.a::HUGEINT * y.a) AS score FROM cut JOIN t USING (lang) JOIN g x ON x.lang = cut.lang AND x.phrase = one JOIN g y ON y.lang = cut.lang AND y.phrase = two),
+low AS (SELECT lang, phrase, a, n, l, r, CAST(score AS BIGINT) AS score FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (SELECT DISTINCT lang, array_to_string(ws[i : i + q - 1], ' ') AS phrase, a AS f FROM (SELECT lang, a, ws, m, q, unnest(range(1, m - q + 2)) AS i FROM c JOIN range(2, 5) z(q) ON q < m)),
+kept AS (SELECT * FROM low WHERE NOT EXISTS (FROM inside WHERE inside.lang = low.lang AND inside.phrase = low.phrase AND 100 * f >= 100 * a))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM kept QUALIFY rank <= 2000"""
+
+
 ORACLES = {
     "op3_substring_dedup": SUBSTRING,
     "op4_decontamination": DECONTAMINATION,
@@ -87,4 +101,5 @@ ORACLES = {
     "op6_minhash_dedup": NEAR_DUPLICATES,
     "op7_mixing": _mixing(),
     "op8_line_dedup": LINE_DEDUP,
+    "op12_collocations": COLLOCATIONS,
 }
