@@ -1,7 +1,7 @@
 """Phrase collocations by position bitmaps: phrases grow by shift, AND and popcount, depth first, shard by shard.
 
 A shard is a run of texts of one language, some 16 MB, written once. In it every frequent word has a bitmap of
-its positions, compressed to the 64-bit words that hold a bit. The words of a piece stand at consecutive
+its positions, compressed to the chunks of 16 positions that hold a bit (so short that few words share one). The words of a piece stand at consecutive
 positions and pieces have a gap between them, so a phrase that is moved on by one position meets its next words
 by AND, within its piece, and the popcount of what is left is the longer phrase's count in the shard. Blocks
 of phrases are extended at once, each to its full length before the next block is taken up.
@@ -33,6 +33,8 @@ from .scratch import Scratch
 from .textkit import LOWER, Words, mix, pieces, text_bytes
 
 U64 = np.uint64
+#: A chunk of a bitmap: its type, and the positions it has as a power of two.
+CHUNK, WIDTH = np.uint16, 4
 _SHARD = "id long, lang string, n long, words binary, counts binary, tokens binary"
 _SHARDS = pa.schema([("id", pa.int64()), ("lang", pa.string()), ("n", pa.int64()), ("words", pa.binary()), ("counts", pa.binary()), ("tokens", pa.binary())])
 _BITMAP = "id long, lang string, words binary, word binary, chunk binary, bits binary"
@@ -211,7 +213,7 @@ class Shard:
     def __init__(self, row: dict):
         self.lang, self.spelt = row["lang"], row["words"].split(b" ")[:-1]
         self.hashes = _hashes(row["words"])
-        self.word, self.chunk, self.bits = _unpacked(row["word"], np.int32), np.cumsum(_unpacked(row["chunk"], np.int32), dtype=np.int64), _unpacked(row["bits"], U64)
+        self.word, self.chunk, self.bits = _unpacked(row["word"], np.int32), np.cumsum(_unpacked(row["chunk"], np.int32), dtype=np.int64), _unpacked(row["bits"], CHUNK)
         self.at = np.searchsorted(self.chunk, np.arange(self.chunk[-1] + 3 if len(self.chunk) else 2))
         self.seed = _seed(self.lang)
 
@@ -222,9 +224,9 @@ class Shard:
 
     def grown(self, held: Phrases) -> Phrases:
         """Every phrase that follows from one of `held` by a word: shift by a position, AND with the words of the chunk."""
-        carry = held.bits >> U64(63)
+        carry = held.bits >> CHUNK((1 << WIDTH) - 1)
         over = carry > 0
-        of, chunk, bits = np.concatenate((held.of, held.of[over])), np.concatenate((held.chunk, held.chunk[over] + 1)), np.concatenate((held.bits << U64(1), carry[over]))
+        of, chunk, bits = np.concatenate((held.of, held.of[over])), np.concatenate((held.chunk, held.chunk[over] + 1)), np.concatenate((held.bits << CHUNK(1), carry[over]))
         size = self.at[chunk + 1] - self.at[chunk]
         with_ = _span(self.at[chunk], size)
         both = np.repeat(bits, size) & self.bits[with_]
@@ -244,8 +246,8 @@ class Shard:
             keys = _grown(keys, self.hashes[column])
         return keys
 
-    def walk(self, told: dict[int, np.ndarray], length: int, block: int = 1 << 16) -> Iterator[tuple[int, Phrases]]:
-        """Phrases of up to `length` words whose shorter parts are frequent by `told`, depth first."""
+    def walk(self, told: dict[int, np.ndarray], known: int, length: int, block: int = 1 << 16) -> Iterator[tuple[int, Phrases]]:
+        """Phrases of up to `length` words, depth first; frequent by `told` up to `known` words, beyond that only their shorter parts."""
         none = np.zeros(0, U64)
 
         def below(held: Phrases, size: int):
@@ -253,7 +255,7 @@ class Shard:
             if size < length:
                 for part in held.blocks(block):
                     more = self.grown(part)
-                    fine = _held(more.keys, told.get(size + 1, none)) if size + 1 < length else np.ones(len(more.keys), bool)
+                    fine = _held(more.keys, told.get(size + 1, none)) if size < known else np.ones(len(more.keys), bool)
                     if size > 1:
                         fine &= _held(self.without_first(more.words), told.get(size, none))
                     yield from below(more.kept(fine), size + 1)
@@ -286,9 +288,9 @@ def phrase_counts(docs: DataFrame, scratch: Scratch, min_count: int, longest: in
             number = np.concatenate(([-1], np.where(often, np.cumsum(often) - 1, -1)))
             tokens = number[_unpacked(row["tokens"], np.int32)]
             at = np.flatnonzero(tokens >= 0)
-            pair = (at >> 6) * len(spelt) + tokens[at]
+            pair = (at >> WIDTH) * len(spelt) + tokens[at]
             order = np.argsort(pair, kind="stable")
-            pair, bit = pair[order], U64(1) << (at[order] & 63).astype(U64)
+            pair, bit = pair[order], CHUNK(1) << (at[order] & ((1 << WIDTH) - 1)).astype(CHUNK)
             first = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1])))
             chunk, word = np.divmod(pair[first], len(spelt))
             kept = b"".join(w + b" " for w, o in zip(spelt, often, strict=True) if o)
@@ -304,7 +306,7 @@ def phrase_counts(docs: DataFrame, scratch: Scratch, min_count: int, longest: in
             out = [pa.table([[], [], [], []], schema=_SENT)]
             told = _told(found)
             for row in shard.to_pylist():
-                got = [(p.keys, p.counts()) for size, p in Shard(row).walk(told, length) if size == length]
+                got = [(p.keys, p.counts()) for size, p in Shard(row).walk(told, length - 1, length) if size == length]
                 keys, counts = (np.concatenate(x) for x in zip(*got, strict=True)) if got else (np.zeros(0, U64), np.zeros(0, np.int64))
                 out.append(_send(row["id"], keys, counts, parts))
             return pa.concat_tables(out)
@@ -316,13 +318,13 @@ def phrase_counts(docs: DataFrame, scratch: Scratch, min_count: int, longest: in
         told = _told(found)
         for row in shard.to_pylist():
             own = Shard(row)
-            for size, p in own.walk(told, longest):
+            for size, p in own.walk(told, longest, longest):
                 spelt = [b" ".join([own.spelt[w] for w in ws]) for ws in p.words.tolist()]
                 out.append(pa.table([pa.array([own.lang] * len(spelt), pa.string()), pa.array([size] * len(spelt), pa.int32()), pa.array(spelt, pa.binary()), pa.array(p.counts())], schema=_COUNTED))
         return pa.concat_tables(out)
 
     found = docs.sparkSession.createDataFrame([], "id long, length int, keys binary")
-    for length in range(2, longest):
+    for length in range(2, longest + 1):
         sent = held.groupBy("id").cogroup(found.groupBy("id")).applyInArrow(phrases(length), "part long, id long, keys binary, counts binary")
         found = found.unionByName(scratch.keep(frequent(sent, length), f"frequent-{length}"))
     counted = held.groupBy("id").cogroup(found.groupBy("id")).applyInArrow(spell, "lang string, length int, phrase binary, a long")
