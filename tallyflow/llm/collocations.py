@@ -8,10 +8,9 @@ of phrases are extended at once, each to its full length before the next block i
 
 Whether a phrase is frequent only the sum over shards tells. So shards send fingerprints and popcounts of their
 phrases, length by length, packed for ranges of the fingerprint; what reaches `min_count` is told back to the
-shards that hold it, and only such phrases are extended, by words that end such phrases themselves. Equal
-fingerprints of different phrases can only let a rare phrase pass, as sums do not fall; at the end shards send
-phrases as text, and their sums are exact. Nothing is cut off by size: shards, ranges and blocks bound memory,
-not results.
+shards that hold it, and only such phrases are extended, by words that end such phrases themselves. Sums are by
+128 bits; of each frequent phrase one shard is told the sum and spells it out at the end. Nothing is cut off by
+size: shards, ranges and blocks bound memory, not results.
 
 Defined results: null and empty texts and texts of separators alone have no words; a missing language is `und`;
 repeated rows count once each, with or without ids; whole texts of any length are used, a text is never cut
@@ -39,8 +38,10 @@ _SHARD = "id long, lang string, n long, words binary, counts binary, tokens bina
 _SHARDS = pa.schema([("id", pa.int64()), ("lang", pa.string()), ("n", pa.int64()), ("words", pa.binary()), ("counts", pa.binary()), ("tokens", pa.binary())])
 _BITMAP = "id long, lang string, words binary, word binary, chunk binary, bits binary"
 _BITMAPS = pa.schema([("id", pa.int64()), ("lang", pa.string()), ("words", pa.binary()), ("word", pa.binary()), ("chunk", pa.binary()), ("bits", pa.binary())])
-_SENT = pa.schema([("part", pa.int64()), ("id", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
-_FOUND = pa.schema([("id", pa.int64()), ("length", pa.int32()), ("keys", pa.binary())])
+_SEND = "part long, id long, keys binary, checks binary, counts binary"
+_SENT = pa.schema([("part", pa.int64()), ("id", pa.int64()), ("keys", pa.binary()), ("checks", pa.binary()), ("counts", pa.binary())])
+_TELL = "id long, length int, keys binary, own_keys binary, own_checks binary, own_sums binary"
+_FOUND = pa.schema([("id", pa.int64()), ("length", pa.int32()), ("keys", pa.binary()), ("own_keys", pa.binary()), ("own_checks", pa.binary()), ("own_sums", pa.binary())])
 _COUNTED = pa.schema([("lang", pa.string()), ("length", pa.int32()), ("phrase", pa.binary()), ("a", pa.int64())])
 _STEP = U64(0x9E3779B97F4A7C15)
 
@@ -63,10 +64,10 @@ def _unpacked(held: bytes, kind: type) -> np.ndarray:
     return np.frombuffer(pa.decompress(held[8:], decompressed_size=size, codec="zstd", asbytes=True) if size else b"", kind)
 
 
-def _hashes(joined: bytes) -> np.ndarray:
+def _hashes(joined: bytes, family: int = 0) -> np.ndarray:
     """Fingerprints of words that stand with a space after each."""
     data = np.frombuffer(joined, np.uint8)
-    return Words(data, np.array([0, len(data)]), _SPACES).hashes()
+    return Words(data, np.array([0, len(data)]), _SPACES).hashes(family)
 
 
 def _seed(lang: str) -> U64:
@@ -146,31 +147,35 @@ def _shards(block: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
     return cut
 
 
-def _send(id_: int, keys: np.ndarray, counts: np.ndarray, parts: int) -> pa.Table:
-    """A shard's fingerprints and counts, a row for each range of fingerprints."""
+def _send(id_: int, keys: np.ndarray, checks: np.ndarray, counts: np.ndarray, parts: int) -> pa.Table:
+    """A shard's fingerprints, their second halves and counts, a row for each range of fingerprints."""
     order = np.argsort(keys)
-    keys, counts = keys[order], counts[order]
-    part = ((keys >> U64(32)) * U64(parts) >> U64(32)).astype(np.int64)
+    part = ((keys[order] >> U64(32)) * U64(parts) >> U64(32)).astype(np.int64)
     cut = np.searchsorted(part, np.arange(parts + 1))
     full = np.flatnonzero(np.diff(cut))
-    spans = [slice(cut[p], cut[p + 1]) for p in full]
-    return pa.table([pa.array(full, pa.int64()), pa.array(np.full(len(full), id_), pa.int64()), pa.array([keys[s].tobytes() for s in spans], pa.binary()), pa.array([counts[s].astype(np.int64).tobytes() for s in spans], pa.binary())], schema=_SENT)
+    spans = [order[cut[p] : cut[p + 1]] for p in full]
+    return pa.table([pa.array(full, pa.int64()), pa.array(np.full(len(full), id_), pa.int64()), *(pa.array([x[s].tobytes() for s in spans], pa.binary()) for x in (keys, checks, counts.astype(np.int64)))], schema=_SENT)
 
 
 def _frequent(min_count: int, length: int) -> Callable[[pa.Table], pa.Table]:
-    """For a range of fingerprints: those with enough in all shards, told to each shard that has them."""
+    """For a range of fingerprints: those with enough in all shards, told to each shard that has them, with their sums to the first."""
 
     def tell(table: pa.Table) -> pa.Table:
-        own = [np.frombuffer(k, U64) for k in table["keys"].to_pylist()]
-        keys = np.concatenate(own)
-        counts = np.concatenate([np.frombuffer(c, np.int64) for c in table["counts"].to_pylist()])
-        order = np.argsort(keys, kind="stable")
-        keys, counts = keys[order], counts[order]
-        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-        often = keys[first[np.add.reduceat(counts, first) >= min_count]]
-        told = [(i, x[_held(x, often)]) for i, x in zip(table["id"].to_pylist(), own, strict=True)]
-        told = [(i, x) for i, x in told if len(x)]
-        return pa.table([pa.array([i for i, _ in told], pa.int64()), pa.array([length] * len(told), pa.int32()), pa.array([x.tobytes() for _, x in told], pa.binary())], schema=_FOUND)
+        each = [[np.frombuffer(x, kind) for x in table[c].to_pylist()] for c, kind in (("keys", U64), ("checks", U64), ("counts", np.int64))]
+        keys, checks, counts = (np.concatenate(x) for x in each)
+        row = np.repeat(np.arange(table.num_rows), [len(x) for x in each[0]])
+        order = np.lexsort((row, checks, keys))
+        keys, checks, counts, row = keys[order], checks[order], counts[order], row[order]
+        first = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]) | (checks[1:] != checks[:-1]))))
+        sums = np.add.reduceat(counts, first)
+        first, sums = first[sums >= min_count], sums[sums >= min_count]
+        often = np.unique(keys[first])
+        out = []
+        for k, (id_, own) in enumerate(zip(table["id"].to_pylist(), each[0], strict=True)):
+            held, mine = own[_held(own, often)], row[first] == k
+            if len(held):
+                out.append((id_, length, held.tobytes(), keys[first[mine]].tobytes(), checks[first[mine]].tobytes(), sums[mine].tobytes()))
+        return pa.table([pa.array([r[k] for r in out], t) for k, t in enumerate(_FOUND.types)], schema=_FOUND)
 
     return tell
 
@@ -183,6 +188,15 @@ def _told(found: pa.Table) -> dict[int, np.ndarray]:
     return {k: np.sort(np.concatenate(v)) for k, v in out.items()}
 
 
+def _own(found: pa.Table) -> dict[int, dict[tuple[int, int], int]]:
+    """The sums of the phrases that a shard is to spell, by length and fingerprint."""
+    out: dict[int, dict[tuple[int, int], int]] = {}
+    for length, *held in zip(*(found[c].to_pylist() for c in ("length", "own_keys", "own_checks", "own_sums")), strict=True):
+        keys, checks, sums = (np.frombuffer(x, kind).tolist() for x, kind in zip(held, (U64, U64, np.int64), strict=True))
+        out.setdefault(length, {}).update(zip(zip(keys, checks, strict=True), sums, strict=True))
+    return out
+
+
 class Phrases:
     """Phrases of one length and their bitmaps: entry k of phrase `of[k]` has `bits[k]` in chunk `chunk[k]`."""
 
@@ -212,7 +226,7 @@ class Shard:
 
     def __init__(self, row: dict):
         self.lang, self.spelt = row["lang"], row["words"].split(b" ")[:-1]
-        self.hashes = _hashes(row["words"])
+        self.hashes, self.second = _hashes(row["words"]), _hashes(row["words"], 1)
         self.word, self.chunk, self.bits = _unpacked(row["word"], np.int32), np.cumsum(_unpacked(row["chunk"], np.int32), dtype=np.int64), _unpacked(row["bits"], CHUNK)
         self.at = np.searchsorted(self.chunk, np.arange(self.chunk[-1] + 3 if len(self.chunk) else 2))
         self.seed = _seed(self.lang)
@@ -246,6 +260,13 @@ class Shard:
             keys = _grown(keys, self.hashes[column])
         return keys
 
+    def checks(self, words: np.ndarray) -> np.ndarray:
+        """The second halves of the fingerprints of phrases."""
+        keys = np.full(len(words), self.seed, U64)
+        for column in words.T:
+            keys = _grown(keys, self.second[column])
+        return keys
+
     def walk(self, told: dict[int, np.ndarray], known: int, length: int, block: int = 1 << 16) -> Iterator[tuple[int, Phrases]]:
         """Phrases of up to `length` words, depth first; frequent by `told` up to `known` words, beyond that only their shorter parts."""
         none = np.zeros(0, U64)
@@ -273,11 +294,11 @@ def phrase_counts(docs: DataFrame, scratch: Scratch, min_count: int, longest: in
     def words(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                keys = _grown(_seed(row["lang"]), _hashes(row["words"]))
-                yield from _send(row["id"], keys, _unpacked(row["counts"], np.int32), parts).to_batches()
+                keys, checks = (_grown(_seed(row["lang"]), _hashes(row["words"], k)) for k in (0, 1))
+                yield from _send(row["id"], keys, checks, _unpacked(row["counts"], np.int32), parts).to_batches()
 
     def frequent(sent: DataFrame, length: int) -> DataFrame:
-        return sent.groupBy("part").applyInArrow(_frequent(min_count, length), "id long, length int, keys binary")
+        return sent.groupBy("part").applyInArrow(_frequent(min_count, length), _TELL)
 
     def bitmaps(key, shard, found):
         out = []
@@ -297,39 +318,42 @@ def phrase_counts(docs: DataFrame, scratch: Scratch, min_count: int, longest: in
             out.append((row["id"], row["lang"], kept, _packed(word.astype(np.int32)), _packed(np.diff(chunk, prepend=0).astype(np.int32)), _packed(np.bitwise_or.reduceat(bit, first))))
         return pa.table([pa.array([r[k] for r in out], t) for k, t in enumerate(_BITMAPS.types)], schema=_BITMAPS)
 
-    held = shards.groupBy("id").cogroup(frequent(shards.select("id", "lang", "words", "counts").mapInArrow(words, "part long, id long, keys binary, counts binary"), 1).groupBy("id")).applyInArrow(bitmaps, _BITMAP)
+    found = scratch.keep(frequent(shards.select("id", "lang", "words", "counts").mapInArrow(words, _SEND), 1), "frequent-1")
+    held = shards.groupBy("id").cogroup(found.select("id", "length", "keys").groupBy("id")).applyInArrow(bitmaps, _BITMAP)
     held = scratch.keep(held, "bitmaps")
     scratch.drop("shards")
 
     def phrases(length):
         def send(key, shard, found):
-            out = [pa.table([[], [], [], []], schema=_SENT)]
+            out = [pa.table([[]] * len(_SENT), schema=_SENT)]
             told = _told(found)
             for row in shard.to_pylist():
-                got = [(p.keys, p.counts()) for size, p in Shard(row).walk(told, length - 1, length) if size == length]
-                keys, counts = (np.concatenate(x) for x in zip(*got, strict=True)) if got else (np.zeros(0, U64), np.zeros(0, np.int64))
-                out.append(_send(row["id"], keys, counts, parts))
+                own = Shard(row)
+                got = [(p.keys, own.checks(p.words), p.counts()) for size, p in own.walk(told, length - 1, length) if size == length]
+                if got:
+                    out.append(_send(row["id"], *(np.concatenate(x) for x in zip(*got, strict=True)), parts))
             return pa.concat_tables(out)
 
         return send
 
     def spell(key, shard, found):
         out = [pa.table([[], [], [], []], schema=_COUNTED)]
-        told = _told(found)
+        told, sums = _told(found), _own(found)
         for row in shard.to_pylist():
             own = Shard(row)
             for size, p in own.walk(told, longest, longest):
-                spelt = [b" ".join([own.spelt[w] for w in ws]) for ws in p.words.tolist()]
-                out.append(pa.table([pa.array([own.lang] * len(spelt), pa.string()), pa.array([size] * len(spelt), pa.int32()), pa.array(spelt, pa.binary()), pa.array(p.counts())], schema=_COUNTED))
+                mine = sums.get(size, {})
+                at = np.flatnonzero(_held(p.keys, np.sort(np.array([k for k, _ in mine], U64))))
+                asked = [mine.get(k) for k in zip(p.keys[at].tolist(), own.checks(p.words[at]).tolist(), strict=True)]
+                spelt = [(b" ".join([own.spelt[w] for w in ws]), a) for ws, a in zip(p.words[at].tolist(), asked, strict=True) if a is not None]
+                out.append(pa.table([pa.array([own.lang] * len(spelt), pa.string()), pa.array([size] * len(spelt), pa.int32()), pa.array([w for w, _ in spelt], pa.binary()), pa.array([a for _, a in spelt], pa.int64())], schema=_COUNTED))
         return pa.concat_tables(out)
 
-    found = docs.sparkSession.createDataFrame([], "id long, length int, keys binary")
     for length in range(2, longest + 1):
-        sent = held.groupBy("id").cogroup(found.groupBy("id")).applyInArrow(phrases(length), "part long, id long, keys binary, counts binary")
+        sent = held.groupBy("id").cogroup(found.select("id", "length", "keys").groupBy("id")).applyInArrow(phrases(length), _SEND)
         found = found.unionByName(scratch.keep(frequent(sent, length), f"frequent-{length}"))
     counted = held.groupBy("id").cogroup(found.groupBy("id")).applyInArrow(spell, "lang string, length int, phrase binary, a long")
-    summed = counted.groupBy("lang", "length", "phrase").agg(F.sum("a").alias("a")).where(F.col("a") >= min_count)
-    return totals, scratch.keep(summed.select("lang", "length", F.col("phrase").cast("string").alias("phrase"), "a"), "counts")
+    return totals, scratch.keep(counted.select("lang", "length", F.col("phrase").cast("string").alias("phrase"), "a"), "counts")
 
 
 def _exact(*factors: Column | str) -> Column:
