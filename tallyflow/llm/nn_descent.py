@@ -2,7 +2,8 @@
 
 Random projection trees deal the vectors to blocks of about `block`: each inner node splits at the median
 between two of its sample's vectors. The trees are fitted on at most `SAMPLE` vectors (so they have at most
-`SAMPLE` / 8 leaves; where that leaves blocks too large, a hash of the id splits them on), all vectors are dealt.
+`SAMPLE` / 8 leaves; where that leaves blocks too large, each tree splits them on by a hash of the id that is its
+own, so that no class of vectors is cut off from the others), all vectors are dealt.
 Each vector starts with its best neighbours within its block of each of `TREES` trees, so that blocks of
 one tree are joined by those of the others. Then rounds join neighbours of neighbours, wherever they are: a
 vector's neighbours, forward and a sample of reverse, are compared with each other, and each keeps its best. Rounds go
@@ -164,8 +165,9 @@ class Graph:
                 if not batch.num_rows:
                     continue
                 ids, held = batch["own"].to_numpy(), np.frombuffer(b"".join(batch["vec"].to_pylist()), np.float32).reshape(batch.num_rows, -1)
-                on = (mix(ids.view(np.uint64)) % np.uint64(cuts)).astype(np.int64)
-                leaves = np.stack([t.leaves(ids, held) * cuts + on for t in grown.value], axis=1)
+                # each tree cuts its large leaves by a hash of its own, so that the parts of one are joined by those of the others
+                cut = [(mix(mix(ids.view(np.uint64)) + np.uint64(t.seed)) % np.uint64(cuts)).astype(np.int64) for t in grown.value]
+                leaves = np.stack([t.leaves(ids, held) * cuts + c for t, c in zip(grown.value, cut, strict=True)], axis=1)
                 yield pa.RecordBatch.from_arrays([batch["own"], batch["vec"], pa.array(leaves[:, 0]), _lists(leaves[:, 1:].reshape(-1), np.full(len(ids), trees - 1), pa.int64())], names=["own", "vec", "block", "others"])
 
         def number(key, table):

@@ -51,3 +51,18 @@ def test_tiny_and_huge_components(spark):
     half = 0.5**0.5
     for pair, score in {(0, 1): 1, (0, 2): half, (1, 3): -half, (2, 3): 0, (4, 0): 1, (5, 3): half, (5, 0): 0}.items():
         assert got[pair] == pytest.approx(score, abs=1e-12), pair
+
+
+@pytest.mark.parametrize(("sample", "block"), [(32, 64), (8192, 2)])
+def test_leaves_cut_by_hash_stay_connected(spark, monkeypatch, sample, block):
+    """Trees that stop early have leaves that a hash cuts in ten parts or more: neighbours are found across them."""
+    from tallyflow.llm import nn_descent
+
+    monkeypatch.setattr(nn_descent, "SAMPLE", sample)
+    n = 6000 if sample == 32 else 12000
+    vectors = made("clustered", n)
+    got = {}
+    for r in nearest(frame(spark, vectors), F.col("vec_id") % 50 == 0, block=block).collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    exact = brute.nearest(list(enumerate(vectors)), set(range(0, n, 50)))
+    assert sum(len(set(got[q]) & set(exact[q])) for q in exact) >= 0.9 * sum(map(len, exact.values()))

@@ -1,6 +1,7 @@
 """Every stage of the pipeline against a plain version, on the documents that the stage before kept."""
 
 import brute
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from tallyflow.llm.language_id import held_out
@@ -65,3 +66,21 @@ def test_near_dedup_keeps_one_row_a_group_whatever_the_ids(spark):
     assert len(nameless) == 2 and text(0) in nameless and set(nameless) - {text(0)} <= {text(1), near(1, 1)}
     named = {r["doc_id"]: (r["component_id"], r["kept"]) for r in near_duplicates(docs).collect() if r["doc_id"] is not None}
     assert named == {4: (4, True), 5: (5, True), 6: (6, True), 7: (6, False), 8: (6, False), 9: (9, True), 10: (10, True)}
+
+
+def test_clashing_columns_missing_ids_repeated_rows_and_a_long_text(spark, tmp_path):
+    clash = ("topic", "N_Tokens", "weight", "probability", "kept", "n_lines", "kept_text", "n_removed", "_said", "_bad_ord", "ord", "text_hash", "bucket", "component_id", "score")
+    words = lambda k, n: " ".join(f"the {k} cat{(k * 7919 + i * i) % 997} sat on a mat{i}" for i in range(n))
+    rows = [(i, words(i, 12), "en", "s", 10) for i in range(60)] + [(None, words(100 + i, 12), "en", "s", 10) for i in range(5)] + [(7, words(7, 12), "en", "s", 10)] * 3
+    rows += [(200, words(200, 30000), "en", None, 10), (201, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.withColumns({c: F.concat(F.lit(f"{c}-"), F.coalesce("doc_id", F.lit(0)).cast("string")) for c in clash})
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "nothing of the kind")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = P.run(spark, str(tmp_path))
+    assert got.columns == [*docs.columns, "mix_topic", "mix_n_tokens", "mix_weight", "mix_probability"]
+    kept = got.collect()
+    assert kept and all(r[c] == f"{c}-{r['doc_id'] or 0}" for r in kept for c in clash)
+    ids = [r["doc_id"] for r in kept if r["doc_id"] is not None]
+    assert len(ids) == len(set(ids)) and 201 not in ids
+    assert spark.read.parquet(f"{tmp_path}/documents.parquet").where("doc_id is null").count() == 5
