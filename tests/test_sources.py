@@ -246,3 +246,65 @@ def test_codex_replays_end_at_the_fork(spark, tmp_path):
     put(folder / "child.jsonl", {"timestamp": at, "type": "session_meta", "payload": {"id": "c", "forked_from_id": "p"}}, used(10, 0), used(20, 1), used(30, 2))
     rows = jsonl.codex(spark, str(tmp_path)).where("session_id = 'child'").collect()
     assert [r["input"] for r in rows] == [30]
+
+
+def test_a_large_log_is_split_and_numbered_as_one(spark, tmp_path):
+    from tallyflow.sources.files import documents as whole
+    from tallyflow.sources.files import lines
+
+    (tmp_path / "deep").mkdir()
+    for name, n in (("a.jsonl", 3000), ("deep/b.jsonl", 7), ("deep/c.jsonl", 900)):
+        (tmp_path / name).write_text("".join(f"{name} {i} é{'x' * (i % 50)}{chr(13) if i % 9 == 0 else ''}\n" if i % 5 else "\n" for i in range(n)) + "no end")
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+        spark.conf.set("spark.sql.files.openCostInBytes", "16")
+        read = lines(spark, str(tmp_path))
+        got = {(r["file"].rpartition("/")[2], r["line_ord"], r["line"]) for r in read.collect()}
+        rows = whole(spark, str(tmp_path), "*.jsonl").collect()
+        want = {(r["file"].rpartition("/")[2], n, line.rstrip("\r")) for r in rows for n, line in enumerate(r["value"].split("\n")) if line.rstrip("\r")}
+        assert got == want and read.rdd.getNumPartitions() > 10
+        one = lines(spark, str(tmp_path), marker="9 é")
+        assert {(r["file"].rpartition("/")[2], r["line_ord"], r["line"]) for r in one.where("file like '%a.jsonl'").collect()} == {x for x in want if "9 é" in x[2] and x[0] == "a.jsonl"}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", was[1])
+
+
+def test_codex_headless_entries_tiers_and_types(spark, tmp_path):
+    used = lambda i, usage, **more: {"timestamp": AT.format(1, i), "type": "event_msg", "payload": {"type": "token_count", "info": {"last_token_usage": usage}} | more}
+    tier = lambda i, **settings: {"timestamp": AT.format(1, i), "type": "event_msg", "payload": {"type": "thread_settings_applied", "thread_settings": settings}}
+    put(
+        tmp_path / "sessions/types.jsonl",
+        {"type": "turn_context", "payload": {"model": "one"}},
+        used(0, {"input_tokens": "100", "output_tokens": " 7 "}),
+        used(1, {"input_tokens": 1.0, "prompt_tokens": 50, "output_tokens": True}),
+        used(2, {"input_tokens": -3, "output_tokens": 4}),
+        used(3, {"input_tokens": {"a": 1}, "output_tokens": 4}),
+        used(4, {"input_tokens": 9}, model=5),
+        used(5, {"reasoning_tokens": 3}),
+        {"timestamp": True, "type": "event_msg", "payload": {"type": "token_count", "info": {"last_token_usage": {"input_tokens": 1}}}},
+        {"timestamp": 1772359206, "type": "event_msg", "payload": {"type": "token_count", "model": " ", "model_name": "two", "info": {"last_token_usage": {"input": 6}}}},
+        used(7, {"input_tokens": 0}, model="unused"),
+        used(8, {"input_tokens": 8}),
+        raw=['{ "timestamp": "2026-03-01T10:00:09.000Z", "type" : "event_msg", "payload": { "type" : "token_count", "info": {"last_token_usage": {"input_tokens": 11}, "last_token_usage": {"input_tokens": 12}}}}'],
+    )
+    rows = jsonl.codex(spark, str(tmp_path)).orderBy("ts_ms").collect()
+    assert [(r["model"], r["input"], r["output"]) for r in rows] == [("one", 100, 7), ("one", 50, 0), ("one", 0, 4), ("one", 0, 0), ("two", 6, 0), ("two", 8, 0), ("two", 12, 0)]
+
+    put(
+        tmp_path / "exec/sessions/run.jsonl",
+        {"created_at": 1772359200, "usage": {"prompt_tokens": 5, "cached_tokens": 9, "completion_tokens": 2}, "model": 7, "data": {"model_name": "three"}},
+        {"type": "turn.completed", "result": {"timestamp": AT.format(2, 1), "usage": {"input_tokens": 4, "output_tokens": 1}, "metadata": {"model": "four"}}},
+        {"type": "x", "usage": [1], "response": {"createdAt": AT.format(2, 2), "usage": {"input": 3}}},
+        {"usage": {"input_tokens": 0, "output_tokens": 0}, "data": {"usage": {"input_tokens": 99}}},
+        {"usage": {"total_tokens": 30}, "timestamp": AT.format(2, 3)},
+    )
+    rows = jsonl.codex(spark, str(tmp_path / "exec")).orderBy("ts_ms").collect()
+    assert [(r["model"], r["input"], r["cache_read"], r["output"]) for r in rows] == [("three", 0, 5, 2), ("four", 4, 0, 1), ("four", 3, 0, 0), ("four", 0, 0, 0)]
+
+    same = {"input_tokens": 10, "output_tokens": 1}
+    put(tmp_path / "t/sessions/a.jsonl", tier(0, service_tier="priority"), used(1, same), tier(2, other=1), used(3, same), tier(4, service_tier="odd"), used(5, same))
+    put(tmp_path / "t/sessions/b.jsonl", used(1, same), used(1, same | {"total_tokens": 12}), tier(2, service_tier="default"), used(3, same), used(5, same))
+    rows = jsonl.codex(spark, str(tmp_path / "t")).orderBy("session_id", "ts_ms").collect()
+    assert [(r["session_id"], r["ts_ms"] % 10_000, r["speed"]) for r in rows] == [("a", 1000, "fast"), ("a", 3000, "standard"), ("a", 5000, "standard"), ("b", 1000, None)]
