@@ -231,6 +231,22 @@ class Shard:
         self.at = np.searchsorted(self.chunk, np.arange(self.chunk[-1] + 3 if len(self.chunk) else 2))
         self.seed = _seed(self.lang)
 
+    def row(self, id_: int, spelt: bytes, use: np.ndarray) -> tuple:
+        """The shard as a row again, with the positions of `use` alone (a mask for each chunk)."""
+        bits = self.bits & use[self.chunk]
+        at = np.flatnonzero(bits)
+        return id_, self.lang, spelt, _packed(self.word[at]), _packed(np.diff(self.chunk[at], prepend=0).astype(np.int32)), _packed(bits[at])
+
+    def paired(self, told: np.ndarray, block: int = 1 << 16) -> np.ndarray:
+        """The positions that belong to frequent pairs, a mask for each chunk."""
+        ends = np.zeros(len(self.at) + 1, CHUNK)
+        for part in self.single().blocks(block):
+            pairs = self.grown(part)
+            pairs = pairs.kept(_held(pairs.keys, told))
+            np.bitwise_or.at(ends, pairs.chunk, pairs.bits)
+        starts = (ends >> CHUNK(1)) | (np.append(ends[1:], CHUNK(0)) << CHUNK((1 << WIDTH) - 1))
+        return ends | starts
+
     def single(self) -> Phrases:
         """The words themselves."""
         order = np.argsort(self.word, kind="stable")
@@ -349,9 +365,21 @@ def phrase_counts(docs: DataFrame, scratch: Scratch, min_count: int, longest: in
                 out.append(pa.table([pa.array([own.lang] * len(spelt), pa.string()), pa.array([size] * len(spelt), pa.int32()), pa.array([w for w, _ in spelt], pa.binary()), pa.array([a for _, a in spelt], pa.int64())], schema=_COUNTED))
         return pa.concat_tables(out)
 
+    def trim(key, shard, found):
+        told = _told(found).get(2, np.zeros(0, U64))
+        out = []
+        for row in shard.to_pylist():
+            own = Shard(row)
+            out.append(own.row(row["id"], row["words"], own.paired(told)))
+        return pa.table([pa.array([r[k] for r in out], t) for k, t in enumerate(_BITMAPS.types)], schema=_BITMAPS)
+
     for length in range(2, longest + 1):
         sent = held.groupBy("id").cogroup(found.select("id", "length", "keys").groupBy("id")).applyInArrow(phrases(length), _SEND)
         found = found.unionByName(scratch.keep(frequent(sent, length), f"frequent-{length}"))
+        if length == 2:
+            # what is in no frequent pair is in no longer phrase: later rounds carry the rest alone
+            held = scratch.keep(held.groupBy("id").cogroup(found.select("id", "length", "keys").groupBy("id")).applyInArrow(trim, _BITMAP), "pairs")
+            scratch.drop("bitmaps")
     counted = held.groupBy("id").cogroup(found.groupBy("id")).applyInArrow(spell, "lang string, length int, phrase binary, a long")
     return totals, scratch.keep(counted.select("lang", "length", F.col("phrase").cast("string").alias("phrase"), "a"), "counts")
 
