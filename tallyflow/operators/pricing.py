@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,26 +22,92 @@ def holds_key(value: Column, key: Column) -> Column:
     return F.call_function("rlike", value, F.concat(F.lit(r"(?<![0-9A-Za-z])\Q"), key, F.lit(r"\E(?![0-9A-Za-z])"), newer))
 
 
-def resolve_models(names: DataFrame, card: DataFrame, column: str = "model") -> DataFrame:
-    """For each distinct name the key of its price: exact, then alias, then the longest key that fits, then all again for the clean name.
+#: A card of so many bytes at most is sent to every task and compared with every name.
+SMALL_CARD = 1 << 20
+
+
+def _is_small(card: DataFrame) -> bool:
+    return int(str(card._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= SMALL_CARD
+
+
+def fits(wanted: Column, key: Column) -> Column:
+    """Either name holds the other, as written or with hyphens for dots and at signs."""
+    return holds_key(wanted, key) | holds_key(key, wanted) | holds_key(dashed(wanted), dashed(key)) | holds_key(dashed(key), dashed(wanted))
+
 
-    Only distinct names meet the card, which has a few dozen rows.
+def _parts(name: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(name, F.lit("[0-9A-Za-z]+"), F.lit(0)))
+
+
+def fitting_keys(wanted: DataFrame, keys: DataFrame) -> DataFrame:
+    """(wanted, key) of all names and keys that fit, without comparing every name with every key.
+
+    What holds a name between boundaries has all its parts, the runs of letters and digits. So a key can only be
+    in a name that has the key's rarest part, and a name only in keys that have the name's rarest part; pairs
+    that share such a part are compared, others cannot fit. Names without parts only fit themselves.
     """
-    distinct = names.select(F.col(column).alias("name")).where("name is not null").distinct()
-    aliases = rate_card.ALIASES
-    alias = F.coalesce(*[F.when(clean_model(F.col("name")) == a, F.lit(b)) for a, b in aliases.items()])
-    tries = distinct.select("name", F.explode(F.array(*[F.struct(F.lit(i).alias("turn"), c.alias("wanted")) for i, c in enumerate((F.col("name"), alias, clean_model(F.col("name"))))])).alias("t")).select("name", "t.*").where("wanted is not null")
-    key = F.col("key")
-    fits = holds_key(F.col("wanted"), key) | holds_key(key, F.col("wanted")) | holds_key(dashed(F.col("wanted")), dashed(key)) | holds_key(dashed(key), dashed(F.col("wanted")))
-    hits = tries.join(F.broadcast(card.select("key")), (F.col("wanted") == key) | fits)
-    best = Window.partitionBy("name").orderBy(F.desc(F.col("wanted") == key), "turn", F.desc(F.length("key")), "key")
-    return hits.withColumn("n", F.row_number().over(best)).where("n = 1").select("name", "key")
-
-
-def with_rates(entries: DataFrame, card: DataFrame, column: str = "model") -> DataFrame:
+    wanted, keys = wanted.select("wanted").distinct(), keys.select("key").distinct()
+    held = keys.select("key", F.explode(_parts(F.col("key"))).alias("part"))
+    often = held.groupBy("part").agg(F.count("*").alias("n"))
+    asked = wanted.select("wanted", F.explode(_parts(F.col("wanted"))).alias("part")).join(often, "part")
+    rarest = lambda rows, name: rows.groupBy(name).agg(F.min_by("part", F.struct("n", "part")).alias("part"))
+    inside = asked.select("wanted", "part").join(rarest(held.join(often, "part"), "key"), "part").select("wanted", "key")
+    around = rarest(asked, "wanted").join(held, "part").select("wanted", "key")
+    pairs = inside.unionByName(around).where(fits(F.col("wanted"), F.col("key")))
+    return pairs.unionByName(wanted.join(keys, F.col("wanted") == F.col("key")).select("wanted", "key")).distinct()
+
+
+def find_keys(names: DataFrame, layers: list[DataFrame], aliases: dict[str, str] | None = None, column: str = "model") -> DataFrame:
+    """name, layer, key: the row of the first card that prices each distinct name.
+
+    The first card is asked for the name as it is, then for the clean name or what the user's `aliases` make of
+    it; further cards (live prices, a catalogue) for the latter alone. Each asking takes the exact key, then that
+    of a name's fixed alias, exact or fitting, then the longest key that fits, of equals the first in order.
+    """
+    clean = clean_model(F.col("name"))
+    resolved = F.coalesce(*(F.when(clean == a, F.lit(b)) for a, b in (aliases or {}).items()), clean)
+
+    def fixed(name: Column) -> Column:
+        return F.coalesce(*(F.when(name == a, F.lit(b)) for a, b in rate_card.ALIASES.items()))
+
+    def asking(first: int, layer: int, name: Column) -> list[Column]:
+        return [F.struct(F.lit(layer).alias("layer"), F.lit(first + exact).alias("if_exact"), F.lit(first + fuzzy).alias("if_fits"), c.alias("wanted")) for exact, fuzzy, c in ((0, 3, name), (1, 2, fixed(name)))]
+
+    every = asking(0, 0, F.col("name"))
+    for k in range(len(layers)):
+        every += asking(4 * (k + 1), k, resolved)
+    tries = names.select(F.col(column).alias("name")).where("name is not null").distinct().select("name", F.explode(F.array(*every)).alias("t")).select("name", "t.*").where("wanted is not null")
+    keys = reduce(DataFrame.unionByName, (card.select(F.lit(k).alias("layer"), "key") for k, card in enumerate(layers)))
+    if all(map(_is_small, layers)):
+        hits = tries.join(F.broadcast(keys), (tries["layer"] == keys["layer"]) & ((tries["wanted"] == keys["key"]) | fits(tries["wanted"], keys["key"]))).drop(keys["layer"])
+    else:
+        hits = tries.join(fitting_keys(tries, keys), "wanted").join(keys, ["layer", "key"], "left_semi")
+    turn = F.when(F.col("wanted") == F.col("key"), F.col("if_exact")).otherwise(F.col("if_fits"))
+    best = Window.partitionBy("name").orderBy(turn, F.desc(F.length("key")), "key")
+    return hits.withColumn("n", F.row_number().over(best)).where("n = 1").select("name", "layer", "key")
+
+
+def resolve_models(names: DataFrame, card: DataFrame, column: str = "model", aliases: dict[str, str] | None = None) -> DataFrame:
+    """For each distinct name the key of its price on one card."""
+    return find_keys(names, [card], aliases, column).select("name", "key")
+
+
+def find_prices(names: DataFrame, layers: list[DataFrame], aliases: dict[str, str] | None = None, column: str = "model") -> DataFrame:
+    """name, layer, key and the struct `rate` of the first card that prices each distinct name; names without a price are left out."""
+    rows = [card.select(F.lit(k).alias("layer"), "key", F.struct(*_RATE).alias("rate")) for k, card in enumerate(layers)]
+    return find_keys(names, layers, aliases, column).join(reduce(DataFrame.unionByName, rows), ["layer", "key"]).select("name", "layer", "key", "rate")
+
+
+def context_limits(names: DataFrame, layers: list[DataFrame], aliases: dict[str, str] | None = None, column: str = "model") -> DataFrame:
+    """name, key and context, the window in tokens, by the same chain over the rows of the cards that have one."""
+    known = [card.where("context is not null") for card in layers]
+    return find_prices(names, known, aliases, column).select("name", "key", F.col("rate.context").alias("context"))
+
+
+def with_rates(entries: DataFrame, card: DataFrame, column: str = "model", aliases: dict[str, str] | None = None) -> DataFrame:
     """`entries` with a struct `rate`, null where no price fits."""
-    keys = resolve_models(entries, card, column)
-    rates = keys.join(F.broadcast(card), "key").select(F.col("name").alias("_name"), F.struct(*_RATE).alias("rate"))
+    keys = resolve_models(entries, card, column, aliases)
+    rates = keys.join(F.broadcast(card) if _is_small(card) else card, "key").select(F.col("name").alias("_name"), F.struct(*_RATE).alias("rate"))
     return entries.join(rates, F.col(column) == F.col("_name"), "left").drop("_name")
 
 

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import contextlib
+import os
+import sqlite3
+import uuid
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import Scratch
 from ..sources import codex as codex_source_
-from ..sources import jsonl
+from ..sources import jsonl, sqlite
 from ..sources.events import MODELS
 from .registry import query
 
@@ -82,3 +89,47 @@ def codex_source(spark, d):
     rows = e.select("i", (F.col("user_id") % 8).alias("s"), F.posexplode(F.array_compact(every)).alias("k", "line"))
     read = codex_source_.codex(spark, _written(rows, ["s"], ["i", "k"], "codex-source", "sessions"), glob="*.txt")
     return read.groupBy(F.split("session_id", "/")[0].alias("session"), "model", "speed").agg(F.count("*").alias("entries"), *(F.sum(c).alias(c) for c in ("input", "output", "cache_read")))
+
+
+def _databases(rows: DataFrame) -> str:
+    """A database for each partition of the messages (id, session, at_ms, data), every second one without a clock column; their folder."""
+    folder = Scratch(rows.sparkSession, "sqlite-source").root.removeprefix("file://")
+
+    def write(batches):
+        number = TaskContext.get().partitionId()
+        os.makedirs(folder, exist_ok=True)
+        path = f"{folder}/{number}-{uuid.uuid4().hex}"
+        with contextlib.closing(sqlite3.connect(path)) as db:
+            if number % 2:
+                db.execute("CREATE TABLE message(id TEXT, session_id TEXT, data TEXT)")
+                fill = "INSERT INTO message SELECT ?, ?, ? WHERE ? > 0"
+            else:
+                db.execute("CREATE TABLE message(id TEXT, session_id TEXT, data TEXT, time_created INTEGER)")
+                db.execute("CREATE INDEX times ON message(time_created, id)")
+                fill = "INSERT INTO message VALUES(?, ?, ?, ?)"
+            for batch in batches:
+                db.executemany(fill, zip(*(batch[c].to_pylist() for c in ("id", "session", "data", "at_ms")), strict=True))
+            db.commit()
+        os.replace(path, f"{folder}/{number}.db")  # a task that runs again puts the same rows there
+        yield pa.RecordBatch.from_arrays([pa.array([f"{number}.db"])], names=["name"])
+
+    rows.mapInArrow(write, "name string").write.format("noop").mode("overwrite").save()
+    return folder
+
+
+@query(
+    """SELECT model, usage_date, session_id, count(*) AS entries, CAST(sum(input) AS BIGINT) AS input, CAST(sum(output) AS BIGINT) AS output, CAST(sum(k) AS BIGINT) AS cache_read, CAST(sum(cost) AS BIGINT) AS cost
+    FROM f WHERE at_ms >= 1704412800000 AND at_ms < 1706140800000 AND input + output > 0 GROUP BY ALL""",
+    """f AS (SELECT 's' || (user_id % 40) AS session_id, epoch_us(ts) // 1000 AS at_ms, strftime(ts, '%Y-%m-%d') AS usage_date, CAST(floor(value * 1000) AS BIGINT) AS input, CAST(json_extract_string(props, '$.k') AS BIGINT) * 100 AS output, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k,
+      CASE event_id % 6 WHEN 0 THEN 'claude-sonnet-4' WHEN 1 THEN 'gpt-5.4' WHEN 2 THEN 'claude-opus-4-6' WHEN 3 THEN 'gpt-5.6-sol' WHEN 4 THEN 'glm-4.6' ELSE 'acme-unpriced-1' END AS model,
+      CASE WHEN event_id % 8 = 0 AND round(value / 50, 4) > 0 THEN CAST(round(round(value / 50, 4) * 10000) AS BIGINT) END AS cost FROM events)""",
+)
+def sqlite_source(spark, d):
+    """Messages of twenty days (5 to 24 January 2024), which the databases look up themselves, through the opencode reader."""
+    at_ms = F.unix_millis(F.to_timestamp("at"))
+    tokens = F.struct("input", "output", F.struct((F.col("output") / 100).cast("bigint").alias("read"), F.lit(0).alias("write")).alias("cache"))
+    spelt = F.when(F.col("model") == "claude-opus-4-6", F.lit("claude-opus-4.6")).otherwise(F.col("model"))
+    data = F.to_json(F.struct(F.lit("assistant").alias("role"), spelt.alias("modelID"), F.lit("p").alias("providerID"), tokens.alias("tokens"), F.col("cost"), F.struct(at_ms.alias("created")).alias("time")))
+    rows = _events(spark, d).select(F.col("i").cast("string").alias("id"), F.concat(F.lit("s"), (F.col("user_id") % 40).cast("string")).alias("session"), at_ms.alias("at_ms"), data.alias("data")).repartition(4, "session")
+    read = sqlite.opencode(spark, _databases(rows), since_ms=1704412800000, until_ms=1706140800000)
+    return read.groupBy("model", "usage_date", "session_id").agg(F.count("*").alias("entries"), *(F.sum(c).alias(c) for c in ("input", "output", "cache_read")), F.sum(F.round(F.col("cost_usd") * 10000).cast("bigint")).alias("cost"))

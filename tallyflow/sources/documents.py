@@ -59,11 +59,11 @@ def messages(rows: DataFrame, tool: str, tz: str = "UTC") -> DataFrame:
     return canonical(dated(first_wins(rows.withColumns(own), ["message_id"], ("file", "line_ord")), tz))
 
 
-def opencode(spark: SparkSession, path: str, stored: DataFrame | None = None, tz: str = "UTC") -> DataFrame:
-    """Message files; `stored` are the rows of its database (file, line_ord, key, session, data), which come first."""
+def opencode(spark: SparkSession, path: str, stored: DataFrame | None = None, tz: str = "UTC", covered: DataFrame | None = None) -> DataFrame:
+    """Message files; `stored` are the rows of its database (file, line_ord, key, session, data), which come first; `covered` the keys of all of them, if these are more."""
     files = documents(spark, path).select("file", F.lit(0).cast("bigint").alias("line_ord"), stem(F.col("file")).alias("key"), part(F.col("file"), 2).alias("session"), F.col("value").alias("data"))
     if stored is not None:
-        files = stored.select(files.columns).unionByName(files.join(stored.select("key").distinct(), "key", "left_anti").select(files.columns))
+        files = stored.select(files.columns).unionByName(files.join((stored if covered is None else covered).select("key").distinct(), "key", "left_anti").select(files.columns))
     return messages(files, "opencode", tz)
 
 

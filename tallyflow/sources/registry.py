@@ -19,8 +19,9 @@ def register_source(name: str, read: Callable[[SparkSession, str], DataFrame]) -
     SOURCES[name] = read
 
 
+# The tools' names, in the order in which their entries come.
 for _name in ("claude", "codex", "opencode", "amp", "droid", "codebuff", "hermes", "pi", "goose", "openclaw", "kilo", "copilot", "gemini", "kimi", "qwen", "zcode", "omp", "cline"):
-    register_source(_name, next(getattr(m, _name) for m in (jsonl, documents, sqlite) if hasattr(m, _name)))
+    register_source(_name, next(getattr(m, _name) for m in (jsonl, sqlite, documents) if hasattr(m, _name)))
 
 
 def load(spark: SparkSession, paths: dict[str, str]) -> DataFrame:

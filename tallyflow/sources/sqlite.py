@@ -10,12 +10,13 @@ import urllib.parse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, IsNull, LessThan, LessThanOrEqual
 
 from ..functions import clock, text
 from ..operators.dedup import fallback, first_wins, top_ancestor
 from ..schema import canonical
 from .documents import messages
+from .documents import opencode as message_files
 from .files import counters, dated, filled, first
 
 
@@ -42,26 +43,69 @@ def _is_database(path: str) -> bool:
         return f.read(len(_HEADER)) == _HEADER
 
 
+#: SQL of the filters that databases take over, by Spark's filter.
+_OPERATORS = {EqualTo: "=", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
+#: Times of at least so much are milliseconds, as any since 1973.
+_MILLIS = 100_000_000_000
+
+
 class _Reader(DataSourceReader):
+    """Filters on the columns go into the databases; Spark is left those on file and line_ord, and of other forms."""
+
     def __init__(self, schema, options):
         self.query, self.of = options["query"], options["of"]
+        self.key, self.clock, self.other = options.get("key"), options.get("clock"), options.get("other")
+        self.columns = [f.name for f in schema.fields][2:]
+        self.conditions: list[tuple[str, str, list]] = []
         self.paths = _databases(options["path"].removeprefix("file://"))
 
+    def pushFilters(self, filters):
+        for f in filters:
+            name = f.attribute[0] if hasattr(f, "attribute") and len(f.attribute) == 1 else None
+            if name not in self.columns:
+                yield f
+            elif type(f) in _OPERATORS and isinstance(f.value, int | str):
+                self.conditions.append((name, f"{_OPERATORS[type(f)]} ?", [f.value]))
+            elif isinstance(f, In) and all(isinstance(v, int | str) for v in f.value):
+                self.conditions.append((name, f"IN ({', '.join('?' * len(f.value))})", list(f.value)))
+            elif isinstance(f, IsNull | IsNotNull):
+                self.conditions.append((name, "IS NULL" if isinstance(f, IsNull) else "IS NOT NULL", []))
+            else:
+                yield f
+
     def partitions(self):
         return [_File(p) for p in self.paths]
 
+    def statement(self, db: sqlite3.Connection) -> tuple[str, list]:
+        """The query and its values for a database. Where its clock column is in milliseconds, times are compared there, by ids, so that an index answers without reading whole rows."""
+        query, clocked = self.query, False
+        if self.clock:
+            if self.clock in {row[1] for row in db.execute(f"PRAGMA table_info({self.of})")}:
+                clocked = (db.execute(f"SELECT max({self.clock}) FROM (SELECT {self.clock} FROM {self.of} WHERE typeof({self.clock}) = 'integer' LIMIT 8)").fetchone()[0] or 0) >= _MILLIS
+            query = query.replace("{clock}", self.clock if clocked else self.other)
+        timed = [c for c in self.conditions if clocked and c[0] == "created"]
+        where = [f"{name} {test}" for name, test, _ in self.conditions if not (clocked and name == "created")]
+        values = [v for name, _, vs in self.conditions if not (clocked and name == "created") for v in vs]
+        if timed:
+            where.append(f"{self.key[0]} IN (SELECT {self.key[1]} FROM {self.of} WHERE {' AND '.join(f'{self.clock} {test}' for _, test, _ in timed)})")
+            values += [v for _, _, vs in timed for v in vs]
+        return f"WITH entries({', '.join(self.columns)}) AS ({query}) SELECT * FROM entries" + (f" WHERE {' AND '.join(where)}" if where else ""), values
+
     def read(self, partition):
         if partition is None:
             return
         with contextlib.closing(sqlite3.connect(f"file:{urllib.parse.quote(partition.path)}?mode=ro", uri=True)) as db:
             # a database of another tool has no such table; any other failure is an error
             if db.execute("SELECT 1 FROM sqlite_master WHERE type IN ('table', 'view') AND name = ?", (self.of,)).fetchone():
-                for n, row in enumerate(db.execute(self.query)):
+                for n, row in enumerate(db.execute(*self.statement(db))):
                     yield (partition.path, n, *row)
 
 
 class Sqlite(DataSource):
-    """Options: path (a file, a folder or a glob), query, of (the table it reads). The schema begins with file string, line_ord bigint."""
+    """Options: path (a file, a folder or a glob), query, of (the table it reads); and for a query with {clock} in it: clock (the column it stands for), other (what does where the column is missing or not in milliseconds), key (the id in the result, and in the table).
+
+    The schema begins with file string, line_ord bigint; line_ord is the order of the rows that are read.
+    """
 
     @classmethod
     def name(cls):
@@ -71,22 +115,47 @@ class Sqlite(DataSource):
         raise ValueError("a schema is needed")
 
     def reader(self, schema):
-        return _Reader(schema, self.options)
+        options = dict(self.options)
+        if "key" in options:
+            options["key"] = options["key"].split(",")
+        return _Reader(schema, options)
 
 
-def table(spark: SparkSession, path: str, query: str, schema: str) -> DataFrame:
-    """Rows of the query over each database that has the table the query reads from first."""
+def table(spark: SparkSession, path: str, query: str, schema: str, **options: str) -> DataFrame:
+    """Rows of the query over each database that has the table the query reads from first. Filters on its columns are run by the databases, for which this switches on Spark's setting."""
     spark.dataSource.register(Sqlite)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     of = query.partition(" FROM ")[2].split()[0]
-    return spark.read.format("tallyflow_sqlite").schema(f"file string, line_ord bigint, {schema}").option("path", path).option("query", query).option("of", of).load()
+    return spark.read.format("tallyflow_sqlite").schema(f"file string, line_ord bigint, {schema}").options(path=path, query=query, of=of, **options).load()
+
+
+def stored_messages(spark: SparkSession, path: str, since_ms: int | None = None, until_ms: int | None = None) -> DataFrame:
+    """Messages of a tool's database, those created from since_ms on and before until_ms: file, line_ord, key, session, data, created."""
+    said = "CAST(json_extract(CASE WHEN json_valid(data) THEN data END, '$.time.created') AS INTEGER)"
+    rows = table(spark, path, "SELECT id, session_id, data, {clock} FROM message", "key string, session string, data string, created bigint", clock="time_created", other=said, key="key,id")
+    if since_ms is not None:
+        rows = rows.where(F.col("created") >= since_ms)
+    if until_ms is not None:
+        rows = rows.where(F.col("created") < until_ms)
+    return rows
+
+
+def _between(rows: DataFrame, since_ms: int | None, until_ms: int | None) -> DataFrame:
+    rows = rows if since_ms is None else rows.where(F.col("ts_ms") >= since_ms)
+    return rows if until_ms is None else rows.where(F.col("ts_ms") < until_ms)
 
 
-def stored_messages(spark: SparkSession, path: str) -> DataFrame:
-    return table(spark, path, "SELECT id, session_id, data FROM message", "key string, session string, data string")
+def kilo(spark: SparkSession, path: str, tz: str = "UTC", since_ms: int | None = None, until_ms: int | None = None) -> DataFrame:
+    return _between(messages(stored_messages(spark, path, since_ms, until_ms), "kilo", tz), since_ms, until_ms)
 
 
-def kilo(spark: SparkSession, path: str, tz: str = "UTC") -> DataFrame:
-    return messages(stored_messages(spark, path), "kilo", tz)
+def opencode(spark: SparkSession, path: str, tz: str = "UTC", since_ms: int | None = None, until_ms: int | None = None) -> DataFrame:
+    """Messages of the database in the folder, if there is one, and the message files that it does not have. A window narrows what is read of the database; its ids cover files whatever their time."""
+    local = path.removeprefix("file://")
+    databases = os.path.isdir(local) and bool(_databases(local))
+    stored = stored_messages(spark, path, since_ms, until_ms) if databases else None
+    covered = table(spark, path, "SELECT id FROM message", "key string") if databases else None
+    return _between(message_files(spark, path, stored, tz, covered), since_ms, until_ms)
 
 
 def goose(spark: SparkSession, path: str, tz: str = "UTC") -> DataFrame:

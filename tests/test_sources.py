@@ -308,3 +308,52 @@ def test_codex_headless_entries_tiers_and_types(spark, tmp_path):
     put(tmp_path / "t/sessions/b.jsonl", used(1, same), used(1, same | {"total_tokens": 12}), tier(2, service_tier="default"), used(3, same), used(5, same))
     rows = jsonl.codex(spark, str(tmp_path / "t")).orderBy("session_id", "ts_ms").collect()
     assert [(r["session_id"], r["ts_ms"] % 10_000, r["speed"]) for r in rows] == [("a", 1000, "fast"), ("a", 3000, "standard"), ("a", 5000, "standard"), ("b", 1000, None)]
+
+
+def _message_db(path, clock, n=200):
+    with sqlite3.connect(path) as db:
+        db.execute("CREATE TABLE message(id, session_id, data" + (", time_created)" if clock else ")"))
+        for k in range(n):
+            at = 1775934200000 + k * 1000
+            said = json.dumps({"role": "assistant", "modelID": "m", "providerID": "p", "time": {"created": at}, "tokens": {"input": k + 1, "output": 1}})
+            db.execute(f"INSERT INTO message VALUES({', '.join('?' * (4 if clock else 3))})", (f"{path.stem}{k}", "s", said, at // (1000 if clock == "seconds" else 1))[: 4 if clock else 3])
+
+
+@pytest.mark.parametrize("clock", ["millis", "seconds", None])
+def test_sqlite_filters_run_in_the_database(spark, tmp_path, clock):
+    _message_db(tmp_path / "a.db", clock)
+    since, until = 1775934200000 + 50_000, 1775934200000 + 60_000
+    stored = sqlite.stored_messages(spark, str(tmp_path), since, until)
+    plan = stored._jdf.queryExecution().executedPlan().toString()
+    assert "BatchScan tallyflow_sqlite" in plan and "Filter (" not in plan and "Filter " not in plan
+    assert [r["key"] for r in stored.orderBy("created").collect()] == [f"a{k}" for k in range(50, 60)]
+    some = sqlite.stored_messages(spark, str(tmp_path)).where("key in ('a3', 'a4', 'a5') and key <= 'a4' and session is not null")
+    assert [r["key"] for r in some.orderBy("key").collect()] == ["a3", "a4"]
+    assert [r["input"] for r in sqlite.kilo(spark, str(tmp_path), since_ms=since, until_ms=until).orderBy("ts_ms").collect()] == list(range(51, 61))
+
+
+def test_sqlite_reads_only_the_rows_of_the_window(tmp_path):
+    from pyspark.sql.datasource import GreaterThanOrEqual, LessThan, StringStartsWith
+    from pyspark.sql.types import StructType
+
+    _message_db(tmp_path / "a.db", "millis")
+    schema = StructType.fromDDL("file string, line_ord bigint, key string, session string, data string, created bigint")
+    reader = sqlite._Reader(schema, {"path": str(tmp_path), "query": "SELECT id, session_id, data, {clock} FROM message", "of": "message", "clock": "time_created", "other": "0", "key": ["key", "id"]})
+    filters = [GreaterThanOrEqual(("created",), 1775934200000 + 190_000), LessThan(("line_ord",), 5), StringStartsWith(("key",), "a")]
+    assert list(reader.pushFilters(filters)) == filters[1:]
+    with sqlite3.connect(tmp_path / "a.db") as db:
+        said, values = reader.statement(db)
+    assert "key IN (SELECT id FROM message WHERE time_created >= ?)" in said and values == [1775934200000 + 190_000]
+    assert len(list(reader.read(reader.partitions()[0]))) == 10
+
+
+def test_opencode_reads_its_database_before_its_files(spark, tmp_path):
+    _message_db(tmp_path / "opencode.db", "millis", 5)
+    for name, tokens in (("opencode2", 1000), ("other", 7)):
+        doc(tmp_path / f"storage/message/s/{name}.json", {"id": name, "sessionID": "s", "role": "assistant", "providerID": "p", "modelID": "m", "time": {"created": 1775934200000 + 2000}, "tokens": {"input": tokens, "output": 1}})
+    rows = registry.load(spark, {"opencode": str(tmp_path)}).collect()
+    assert sorted(r["input"] for r in rows) == [1, 2, 3, 4, 5, 7]
+    narrow = sqlite.opencode(spark, str(tmp_path), since_ms=1775934200000 + 2000, until_ms=1775934200000 + 4000).collect()
+    assert sorted(r["input"] for r in narrow) == [3, 4, 7]
+    (tmp_path / "opencode.db").unlink()
+    assert sorted(r["input"] for r in registry.load(spark, {"opencode": str(tmp_path)}).collect()) == [7, 1000]
