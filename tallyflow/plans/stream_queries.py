@@ -8,8 +8,10 @@ from ..operators import cube
 from ..session import work_folder
 from ..sources.events import as_entries
 from ..streaming import hourly
+from ..streaming.blocks import stream_blocks as closed_blocks
 from .cube_queries import HOURLY
 from .registry import query
+from .usage_queries import _block_sql
 
 
 def _stream(spark, d):
@@ -50,3 +52,8 @@ def stream_windowed(spark, d):
 def stream_limiter(spark, d):
     asked = as_entries(_stream(spark, d)).select(F.col("tool").alias("token"), "ts_ms")
     return _finish(hourly.limiter(asked, 2), work_folder(spark, "stream-limiter"), spark)
+
+
+@query(_block_sql("0 AS z", "SELECT tool, block_start, block_end, first_ms, last_ms, entries, tokens FROM b WHERE block_end + 3600000 <= (SELECT max(ts_ms) FROM e) - 21600000"))
+def stream_blocks(spark, d):
+    return _finish(closed_blocks(as_entries(_stream(spark, d))), work_folder(spark, "stream-blocks"), spark).withColumnRenamed("by", "tool")

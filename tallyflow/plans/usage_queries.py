@@ -164,11 +164,21 @@ def model_resolution(spark, d):
     return named.groupBy(F.col("model").alias("name")).agg(F.count("*").alias("entries")).join(keys, "name", "left").select("name", "key", "entries")
 
 
-@query("SELECT model, source, round(i * 1e6, 6) AS input, round(w * 1e6, 6) AS write5m, round(rd * 1e6, 6) AS read FROM (VALUES ('gpt-5.4', 'seed', 2.5e-6, 2.5e-6, 0.25e-6), ('glm-4.6-ultra-x', 'seed', 0.6e-6, 0.0, 0.11e-6), ('gpt-5.4-mega9', 'seed', 2.5e-6, 2.5e-6, 0.25e-6), ('glm-5-1999', 'family', 1e-6, 1.25e-6, 0.2e-6)) v(model, source, i, w, rd)")
+@query(
+    """, n AS (SELECT model || CASE event_id % 4 WHEN 0 THEN '' WHEN 1 THEN '-mega9' WHEN 2 THEN '-1999' ELSE '-x-y' END AS model, count(*) AS entries FROM e GROUP BY 1),
+    v(model, source, input, write5m, read) AS (VALUES ('claude-sonnet-4', 'seed', 3.0, 3.75, 0.3), ('claude-sonnet-4-mega9', 'seed', 3.0, 3.75, 0.3), ('claude-sonnet-4-x-y', 'seed', 3.0, 3.75, 0.3),
+      ('gpt-5.4', 'seed', 2.5, 2.5, 0.25), ('gpt-5.4-mega9', 'seed', 2.5, 2.5, 0.25), ('gpt-5.4-x-y', 'seed', 2.5, 2.5, 0.25), ('claude-opus-4-6', 'seed', 5.0, 6.25, 0.5), ('claude-opus-4-6-mega9', 'seed', 5.0, 6.25, 0.5), ('claude-opus-4-6-x-y', 'seed', 5.0, 6.25, 0.5),
+      ('gpt-5.6-sol', 'seed', 5.0, 6.25, 0.5), ('gpt-5.6-sol-mega9', 'seed', 5.0, 6.25, 0.5), ('gpt-5.6-sol-1999', 'seed', 5.0, 6.25, 0.5), ('gpt-5.6-sol-x-y', 'seed', 5.0, 6.25, 0.5), ('glm-4.6', 'seed', 0.6, 0.0, 0.11), ('glm-4.6-mega9', 'seed', 0.6, 0.0, 0.11), ('glm-4.6-x-y', 'seed', 0.6, 0.0, 0.11),
+      ('claude-sonnet-4-1999', 'family', 3.0, 3.75, 0.3), ('gpt-5.4-1999', 'family', 2.5, 2.5, 0.25), ('claude-opus-4-6-1999', 'family', 5.0, 6.25, 0.5), ('glm-4.6-1999', 'family', 0.6, 0.75, 0.11))
+    SELECT model, source, input, write5m, read, entries FROM n JOIN v USING (model)"""
+)
 def family_fallback(spark, d):
-    names = spark.createDataFrame([("gpt-5.4",), ("glm-4.6-ultra-x",), ("gpt-5.4-mega9",), ("glm-5-1999",), ("acme-unpriced-1",)], "model string")
-    rates = pricing.family_rates(names, rate_card.card(spark))
-    return rates.select("model", "source", *(F.round(F.col(f"rate.{a}") * 1e6, 6).alias(b) for a, b in (("input", "input"), ("create", "write5m"), ("read", "read"))))
+    """The models of the events under names of their families."""
+    more = F.element_at(F.array(*(F.lit(x) for x in ("", "-mega9", "-1999", "-x-y"))), (F.col("line_ord") % 4 + 1).cast("int"))
+    named = usage_entries(spark, d).select(F.concat("model", more).alias("model"))
+    rates = pricing.family_rates(named, rate_card.card(spark))
+    counted = named.groupBy("model").agg(F.count("*").alias("entries"))
+    return rates.join(counted, "model").select("model", "source", *(F.round(F.col(f"rate.{a}") * 1e6, 6).alias(b) for a, b in (("input", "input"), ("create", "write5m"), ("read", "read"))), "entries")
 
 
 @query("SELECT event_id, greatest(input - cache_read, 0) AS fresh FROM e")
@@ -202,9 +212,14 @@ def blocks(spark, d):
     return found.select("tool", "block_start", "block_end", "first_ms", "last_ms", "entries", "tokens", "limit_reset_ms", "active")
 
 
-@query(_block_sql("0 AS z", ", h AS (SELECT tool, last_ms, lead(first_ms) OVER (PARTITION BY tool ORDER BY first_ms) AS nxt FROM b) SELECT tool, 'gap-' || strftime(make_timestamp((last_ms + 18000000) * 1000), '%Y-%m-%dT%H:%M:%S.%gZ') AS gap_id, last_ms + 18000000 AS gap_start, nxt AS gap_end FROM h WHERE nxt - last_ms > 18000000"))
+_SESSIONS = f"{ENTRIES.strip()}, g AS (SELECT * REPLACE (tool || '/' || session_id AS tool) FROM e)"
+
+
+@query(_block_sql("0 AS z", ", h AS (SELECT tool, last_ms, lead(first_ms) OVER (PARTITION BY tool ORDER BY first_ms) AS nxt FROM b) SELECT tool, 'gap-' || strftime(make_timestamp((last_ms + 18000000) * 1000), '%Y-%m-%dT%H:%M:%S.%gZ') AS gap_id, last_ms + 18000000 AS gap_start, nxt AS gap_end FROM h WHERE nxt - last_ms > 18000000", "g"), _SESSIONS)
 def block_gaps(spark, d):
-    return B.gaps(B.blocks(usage_entries(spark, d).withColumn("cost", F.lit(0.0)), NOW))
+    # by tool and session: a tool alone has no pause of five hours
+    e = usage_entries(spark, d).withColumns({"cost": F.lit(0.0), "tool": F.concat_ws("/", "tool", "session_id")})
+    return B.gaps(B.blocks(e, NOW))
 
 
 _RATES = "CASE WHEN last_ms > first_ms THEN {0} / ((last_ms - first_ms) / 60000.0) END"
