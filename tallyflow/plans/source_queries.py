@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..scratch import Scratch
 from ..sources import codex as codex_source_
-from ..sources import jsonl, sqlite
+from ..sources import discover, jsonl, sqlite
 from ..sources.events import MODELS
 from .registry import query
 
@@ -91,6 +91,20 @@ def codex_source(spark, d):
     return read.groupBy(F.split("session_id", "/")[0].alias("session"), "model", "speed").agg(F.count("*").alias("entries"), *(F.sum(c).alias(c) for c in ("input", "output", "cache_read")))
 
 
+@query(
+    """SELECT home, source, 's=' || (user_id % 8) AS session, count(*) AS lines, max(row_number) AS last_line FROM
+      (SELECT user_id, row_number() OVER (PARTITION BY user_id % 8) - 1 AS row_number FROM events) e CROSS JOIN (VALUES ('h', 0), ('g', 2)) v(home, source) GROUP BY ALL""",
+    "v AS (SELECT 1)",
+)
+def discovery(spark, d):
+    """One folder of logs named three times, twice under one home: its files are read once for each home."""
+    i = F.col("i")
+    rows = _events(spark, d).select("i", (F.col("user_id") % 8).alias("s"), _line(id=i, at=F.col("at")).alias("line"))
+    path = _written(rows, ["s"], ["i"], "discovery", "sessions")
+    read = discover.source_lines(spark, [("h", path), ("h", path), ("g", path)], "*.txt")
+    return read.groupBy("home", "source", F.regexp_extract("file", "/(s=[0-9]+)/", 1).alias("session")).agg(F.count("*").alias("lines"), F.max("line_ord").alias("last_line"))
+
+
 def _databases(rows: DataFrame) -> str:
     """A database for each partition of the messages (id, session, at_ms, data), every second one without a clock column; their folder."""
     folder = Scratch(rows.sparkSession, "sqlite-source").root.removeprefix("file://")

@@ -9,6 +9,7 @@ from ..functions import clock, text
 from ..operators.dedup import best_source, carry_forward, first_wins
 from ..schema import canonical
 from .codex import codex, without_replay
+from .discover import project_folder
 from .files import after, counters, dated, documents, filled, first, lines, part, stem
 
 __all__ = ["claude", "codex", "copilot", "gemini", "kimi", "omp", "openclaw", "pi", "qwen", "without_replay"]
@@ -29,8 +30,11 @@ def _claude_session(file: Column) -> Column:
     return F.when(part(file, 2) == "subagents", part(file, 3)).when(below == 2, stem(file)).otherwise(part(file, 2))
 
 
-def claude(spark: SparkSession, path: str, daily: bool = False, tz: str = "UTC", glob: str = "*.jsonl") -> DataFrame:
-    """Lines with usage; `daily` also reads agent-progress lines. Advisor iterations become rows of their own."""
+def claude(spark: SparkSession, path: str, daily: bool = False, tz: str = "UTC", glob: str = "*.jsonl", project: str | None = None) -> DataFrame:
+    """Lines with usage; `daily` also reads agent-progress lines. Advisor iterations become rows of their own. Of a `project` only its own folder is listed and read."""
+    if project is not None:
+        folder = project_folder(spark, path, project)
+        return claude(spark, folder or path, daily, tz, glob).where(F.col("project") == project)
     rows = lines(spark, path, glob, '"usage":{').where(~F.col("line").rlike(f'"({_NO_NULL})":null'))
     e = F.from_json("line", _CLAUDE)
     if daily:
