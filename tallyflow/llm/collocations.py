@@ -9,7 +9,7 @@ of phrases are extended at once, each to its full length before the next block i
 Whether a phrase is frequent only the sum over shards tells. So shards send fingerprints and popcounts of their
 phrases, length by length, packed for ranges of the fingerprint; what reaches `min_count` is told back to the
 shards that hold it, and only such phrases are extended, by words that end such phrases themselves. Sums are by
-128 bits; of each frequent phrase one shard is told the sum and spells it out at the end. Nothing is cut off by
+96 bits; of each frequent phrase one shard is told the sum and spells it out at the end. Nothing is cut off by
 size: shards, ranges and blocks bound memory, not results.
 
 Defined results: null and empty texts and texts of separators alone have no words; a missing language is `und`;
@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 from .scratch import Scratch
 from .textkit import LOWER, Words, mix, pieces, text_bytes
 
-U64 = np.uint64
+#: A fingerprint and what tells equal ones of different phrases apart.
+U64, CHECK = np.uint64, np.uint32
 #: A chunk of a bitmap: its type, and the positions it has as a power of two.
 CHUNK, WIDTH = np.uint16, 4
 _SHARD = "id long, lang string, n long, words binary, counts binary, tokens binary"
@@ -148,20 +149,20 @@ def _shards(block: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
 
 
 def _send(id_: int, keys: np.ndarray, checks: np.ndarray, counts: np.ndarray, parts: int) -> pa.Table:
-    """A shard's fingerprints, their second halves and counts, a row for each range of fingerprints."""
+    """A shard's fingerprints, their second parts and counts (mostly ones, so compressed), a row for each range of fingerprints."""
     order = np.argsort(keys)
     part = ((keys[order] >> U64(32)) * U64(parts) >> U64(32)).astype(np.int64)
     cut = np.searchsorted(part, np.arange(parts + 1))
     full = np.flatnonzero(np.diff(cut))
     spans = [order[cut[p] : cut[p + 1]] for p in full]
-    return pa.table([pa.array(full, pa.int64()), pa.array(np.full(len(full), id_), pa.int64()), *(pa.array([x[s].tobytes() for s in spans], pa.binary()) for x in (keys, checks, counts.astype(np.int64)))], schema=_SENT)
+    return pa.table([pa.array(full, pa.int64()), pa.array(np.full(len(full), id_), pa.int64()), *(pa.array([f(x[s]) for s in spans], pa.binary()) for x, f in ((keys, np.ndarray.tobytes), (checks.astype(CHECK), np.ndarray.tobytes), (counts.astype(np.int64), _packed)))], schema=_SENT)
 
 
 def _frequent(min_count: int, length: int) -> Callable[[pa.Table], pa.Table]:
     """For a range of fingerprints: those with enough in all shards, told to each shard that has them, with their sums to the first."""
 
     def tell(table: pa.Table) -> pa.Table:
-        each = [[np.frombuffer(x, kind) for x in table[c].to_pylist()] for c, kind in (("keys", U64), ("checks", U64), ("counts", np.int64))]
+        each = [[read(x, kind) for x in table[c].to_pylist()] for c, kind, read in (("keys", U64, np.frombuffer), ("checks", CHECK, np.frombuffer), ("counts", np.int64, _unpacked))]
         keys, checks, counts = (np.concatenate(x) for x in each)
         row = np.repeat(np.arange(table.num_rows), [len(x) for x in each[0]])
         order = np.lexsort((row, checks, keys))
@@ -192,7 +193,7 @@ def _own(found: pa.Table) -> dict[int, dict[tuple[int, int], int]]:
     """The sums of the phrases that a shard is to spell, by length and fingerprint."""
     out: dict[int, dict[tuple[int, int], int]] = {}
     for length, *held in zip(*(found[c].to_pylist() for c in ("length", "own_keys", "own_checks", "own_sums")), strict=True):
-        keys, checks, sums = (np.frombuffer(x, kind).tolist() for x, kind in zip(held, (U64, U64, np.int64), strict=True))
+        keys, checks, sums = (np.frombuffer(x, kind).tolist() for x, kind in zip(held, (U64, CHECK, np.int64), strict=True))
         out.setdefault(length, {}).update(zip(zip(keys, checks, strict=True), sums, strict=True))
     return out
 
@@ -277,11 +278,11 @@ class Shard:
         return keys
 
     def checks(self, words: np.ndarray) -> np.ndarray:
-        """The second halves of the fingerprints of phrases."""
+        """The second parts of the fingerprints of phrases."""
         keys = np.full(len(words), self.seed, U64)
         for column in words.T:
             keys = _grown(keys, self.second[column])
-        return keys
+        return keys.astype(CHECK)
 
     def walk(self, told: dict[int, np.ndarray], known: int, length: int, block: int = 1 << 16) -> Iterator[tuple[int, Phrases]]:
         """Phrases of up to `length` words, depth first; frequent by `told` up to `known` words, beyond that only their shorter parts."""
