@@ -42,6 +42,14 @@ def valid(rows: DataFrame) -> Column:
     return F.coalesce(ok, F.lit(False))
 
 
+def over_limits(reports: DataFrame, *keys: str, rows_a_day: int = MAX_ROWS_A_DAY, days: int = MAX_DAYS, rows: int = MAX_ROWS) -> DataFrame:
+    """Reports (by `keys`) that break a limit: keys, days, rows, most_rows (of a day) and `fault`."""
+    by_day = reports.groupBy(*keys, "date").agg(F.count("*").alias("n"))
+    sums = by_day.groupBy(*keys).agg(F.count("*").alias("days"), F.sum("n").alias("rows"), F.max("n").alias("most_rows"))
+    fault = F.when(F.col("most_rows") > rows_a_day, F.lit(f"more than {rows_a_day} rows a day")).when(F.col("days") > days, F.lit(f"more than {days} days")).when(F.col("rows") > rows, F.lit(f"more than {rows} rows"))
+    return sums.withColumn("fault", fault).where("fault is not null")
+
+
 def cell_tokens(cache: bool = True) -> Column:
     """Tokens of a cell; without cache, input and output only."""
     return sum((F.col(c) for c in (COUNTERS if cache else ("input", "output"))), F.lit(0))

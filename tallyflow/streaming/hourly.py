@@ -19,11 +19,16 @@ def read_events(spark: SparkSession, path: str, schema, files_a_batch: int = 100
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(path)
 
 
-def upsert_days(spark: SparkSession, path: str):
+class ReportTooLarge(ValueError):
+    """A report has more rows or days than is allowed."""
+
+
+def upsert_days(spark: SparkSession, path: str, limits: dict[str, int] | None = None):
     """A sink for reports (device_id, date, generated_at, cells): of each device-day the last report stays.
 
     The table is partitioned by date, and only dates that a batch reports are rewritten. A day without rows
-    clears nothing, and a batch that runs again writes what it wrote before.
+    clears nothing, and a batch that runs again writes what it wrote before. A batch with a report beyond the
+    `limits` (those of `cube.over_limits`) fails before anything is written.
     """
     fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -33,6 +38,9 @@ def upsert_days(spark: SparkSession, path: str):
         try:
             if batch.isEmpty():
                 return
+            bad = cube.over_limits(batch, "device_id", "generated_at", **(limits or {})).orderBy("device_id", "generated_at").head(1)
+            if bad:
+                raise ReportTooLarge(f"the report of {bad[0]['device_id']!r} at {bad[0]['generated_at']} has {bad[0]['fault']}: {bad[0]['days']} days, {bad[0]['rows']} rows")
             both = batch
             if fs.exists(there):
                 stored = spark.read.schema(batch.schema).parquet(path)
