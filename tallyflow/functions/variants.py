@@ -26,6 +26,19 @@ def whole(value: Column) -> Column:
     return F.when((kind(value) == "BIGINT") & (F.try_variant_get(value, "$", "bigint") >= 0), F.try_variant_get(value, "$", "bigint"))
 
 
+def no_count(value: Column) -> Column:
+    """Whether there is something that is neither a whole number from 0 on nor a JSON null."""
+    return F.coalesce(kind(value) != "VOID", F.lit(False)) & whole(value).isNull()
+
+
+def no_number(value: Column) -> Column:
+    return F.coalesce(~kind(value).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT|VOID)"), F.lit(False))
+
+
+def no_flag(value: Column) -> Column:
+    return F.coalesce(~kind(value).isin("BOOLEAN", "VOID"), F.lit(False))
+
+
 def counter(values: list[Column]) -> Column:
     """The first of several spellings that holds a counter, a whole number or a string of digits: struct n, bad.
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import clock, text
 from ..operators.dedup import carry_forward, first_wins
 from ..schema import canonical
-from .files import after, counters, dated, documents, filled, first, lines, part, stem
+from .files import after, computed_once, counters, dated, documents, filled, first, lines, part, stem
 
 _AMP = (
     "id string, usageLedger struct<events:array<struct<id:string,timestamp:string,model:string,toMessageId:bigint,credits:double,tokens:struct<input:bigint,output:bigint,total:bigint>>>>, "
@@ -18,7 +18,7 @@ _AMP = (
 
 def amp(spark: SparkSession, path: str, tz: str = "UTC") -> DataFrame:
     """Ledger events, with cache counters of the message they belong to; messages only where there is no ledger."""
-    threads = documents(spark, path).withColumn("e", F.from_json("value", _AMP)).where("e.id <> ''")
+    threads = documents(spark, path).withColumn("e", computed_once(F.from_json("value", _AMP))).where("e.id <> ''")
     has = F.col("e.usageLedger.events").isNotNull()
     message = threads.select("file", F.posexplode("e.messages").alias("line_ord", "m"), F.col("e.id").alias("thread"), has.alias("has"))
     cache = message.where("m.messageId is not null and m.usage is not null").select("file", F.col("m.messageId").alias("to"), F.col("m.usage.cacheCreationInputTokens").alias("create"), F.col("m.usage.cacheReadInputTokens").alias("read"), "line_ord")
@@ -51,7 +51,7 @@ def opencode_model(name):
 
 def messages(rows: DataFrame, tool: str, tz: str = "UTC") -> DataFrame:
     """Assistant messages of the shared message format: file, line_ord, key (the row's id), data (JSON)."""
-    rows = rows.withColumn("e", F.from_json("data", MESSAGE))
+    rows = rows.withColumn("e", computed_once(F.from_json("data", MESSAGE)))
     rows = rows.where("e.tokens is not null and e.modelID <> '' and e.providerID <> '' and coalesce(e.role, 'assistant') = 'assistant'")
     t = F.col("e.tokens")
     rows = counters(rows, t["input"], t["output"], t["cache"]["write"], t["cache"]["read"], t["reasoning"], t["total"])
@@ -69,7 +69,7 @@ def opencode(spark: SparkSession, path: str, stored: DataFrame | None = None, tz
 
 def droid(spark: SparkSession, path: str, tz: str = "UTC") -> DataFrame:
     """Settings snapshots: the newest of each session; the model may stand in the session's log beside them."""
-    rows = documents(spark, path, "*.settings.json").withColumn("e", F.from_json("value", "model string, providerLock string, providerLockTimestamp string, tokenUsage struct<inputTokens:bigint,outputTokens:bigint,cacheCreationTokens:bigint,cacheReadTokens:bigint,thinkingTokens:bigint,totalTokens:bigint>"))
+    rows = documents(spark, path, "*.settings.json").withColumn("e", computed_once(F.from_json("value", "model string, providerLock string, providerLockTimestamp string, tokenUsage struct<inputTokens:bigint,outputTokens:bigint,cacheCreationTokens:bigint,cacheReadTokens:bigint,thinkingTokens:bigint,totalTokens:bigint>")))
     rows = rows.where("e.tokenUsage is not null").withColumns({"session_id": F.regexp_replace(part(F.col("file"), 1), r"\.settings\.json$", ""), "line_ord": F.lit(0).cast("bigint")})
     log = lines(spark, path, marker="odel").withColumns({"session_id": stem(F.col("file")), "said": first(filled(F.get_json_object("line", "$.model")), filled(F.nullif(F.regexp_extract("line", r"Model: ([^\s\"\\\[]+)", 1), F.lit(""))))})
     log = log.where("said is not null").groupBy("session_id").agg(F.min_by("said", F.struct("file", "line_ord")).alias("said"))

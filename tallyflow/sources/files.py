@@ -45,6 +45,11 @@ def _most_splits(read: DataFrame) -> int:
     return len(read.inputFiles()) + whole // max(1, most) + 2 * read.sparkSession.sparkContext.defaultParallelism
 
 
+def computed_once(value: Column) -> Column:
+    """For a column of its own: computed once a row, while filters on a plain column would each compute it again below."""
+    return F.explode(F.array(value))
+
+
 def part(file: Column, back: int) -> Column:
     """A segment of a path, counted from its end, the name itself 1."""
     return F.element_at(F.split(file, "/"), -back)

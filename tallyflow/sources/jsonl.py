@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import clock, text
+from ..functions import clock, text, variants
 from ..operators.dedup import best_source, carry_forward, first_wins
 from ..schema import canonical
 from .codex import codex, without_replay
 from .discover import project_folder
-from .files import after, counters, dated, documents, filled, first, lines, part, stem
+from .files import after, computed_once, counters, dated, documents, filled, first, lines, part, stem
 
 __all__ = ["claude", "codex", "copilot", "gemini", "kimi", "omp", "openclaw", "pi", "qwen", "without_replay"]
 
@@ -20,6 +20,8 @@ _CLAUDE_USAGE = "struct<input_tokens:bigint,output_tokens:bigint,cache_creation_
 _CLAUDE_MESSAGE = f"struct<id:string,model:string,usage:{_CLAUDE_USAGE}>"
 _CLAUDE = f"timestamp string, sessionId string, version string, requestId string, costUSD double, isSidechain boolean, isApiErrorMessage boolean, message {_CLAUDE_MESSAGE}"
 _CLAUDE_PROGRESS = f"data struct<message:struct<timestamp:string,sessionId:string,version:string,requestId:string,costUSD:double,isSidechain:boolean,isApiErrorMessage:boolean,message:{_CLAUDE_MESSAGE}>>"
+# The same fields by their own JSON types, without the iterations, which are judged one by one.
+_CLAUDE_TYPES = "timestamp:variant,sessionId:variant,version:variant,requestId:variant,costUSD:variant,isSidechain:variant,isApiErrorMessage:variant,message:struct<id:variant,model:variant,usage:struct<input_tokens:variant,output_tokens:variant,cache_creation_input_tokens:variant,cache_read_input_tokens:variant,speed:variant,cache_creation:struct<ephemeral_5m_input_tokens:variant,ephemeral_1h_input_tokens:variant>>>"
 # Fields whose `null` makes a line invalid, wherever it stands in the text.
 _NO_NULL = "id|cwd|model|speed|costUSD|version|sessionId|requestId|isApiErrorMessage|cache_read_input_tokens|cache_creation_input_tokens"
 
@@ -30,18 +32,26 @@ def _claude_session(file: Column) -> Column:
     return F.when(part(file, 2) == "subagents", part(file, 3)).when(below == 2, stem(file)).otherwise(part(file, 2))
 
 
+def _claude_wrong_types(t: Column) -> Column:
+    """Whether a field has another type than it should: text, count, number or flag."""
+    m, u, split = t["message"], t["message"]["usage"], t["message"]["usage"]["cache_creation"]
+    texts = [t["timestamp"], t["sessionId"], t["version"], t["requestId"], m["id"], m["model"], u["speed"]]
+    counts = [*(u[f"{c}_tokens"] for c in ("input", "output", "cache_creation_input", "cache_read_input")), *(split[f"ephemeral_{c}_input_tokens"] for c in ("5m", "1h"))]
+    return F.exists(F.array(*texts), variants.no_string) | F.exists(F.array(*counts), variants.no_count) | variants.no_number(t["costUSD"]) | F.exists(F.array(t["isSidechain"], t["isApiErrorMessage"]), variants.no_flag)
+
+
 def claude(spark: SparkSession, path: str, daily: bool = False, tz: str = "UTC", glob: str = "*.jsonl", project: str | None = None) -> DataFrame:
-    """Lines with usage; `daily` also reads agent-progress lines. Advisor iterations become rows of their own. Of a `project` only its own folder is listed and read."""
+    """Lines with usage; `daily` also reads agent-progress lines. Advisor iterations become rows of their own. A field of a wrong type rejects its line. Of a `project` only its own folder is listed and read."""
     if project is not None:
         folder = project_folder(spark, path, project)
         return claude(spark, folder or path, daily, tz, glob).where(F.col("project") == project)
     rows = lines(spark, path, glob, '"usage":{').where(~F.col("line").rlike(f'"({_NO_NULL})":null'))
-    e = F.from_json("line", _CLAUDE)
+    rows = rows.withColumn("e", computed_once(F.from_json("line", _CLAUDE))).withColumn("t", computed_once(F.from_json("line", f"struct<{_CLAUDE_TYPES}>")))
     if daily:
-        inner = F.from_json("line", _CLAUDE_PROGRESS)["data"]["message"]
-        rows = rows.withColumn("e", F.when(e["message"]["usage"].isNotNull(), e).otherwise(inner))
-    else:
-        rows = rows.withColumn("e", e)
+        direct = F.col("e.message.usage").isNotNull()
+        rows = rows.withColumn("_e", computed_once(F.when(~direct, F.from_json("line", _CLAUDE_PROGRESS)))).withColumn("_t", computed_once(F.when(~direct, F.from_json("line", f"struct<data:struct<message:struct<{_CLAUDE_TYPES}>>>"))))
+        rows = rows.withColumn("e", computed_once(F.when(direct, F.col("e")).otherwise(F.col("_e.data.message")))).withColumn("t", computed_once(F.when(direct, F.col("t")).otherwise(F.col("_t.data.message")))).drop("_e", "_t")
+    rows = rows.where(~_claude_wrong_types(F.col("t")))
     m, u = F.col("e.message"), F.col("e.message.usage")
     fine = clock.parse_ms(F.col("e.timestamp")).isNotNull() & u["input_tokens"].isNotNull() & u["output_tokens"].isNotNull()
     for c in ("input_tokens", "output_tokens", "cache_creation_input_tokens", "cache_read_input_tokens"):
@@ -91,7 +101,7 @@ _PI = "type string, id string, timestamp string, message struct<role:string,mode
 
 def pi(spark: SparkSession, path: str, tool: str = "pi", tz: str = "UTC") -> DataFrame:
     """Assistant messages with usage; the same dialect is written by omp, whose side files belong to the folder's session."""
-    rows = lines(spark, path, marker='"usage"').withColumn("e", F.from_json("line", _PI))
+    rows = lines(spark, path, marker='"usage"').withColumn("e", computed_once(F.from_json("line", _PI)))
     rows = rows.where((F.coalesce("e.type", F.lit("message")) == "message") & (F.col("e.message.role") == "assistant") & F.col("e.message.usage").isNotNull())
     rows = rows.withColumn("ts_ms", clock.parse_ms(F.col("e.timestamp"))).where("ts_ms is not null")
     u = F.col("e.message.usage")
@@ -123,7 +133,7 @@ def _time(value: Column) -> Column:
 
 def openclaw(spark: SparkSession, path: str, tz: str = "UTC") -> DataFrame:
     """Assistant messages; the model is the message's, else the last that a change or snapshot named."""
-    rows = lines(spark, path).withColumn("e", F.from_json("line", _CLAW))
+    rows = lines(spark, path).withColumn("e", computed_once(F.from_json("line", _CLAW)))
     change = F.coalesce((F.col("e.type") == "model_change") | ((F.col("e.type") == "custom") & (F.col("e.customType") == "model-snapshot")), F.lit(False))
     source = F.when(F.col("e.data").isNotNull(), F.col("e.data")).otherwise(F.struct("e.modelId", "e.model", "e.provider"))
     rows = carry_forward(rows.withColumn("current", F.when(change, first(source["modelId"], source["model"]))), "current", ["file"], PLACE)
@@ -142,7 +152,7 @@ def openclaw(spark: SparkSession, path: str, tz: str = "UTC") -> DataFrame:
 
 def copilot(spark: SparkSession, path: str, tz: str = "UTC") -> DataFrame:
     """Telemetry of four kinds; a usage that a better kind reports for the same trace or response is dropped."""
-    rows = lines(spark, path, marker='"attributes"').withColumn("e", F.from_json("line", "type string, traceId string, spanId string, name string, timestamp string, endTime array<bigint>, hrTime array<bigint>, startTime array<bigint>, body string, _body string, attributes map<string,string>"))
+    rows = lines(spark, path, marker='"attributes"').withColumn("e", computed_once(F.from_json("line", "type string, traceId string, spanId string, name string, timestamp string, endTime array<bigint>, hrTime array<bigint>, startTime array<bigint>, body string, _body string, attributes map<string,string>")))
     a = lambda *names: first(*(filled(F.element_at("e.attributes", n)) for n in names)) if len(names) > 1 else filled(F.element_at("e.attributes", names[0]))
     n = lambda *names: F.coalesce(text.any_count(a(*names)), F.lit(0))
     chat = (F.col("e.type") == "span") & ((a("gen_ai.operation.name") == "chat") | F.startswith("e.name", F.lit("chat ")))
@@ -188,11 +198,11 @@ def gemini(spark: SparkSession, path: str, tz: str = "UTC") -> DataFrame:
     """Session documents and lines: messages of type gemini, replaced by id, and statistics by model."""
     message = f"type:string,id:string,model:string,timestamp:string,created_at:string,tokens:{_GT}"
     stats = f"struct<models:map<string,struct<tokens:{_GT}>>,{_GT[7:-1]}>"
-    log = lines(spark, path, "*.jsonl").withColumn("e", F.from_json("line", f"{message.replace(':', ' ', 6).replace(',', ', ', 5)}, sessionId string, session_id string, stats {stats}"))
+    log = lines(spark, path, "*.jsonl").withColumn("e", computed_once(F.from_json("line", f"{message.replace(':', ' ', 6).replace(',', ', ', 5)}, sessionId string, session_id string, stats {stats}")))
     log = log.withColumns({"session": first(filled(F.col("e.sessionId")), filled(F.col("e.session_id"))), "hint": filled(F.col("e.model"))})
     log = carry_forward(carry_forward(log, "session", ["file"], PLACE), "hint", ["file"], PLACE)
     log = log.select("file", "modified_ms", "line_ord", F.lit(0).alias("sub_ord"), "session", "hint", F.struct("e.type", "e.id", "e.model", "e.timestamp", "e.created_at", "e.tokens").alias("m"), F.col("e.stats").alias("stats"), F.col("e.timestamp").alias("at"))
-    doc = documents(spark, path, "*.json").withColumn("e", F.from_json("value", f"sessionId string, session_id string, model string, timestamp string, messages array<struct<{message}>>, stats {stats}"))
+    doc = documents(spark, path, "*.json").withColumn("e", computed_once(F.from_json("value", f"sessionId string, session_id string, model string, timestamp string, messages array<struct<{message}>>, stats {stats}")))
     doc = doc.select("file", "modified_ms", first(filled(F.col("e.sessionId")), filled(F.col("e.session_id"))).alias("session"), filled(F.col("e.model")).alias("hint"), F.col("e.stats").alias("stats"), F.col("e.timestamp").alias("at"), F.posexplode_outer("e.messages").alias("p", "m"))
     doc = doc.select("file", "modified_ms", F.coalesce("p", F.lit(0)).cast("bigint").alias("line_ord"), F.lit(0).alias("sub_ord"), "session", "hint", "m", F.when(F.coalesce("p", F.lit(0)) == 0, F.col("stats")).alias("stats"), "at")
     both = log.unionByName(doc).withColumn("session", F.coalesce("session", stem(F.col("file"))))
@@ -216,7 +226,7 @@ _KIMI_OLD = "struct<input_other:bigint,output:bigint,input_cache_creation:bigint
 
 def kimi(spark: SparkSession, path: str, default: str = "kimi-for-coding", tz: str = "UTC") -> DataFrame:
     """Usage records of a turn, and the older status updates."""
-    rows = lines(spark, path, "wire.jsonl").withColumn("e", F.from_json("line", f"type string, usageScope string, model string, time bigint, timestamp double, usage {_KIMI_COUNTS}, message struct<type:string,payload:struct<token_usage:{_KIMI_OLD},message_id:string>>"))
+    rows = lines(spark, path, "wire.jsonl").withColumn("e", computed_once(F.from_json("line", f"type string, usageScope string, model string, time bigint, timestamp double, usage {_KIMI_COUNTS}, message struct<type:string,payload:struct<token_usage:{_KIMI_OLD},message_id:string>>")))
     new = F.coalesce((F.col("e.type") == "usage.record") & (F.col("e.usageScope") == "turn"), F.lit(False))
     old = F.coalesce((F.coalesce("e.type", F.lit("")) != "usage.record") & (F.col("e.message.type") == "StatusUpdate"), F.lit(False))
     rows = rows.where(new | old).withColumn("is_new", new)
@@ -237,7 +247,7 @@ def kimi(spark: SparkSession, path: str, default: str = "kimi-for-coding", tz: s
 def qwen(spark: SparkSession, path: str, default: str = "unknown", tz: str = "UTC") -> DataFrame:
     """Assistant lines with usage metadata; thoughts are extra tokens, and cached input is not subtracted."""
     counts = "struct<promptTokenCount:bigint,candidatesTokenCount:bigint,thoughtsTokenCount:bigint,cachedContentTokenCount:bigint,totalTokenCount:bigint>"
-    rows = lines(spark, path, marker='"usageMetadata"').withColumn("e", F.from_json("line", f"type string, sessionId string, model string, timestamp string, uuid string, usageMetadata {counts}"))
+    rows = lines(spark, path, marker='"usageMetadata"').withColumn("e", computed_once(F.from_json("line", f"type string, sessionId string, model string, timestamp string, uuid string, usageMetadata {counts}")))
     rows = rows.where("e.type = 'assistant' and e.usageMetadata is not null")
     u = F.col("e.usageMetadata")
     rows = counters(rows, u["promptTokenCount"], u["candidatesTokenCount"], F.lit(0), u["cachedContentTokenCount"], u["thoughtsTokenCount"], u["totalTokenCount"])

@@ -17,7 +17,7 @@ from ..operators.dedup import fallback, first_wins, top_ancestor
 from ..schema import canonical
 from .documents import messages
 from .documents import opencode as message_files
-from .files import counters, dated, filled, first
+from .files import computed_once, counters, dated, filled, first
 
 
 _HEADER = b"SQLite format 3\0"
@@ -185,7 +185,7 @@ def hermes(spark: SparkSession, path: str, tz: str = "UTC") -> DataFrame:
 def zcode(spark: SparkSession, path: str, tz: str = "UTC") -> DataFrame:
     """Model calls, and the messages of sessions without any; both belong to the topmost parent session."""
     calls = table(spark, path, "SELECT id, session_id, model_id, started_at, input_tokens, output_tokens, reasoning_tokens, cache_creation_input_tokens, cache_read_input_tokens FROM model_usage", "id string, session string, model string, ts_ms bigint, i bigint, o bigint, reasoning bigint, c bigint, r bigint")
-    said = table(spark, path, "SELECT id, session_id, time_created, data FROM message", "id string, session string, ts_ms bigint, data string").withColumn("d", F.from_json("data", "modelID string, tokens struct<input:bigint,output:bigint,reasoning:bigint,cache:struct<read:bigint,write:bigint>>")).where("d.tokens is not null")
+    said = table(spark, path, "SELECT id, session_id, time_created, data FROM message", "id string, session string, ts_ms bigint, data string").withColumn("d", computed_once(F.from_json("data", "modelID string, tokens struct<input:bigint,output:bigint,reasoning:bigint,cache:struct<read:bigint,write:bigint>>"))).where("d.tokens is not null")
     said = said.select("file", "line_ord", "id", "session", F.col("d.modelID").alias("model"), "ts_ms", F.col("d.tokens.input").alias("i"), F.col("d.tokens.output").alias("o"), F.col("d.tokens.reasoning").alias("reasoning"), F.col("d.tokens.cache.write").alias("c"), F.col("d.tokens.cache.read").alias("r"))
     rows = fallback(said, calls, "session")
     links = table(spark, path, "SELECT id, parent_id FROM session", "id string, parent string").select("id", "parent").distinct()

@@ -357,3 +357,16 @@ def test_opencode_reads_its_database_before_its_files(spark, tmp_path):
     assert sorted(r["input"] for r in narrow) == [3, 4, 7]
     (tmp_path / "opencode.db").unlink()
     assert sorted(r["input"] for r in registry.load(spark, {"opencode": str(tmp_path)}).collect()) == [7, 1000]
+
+
+def test_claude_rejects_wrong_types_and_parses_once(spark, tmp_path):
+    bad = [
+        claude_line(0, "a", "r", {"input_tokens": "5"}), claude_line(0, "b", "r", {"output_tokens": 1.0}), claude_line(0, "c", "r", {"cache_read_input_tokens": -1}), claude_line(0, "d", "r", {"speed": 1}), claude_line(0, 5, "r", {}),
+        claude_line(0, "f", 7, {}), claude_line(0, "g", "r", {}, costUSD="0.5"), claude_line(0, "h", "r", {}, isSidechain="yes"), claude_line(0, "i", "r", {}, sessionId=1), claude_line(0, "j", "r", {"cache_creation": {"ephemeral_5m_input_tokens": "3"}}), claude_line(0, "k", "r", {"input_tokens": [1]}),
+    ]
+    good = [claude_line(0, "x", "r", {"cache_creation_input_tokens": 3}, costUSD=1, isSidechain=True), claude_line(0, "y", "s", {}, costUSD=0.25, sessionId="s", isSidechain=None, other={"a": [1]})]
+    put(tmp_path / "projects/p/s/chat.jsonl", *bad, *good, {"data": {"message": claude_line(1, "z", "t", {})}}, {"data": {"message": claude_line(1, "w", "t", {"input_tokens": "1"})}})
+    read = jsonl.claude(spark, str(tmp_path))
+    assert sorted(r["message_id"] for r in read.collect()) == ["x", "y"]
+    assert sorted(r["message_id"] for r in jsonl.claude(spark, str(tmp_path), daily=True).collect()) == ["x", "y", "z"]
+    assert read._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 2
