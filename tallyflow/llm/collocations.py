@@ -339,6 +339,7 @@ def phrase_counts(docs: DataFrame, scratch: Scratch, min_count: int, longest: in
     held = shards.groupBy("id").cogroup(found.select("id", "length", "keys").groupBy("id")).applyInArrow(bitmaps, _BITMAP)
     held = scratch.keep(held, "bitmaps")
     scratch.drop("shards")
+    scratch.sweep()
 
     def phrases(length):
         def send(key, shard, found):
@@ -381,6 +382,7 @@ def phrase_counts(docs: DataFrame, scratch: Scratch, min_count: int, longest: in
             # what is in no frequent pair is in no longer phrase: later rounds carry the rest alone
             held = scratch.keep(held.groupBy("id").cogroup(found.select("id", "length", "keys").groupBy("id")).applyInArrow(trim, _BITMAP), "pairs")
             scratch.drop("bitmaps")
+        scratch.sweep()
     counted = held.groupBy("id").cogroup(found.groupBy("id")).applyInArrow(spell, "lang string, length int, phrase binary, a long")
     return totals, scratch.keep(counted.select("lang", "length", F.col("phrase").cast("string").alias("phrase"), "a"), "counts")
 
