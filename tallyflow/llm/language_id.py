@@ -5,7 +5,8 @@ Training sums n-gram counts by language and hash slot in Spark; the resulting lo
 
 A text is lower-cased; letters stay, every run of other characters becomes one word edge, and the text
 begins and ends with an edge. Defined results: a null text or one without a letter is `und` with score 0,
-as is every text when nothing was learned; ties go to the smallest language name.
+as is every text when nothing was learned; ties go to the smallest language name; repeated rows are learned
+from and judged once each; whole texts of any length are used; columns other than text and language are ignored.
 """
 
 from __future__ import annotations

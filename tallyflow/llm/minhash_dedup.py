@@ -25,7 +25,7 @@ bands (the same filter against an empty pivot), by which no link is lost. Band k
 apart by packed exchange before any row is made of a key.
 
 Defined results: a null text or one without words has 0 shingles and no link; fewer words than a shingle are
-one shingle. Where ids repeat or are missing, every row is a node of its own while links are looked for, and
+one shingle; whole texts of any length are compared; other columns are ignored. Where ids repeat or are missing, every row is a node of its own while links are looked for, and
 rows that share a doc_id are then tied together. `near_duplicates` gives a row without doc_id no component and
 does not mark it kept, for it has no id to be named by; `one_of_each` keeps one row of every group, also of
 groups without any id, and of repeated rows; a text without words that has no id is a group of its own.

@@ -19,7 +19,8 @@ of copies is one step of the walk and every copy that can rank is returned.
 
 Defined results: vectors that are null, zero, of another length than most, or hold a null or a non-finite
 component take no part, nor do rows without id; components may be as small or large as doubles are; fewer candidates
-than asked give shorter lists; ties go to the smaller id; an empty table gives no rows.
+than asked give shorter lists; ties go to the smaller id; an id that comes with several vectors is several
+candidates, so a list may hold it more than once; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations

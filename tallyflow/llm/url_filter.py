@@ -8,7 +8,7 @@ rules whose intervals are open on a stack, and picks the longest whose path star
 
 Defined results: a null url or one without `://` has empty host and path and fits no rule; of equally long
 rules the one with the longer host wins, then block; repeated pages are judged row by row; an empty rule
-table leaves every page to the default verdict.
+table leaves every page to the default verdict; whole urls of any length are judged; other columns are ignored.
 """
 
 from __future__ import annotations
