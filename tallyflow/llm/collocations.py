@@ -55,14 +55,16 @@ _SPACES[0x20] = True
 
 
 def _packed(values: np.ndarray) -> bytes:
-    """Size and compressed bytes of an array."""
-    held = np.ascontiguousarray(values).tobytes()
-    return len(held).to_bytes(8, "little") + pa.compress(held, codec="zstd", asbytes=True)
+    """Size and compressed bytes of an array, all first bytes first: small numbers then compress well."""
+    held = np.ascontiguousarray(values)
+    planes = np.ascontiguousarray(held.view(np.uint8).reshape(len(held), held.itemsize).T).tobytes()
+    return len(planes).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
 
 
 def _unpacked(held: bytes, kind: type) -> np.ndarray:
     size = int.from_bytes(held[:8], "little")
-    return np.frombuffer(pa.decompress(held[8:], decompressed_size=size, codec="zstd", asbytes=True) if size else b"", kind)
+    planes = np.frombuffer(pa.decompress(held[8:], decompressed_size=size, codec="zstd", asbytes=True) if size else b"", np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).view(kind).reshape(-1)
 
 
 def _hashes(joined: bytes, family: int = 0) -> np.ndarray:
@@ -92,7 +94,7 @@ def _held(keys: np.ndarray, of: np.ndarray) -> np.ndarray:
     return of[np.minimum(np.searchsorted(of, keys), len(of) - 1)] == keys
 
 
-def _shard(lang: str, texts: pa.Array, number: int) -> pa.RecordBatch | None:
+def _shard(lang: str, texts: pa.Array, id_: int) -> pa.RecordBatch | None:
     """The words of texts as numbers, in order, with a zero between pieces."""
     data, offsets = text_bytes(texts)
     data = LOWER[data]
@@ -103,7 +105,13 @@ def _shard(lang: str, texts: pa.Array, number: int) -> pa.RecordBatch | None:
     inside = ~_BREAKS[data]
     size = (words.ends - words.starts).astype(np.int64)
     spelt = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(np.concatenate(([0], np.cumsum(size))).astype(np.int64)), pa.py_buffer(data[inside])]).dictionary_encode()
-    number_of = spelt.indices.to_numpy().astype(np.int32) + 1
+    # words are numbered by falling count, so that most numbers are small
+    given = spelt.indices.to_numpy()
+    counts = np.bincount(given, minlength=len(spelt.dictionary))
+    order = np.argsort(-counts, kind="stable")
+    number = np.empty(len(order), np.int32)
+    number[order] = np.arange(1, len(order) + 1)
+    number_of = number[given]
     ends = np.concatenate(([0], np.cumsum(_ENDS[data])))
     gap = np.zeros(n, bool)
     gap[1:] = ends[words.starts[1:]] > ends[words.ends[:-1]]
@@ -111,9 +119,8 @@ def _shard(lang: str, texts: pa.Array, number: int) -> pa.RecordBatch | None:
     gap[first] = True
     tokens = np.zeros(n + int(gap.sum()), np.int32)
     tokens[np.arange(n) + np.cumsum(gap)] = number_of
-    joined = b"".join(w + b" " for w in spelt.dictionary.to_pylist())
-    counts = np.bincount(number_of, minlength=len(spelt.dictionary) + 1)[1:].astype(np.int32)
-    return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((number, lang, n, joined, _packed(counts), _packed(tokens)), _SHARDS.types, strict=True)], schema=_SHARDS)
+    joined = b"".join(w + b" " for w in spelt.dictionary.take(pa.array(order)).to_pylist())
+    return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((id_, lang, n, joined, _packed(counts[order].astype(np.int32)), _packed(tokens)), _SHARDS.types, strict=True)], schema=_SHARDS)
 
 
 def _shards(block: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -336,7 +343,8 @@ def phrase_counts(docs: DataFrame, scratch: Scratch, min_count: int, longest: in
         return pa.table([pa.array([r[k] for r in out], t) for k, t in enumerate(_BITMAPS.types)], schema=_BITMAPS)
 
     found = scratch.keep(frequent(shards.select("id", "lang", "words", "counts").mapInArrow(words, _SEND), 1), "frequent-1")
-    held = shards.groupBy("id").cogroup(found.select("id", "length", "keys").groupBy("id")).applyInArrow(bitmaps, _BITMAP)
+    scratch.sweep()
+    held = shards.select("id", "lang", "words", "tokens").groupBy("id").cogroup(found.select("id", "length", "keys").groupBy("id")).applyInArrow(bitmaps, _BITMAP)
     held = scratch.keep(held, "bitmaps")
     scratch.drop("shards")
     scratch.sweep()
@@ -379,6 +387,7 @@ def phrase_counts(docs: DataFrame, scratch: Scratch, min_count: int, longest: in
         sent = held.groupBy("id").cogroup(found.select("id", "length", "keys").groupBy("id")).applyInArrow(phrases(length), _SEND)
         found = found.unionByName(scratch.keep(frequent(sent, length), f"frequent-{length}"))
         if length == 2:
+            scratch.sweep()
             # what is in no frequent pair is in no longer phrase: later rounds carry the rest alone
             held = scratch.keep(held.groupBy("id").cogroup(found.select("id", "length", "keys").groupBy("id")).applyInArrow(trim, _BITMAP), "pairs")
             scratch.drop("bitmaps")
