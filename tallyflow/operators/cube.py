@@ -101,7 +101,8 @@ def top_models(rows: DataFrame, most: int = 4, cache: bool = True) -> DataFrame:
 
 
 def community(board: DataFrame) -> DataFrame:
-    return board.agg(F.sum("tokens").alias("tokens"), F.sum("cost").alias("cost"), F.count("*").alias("users"), F.sum("devices").alias("devices"))
+    """Totals of all users; without any, the counts are 0 and the sums null."""
+    return board.agg(F.sum("tokens").alias("tokens"), F.sum("cost").alias("cost"), F.count("*").alias("users"), F.coalesce(F.sum("devices"), F.lit(0)).alias("devices"))
 
 
 def hit_rate(read: str = "cache_read", writes: tuple[str, str] = ("cache_5m", "cache_1h"), fresh: str = "input") -> Column:

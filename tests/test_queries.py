@@ -23,6 +23,20 @@ def test_query_equals_its_sql(spark, con, name):
     assert oracle.difference(queries()[name](spark, SMALL), con, oracles()[name]) == ""
 
 
+def with_events(folder, con, changed):
+    """A folder of the small tables with `changed` columns of the events, and its connection."""
+    con.sql(f"COPY (SELECT * REPLACE ({changed}) FROM events) TO '{folder}/events.parquet'")
+    for name in ("customer", "nation"):
+        con.sql(f"COPY {name} TO '{folder}/{name}.parquet'")
+    return str(folder), oracle.duck(str(folder))
+
+
+def test_community_totals_where_all_days_are_flagged(spark, con, tmp_path):
+    d, own = with_events(tmp_path, con, "value + 100000 AS value")
+    df = queries()["community_totals"](spark, d)
+    assert oracle.difference(df, own, oracles()["community_totals"]) == "" and tuple(df.first()) == (None, None, 0, 0)
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
