@@ -60,6 +60,27 @@ def test_repeated_rows_missing_ids_and_small_rank(spark):
     assert abs(sum(r["whitened"] ** 2 for r in got) / 4 - 1) < 1e-9 and abs(got[0]["explained"] - 1) < 1e-9
 
 
+@pytest.mark.parametrize("rows", [{1: [1.0] * 10, 2: [2.0, 3.0] * 5, 7: [0.5, -4.0] * 5}, {5: [2.0] * 3}, {1: [0.25] * 9, 2: [0.25] * 9}])
+def test_query_on_few_rows_has_each_component(spark, tmp_path, rows):
+    odd = [(100, None), (101, [None, 1.0]), (102, [math.nan] * 3)]
+    spark.createDataFrame([*rows.items(), *odd], "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = Q.op13_whitening(spark, str(tmp_path)).collect()
+    n, deviation, values, axes, centred, trace = dense(list(rows.values()))
+    want = [(i, k + 1, n, d) for i, d in zip(rows, deviation, strict=True) for k in range(len(values))]
+    assert sorted((r["vec_id"], r["component"], r["n"], r["deviation"]) for r in got) == sorted(want, key=lambda w: w[:2])
+    for r in got:
+        v = values[r["component"] - 1]
+        assert (r["whitened"] is None) == (v <= max(values[0], 1e-9) * 1e-12) and (r["identity_error"] is None) == (trace == 0)
+        assert r["explained"] is None if trace == 0 else abs(r["explained"] - v / trace) <= 1e-9
+        assert trace == 0 or r["identity_error"] <= 1e-9
+
+
+def test_rows_take_part_up_to_the_range_of_a_long(spark):
+    rows = [(1, [2.0**53 - 128]), (2, [-(2.0**53)]), (3, [3.0]), (4, [2.0**53 - 1]), (5, [-(2.0**53) - 2])]
+    got = whiten(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), components=1).collect()
+    assert sorted((r["vec_id"], r["n"]) for r in got) == [(1, 3), (2, 3), (3, 3)]
+
+
 def test_exact_beyond_64_bits(spark):
     rows = {i: [float(v), 1.0] for i, v in enumerate((0, 1 << 40, 1 << 44, 3))}
     got = whiten(spark.createDataFrame(list(rows.items()), "vec_id long, embedding array<double>"), components=1).collect()
