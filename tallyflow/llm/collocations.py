@@ -8,7 +8,9 @@ of phrases are extended at once, each to its full length before the next block i
 
 Whether a phrase is frequent only the sum over shards tells. So shards send fingerprints and popcounts of their
 phrases, length by length, packed for ranges of the fingerprint; what reaches `min_count` is told back to the
-shards that hold it, and only such phrases are extended, by words that end such phrases themselves. Sums are by
+shards that hold it, and only such phrases are extended, by words that end such phrases themselves. Most phrases
+are rare, so shards first send popcounts by the fingerprints' first 32 bits, as gaps, and then only the phrases
+whose 32 bits reach `min_count`, which all frequent ones do. Sums are by
 96 bits; of each frequent phrase one shard is told the sum and spells it out at the end. Nothing is cut off by
 size: shards, ranges and blocks bound memory, not results.
 
@@ -41,6 +43,9 @@ _BITMAP = "id long, lang string, words binary, word binary, chunk binary, bits b
 _BITMAPS = pa.schema([("id", pa.int64()), ("lang", pa.string()), ("words", pa.binary()), ("word", pa.binary()), ("chunk", pa.binary()), ("bits", pa.binary())])
 _SEND = "part long, id long, keys binary, checks binary, counts binary"
 _SENT = pa.schema([("part", pa.int64()), ("id", pa.int64()), ("keys", pa.binary()), ("checks", pa.binary()), ("counts", pa.binary())])
+_CELL = "part long, id long, cells binary, counts binary"
+_CELLS = pa.schema([("part", pa.int64()), ("id", pa.int64()), ("cells", pa.binary()), ("counts", pa.binary())])
+_FULL = pa.schema([("id", pa.int64()), ("length", pa.int32()), ("keys", pa.binary())])
 _TELL = "id long, length int, keys binary, own_keys binary, own_checks binary, own_sums binary"
 _FOUND = pa.schema([("id", pa.int64()), ("length", pa.int32()), ("keys", pa.binary()), ("own_keys", pa.binary()), ("own_checks", pa.binary()), ("own_sums", pa.binary())])
 _COUNTED = pa.schema([("lang", pa.string()), ("length", pa.int32()), ("phrase", pa.binary()), ("a", pa.int64())])
@@ -165,6 +170,35 @@ def _send(id_: int, keys: np.ndarray, checks: np.ndarray, counts: np.ndarray, pa
     return pa.table([pa.array(full, pa.int64()), pa.array(np.full(len(full), id_), pa.int64()), *(pa.array([f(x[s]) for s in spans], pa.binary()) for x, f in ((keys, np.ndarray.tobytes), (checks.astype(CHECK), np.ndarray.tobytes), (counts.astype(np.int64), _packed)))], schema=_SENT)
 
 
+def _send_cells(id_: int, cells: np.ndarray, counts: np.ndarray, parts: int) -> pa.Table:
+    """A shard's counts by the first 32 bits of fingerprints, sorted and packed as gaps, a row for each range."""
+    order = np.argsort(cells)
+    cells, counts = cells[order], counts[order]
+    first = np.flatnonzero(np.concatenate(([True], cells[1:] != cells[:-1]))) if len(cells) else np.zeros(0, np.int64)
+    cells, counts = cells[first], np.add.reduceat(counts, first) if len(first) else counts
+    cut = np.searchsorted((cells * U64(parts) >> U64(32)).astype(np.int64), np.arange(parts + 1))
+    full = np.flatnonzero(np.diff(cut))
+    spans = [slice(cut[p], cut[p + 1]) for p in full]
+    gaps = [_packed(np.diff(cells[s], prepend=U64(0))) for s in spans]
+    return pa.table([pa.array(full, pa.int64()), pa.array(np.full(len(full), id_), pa.int64()), pa.array(gaps, pa.binary()), pa.array([_packed(counts[s]) for s in spans], pa.binary())], schema=_CELLS)
+
+
+def _full(min_count: int) -> Callable[[pa.Table], pa.Table]:
+    """For a range of fingerprints: the first 32 bits with enough in all shards, told to each shard that has them, as of phrases without words."""
+
+    def tell(table: pa.Table) -> pa.Table:
+        each = [np.cumsum(_unpacked(x, U64), dtype=U64) for x in table["cells"].to_pylist()]
+        cells, counts = np.concatenate(each), np.concatenate([_unpacked(x, np.int64) for x in table["counts"].to_pylist()])
+        order = np.argsort(cells)
+        cells, counts = cells[order], counts[order]
+        first = np.flatnonzero(np.concatenate(([True], cells[1:] != cells[:-1])))
+        often = cells[first][np.add.reduceat(counts, first) >= min_count]
+        out = [(id_, 0, own[_held(own, often)].tobytes()) for id_, own in zip(table["id"].to_pylist(), each, strict=True)]
+        return pa.table([pa.array([r[k] for r in out], t) for k, t in enumerate(_FULL.types)], schema=_FULL)
+
+    return tell
+
+
 def _frequent(min_count: int, length: int) -> Callable[[pa.Table], pa.Table]:
     """For a range of fingerprints: those with enough in all shards, told to each shard that has them, with their sums to the first."""
 
@@ -349,13 +383,33 @@ def phrase_counts(docs: DataFrame, scratch: Scratch, min_count: int, longest: in
     scratch.drop("shards")
     scratch.sweep()
 
+    def cells(row, told, length):
+        got = [(p.keys >> U64(32), p.counts()) for size, p in Shard(row).walk(told, length - 1, length) if size == length]
+        return _send_cells(row["id"], *(np.concatenate(x) for x in zip(*got, strict=True)), parts) if got else _CELLS.empty_table()
+
+    def cells_of_pairs(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                yield from cells(row, {}, 2).to_batches()
+
+    def cells_of(length):
+        def send(key, shard, found):
+            told = _told(found)
+            return pa.concat_tables([_CELLS.empty_table(), *(cells(row, told, length) for row in shard.to_pylist())])
+
+        return send
+
     def phrases(length):
         def send(key, shard, found):
             out = [pa.table([[]] * len(_SENT), schema=_SENT)]
             told = _told(found)
+            full = told.get(0, np.zeros(0, U64))
             for row in shard.to_pylist():
-                own = Shard(row)
-                got = [(p.keys, own.checks(p.words), p.counts()) for size, p in own.walk(told, length - 1, length) if size == length]
+                own, got = Shard(row), []
+                for size, p in own.walk(told, length - 1, length):
+                    if size == length:
+                        at = _held(p.keys >> U64(32), full)
+                        got.append((p.keys[at], own.checks(p.words[at]), p.counts()[at]))
                 if got:
                     out.append(_send(row["id"], *(np.concatenate(x) for x in zip(*got, strict=True)), parts))
             return pa.concat_tables(out)
@@ -384,8 +438,14 @@ def phrase_counts(docs: DataFrame, scratch: Scratch, min_count: int, longest: in
         return pa.table([pa.array([r[k] for r in out], t) for k, t in enumerate(_BITMAPS.types)], schema=_BITMAPS)
 
     for length in range(2, longest + 1):
-        sent = held.groupBy("id").cogroup(found.select("id", "length", "keys").groupBy("id")).applyInArrow(phrases(length), _SEND)
+        told = found.select("id", "length", "keys")
+        # pairs are made of all frequent words, so nothing has to meet the shards
+        sent = held.mapInArrow(cells_of_pairs, _CELL) if length == 2 else held.groupBy("id").cogroup(told.groupBy("id")).applyInArrow(cells_of(length), _CELL)
+        full = scratch.keep(sent.groupBy("part").applyInArrow(_full(min_count), "id long, length int, keys binary"), f"full-{length}")
+        scratch.sweep()
+        sent = held.groupBy("id").cogroup(told.unionByName(full).groupBy("id")).applyInArrow(phrases(length), _SEND)
         found = found.unionByName(scratch.keep(frequent(sent, length), f"frequent-{length}"))
+        scratch.drop(f"full-{length}")
         if length == 2:
             scratch.sweep()
             # what is in no frequent pair is in no longer phrase: later rounds carry the rest alone

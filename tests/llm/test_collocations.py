@@ -76,3 +76,24 @@ def test_products_beyond_64_bits(spark):
 
     big = spark.range(1).select(_exact(F.lit(1000), F.lit(10**15), F.lit(10**16)).alias("over"), _exact(F.lit(10**15), F.lit(3 * 10**15)).alias("under")).selectExpr("over div under as score").first()
     assert big["score"] == 1000 * 10**15 * 10**16 // (3 * 10**30)
+
+
+def test_cells_are_small_and_lose_no_frequent_fingerprint():
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute  # noqa: F401
+
+    from tallyflow.llm import collocations as C
+
+    rng = np.random.default_rng(4)
+    often = rng.integers(0, 1 << 63, 50).astype(np.uint64) * np.uint64(2)
+    shards = [np.concatenate((often, rng.integers(0, 1 << 63, 100_000).astype(np.uint64) * np.uint64(2))) for _ in range(4)]
+    sent = [C._send_cells(k, keys >> np.uint64(32), np.full(len(keys), 25), 3) for k, keys in enumerate(shards)]
+    whole = [C._send(k, keys, keys, np.full(len(keys), 25), 3) for k, keys in enumerate(shards)]
+    assert 3 * sum(t.nbytes for t in sent) < sum(t.nbytes for t in whole)
+    table = pa.concat_tables(sent)
+    told = pa.concat_tables([C._full(100)(table.filter(pa.compute.equal(table["part"], p))) for p in range(3)])
+    for k in range(4):
+        full = C._told(told.filter(pa.compute.equal(told["id"], k)))[0]
+        assert C._held(often >> np.uint64(32), full).all() and len(full) < 1000
+    assert C._send_cells(1, np.zeros(0, np.uint64), np.zeros(0, np.int64), 3).num_rows == 0
