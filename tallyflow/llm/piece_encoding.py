@@ -7,6 +7,10 @@ unit began. The library segments these normalised texts with its own normaliser
 what was made here, and piece lengths add up to spans in the normalised text, which the alignment takes back
 to spans in the original.
 
+Where no piece of a model holds a space behind another character, its merges never cross the start of a word. The
+library then segments every different word of a batch once, and the texts take the ids of their words; with
+other models, and those without byte pieces, whose unknown pieces grow across words, it segments whole texts.
+
 A piece's span begins where its first byte's source unit begins and ends where the next piece's begins. So the
 spans of a text follow each other without gaps or overlaps; the added leading space has an empty span, and of
 the byte pieces of one character all but the last do. Collapsed or trimmed white space belongs to the piece
@@ -22,6 +26,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import cached_property
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +41,7 @@ _RESULT = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("st
 # Field numbers of the model file's messages, and its kinds of pieces.
 _PIECES, _TRAINER, _NORMALIZER = 1, 2, 3
 _PIECE, _KIND, _UNKNOWN, _USER, _BYTE = 1, 3, 2, 4, 6
+_MODEL_TYPE, _BPE = 3, 2
 _WHITESPACE_AS_SUFFIX, _CHARSMAP, _DUMMY_PREFIX, _REMOVE_EXTRA, _ESCAPE = 24, 2, 3, 4, 5
 _SPACE, _REPLACEMENT = "\u2581".encode(), "\ufffd".encode()
 
@@ -90,6 +96,26 @@ def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size)
 
 
+def _spaces(piece: bytes) -> int:
+    """How many escaped spaces a piece begins with."""
+    n = 0
+    while piece.startswith(_SPACE, n * len(_SPACE)):
+        n += 1
+    return n
+
+
+def _valid(data: np.ndarray, offsets: np.ndarray) -> bool:
+    """Whether every text is UTF-8: all of them together are, and none begins within a character."""
+    begins = offsets[:-1][offsets[:-1] < len(data)]
+    if ((data[begins] & 0xC0) == 0x80).any():
+        return False
+    try:
+        data.tobytes().decode()
+    except UnicodeDecodeError:
+        return False
+    return True
+
+
 class CharacterMap:
     """The compiled character map: a double array trie over UTF-8 keys, and the strings they become."""
 
@@ -147,6 +173,8 @@ class Model:
         #: Bytes of normalised text a piece stands for; the unknown piece's depend on the text.
         self.size = np.array([1 if p.get(_KIND, 1) == _BYTE else 0 if p.get(_KIND, 1) == _UNKNOWN else len(p[_PIECE]) for p in self.pieces], np.int64)
         self.has_bytes = any(p.get(_KIND, 1) == _BYTE for p in self.pieces)
+        #: Whether words are segmented alike alone and within their text.
+        self.by_words = self.has_bytes and trainer.get(_MODEL_TYPE, 1) == _BPE and not any(_SPACE in p[_PIECE][len(_SPACE) * _spaces(p[_PIECE]) :] for p in self.pieces)
 
     @cached_property
     def library(self):
@@ -167,6 +195,8 @@ class Model:
         """Normalised bytes and offsets of a batch of texts, the source of each byte, and where each text's source ends, within the batch."""
         count = len(offsets) - 1
         doc = np.repeat(np.arange(count), np.diff(offsets))
+        if not len(self.map.units) and self.own is None and _valid(data, offsets):
+            return self._unchanged(data, doc, offsets)
         end = offsets[1:][doc]
         size = _utf8_sizes(data, end).astype(np.int64)
         whole = size > 0
@@ -207,6 +237,18 @@ class Model:
             lead[texts] = at[solid[first]]
         return self._spaced(out, align, of, offsets, lead)
 
+    def _unchanged(self, data: np.ndarray, doc: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """`normalise` where every unit is a character that stays as it is."""
+        align = np.arange(len(data))
+        if len(data) and data.max() >= 0x80:
+            align = np.maximum.accumulate(np.where((data & 0xC0) == 0x80, 0, align))
+        lead = offsets[:-1].copy()
+        if self.remove_extra:
+            solid = np.flatnonzero(data != 0x20)
+            texts, first = np.unique(doc[solid], return_index=True)
+            lead[texts] = solid[first]
+        return self._spaced(data, align, doc, offsets, lead)
+
     def _own_units(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where the model's own symbols stand, and their lengths."""
         found = [(a + m.start(), len(m[1])) for a, b in zip(offsets[:-1], offsets[1:], strict=True) for m in self.own.finditer(data[a:b].tobytes())] if self.own else []
@@ -215,8 +257,8 @@ class Model:
     def _spaced(self, out: np.ndarray, align: np.ndarray, of: np.ndarray, offsets: np.ndarray, lead: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """White space collapsed and trimmed, a space put before or after, spaces escaped."""
         count, stop = len(offsets) - 1, offsets[1:].copy()
-        space = out == 0x20
         if self.remove_extra and len(out):
+            space = out == 0x20
             first = np.ones(len(out), bool)
             first[1:] = of[1:] != of[:-1]
             before = np.concatenate(([False], space[:-1]))
@@ -231,30 +273,56 @@ class Model:
                 d = np.searchsorted(last, k)
                 stop[of[k]] = align[begin[d]]
                 keep[begin[d] : k + 1] = False
-            out, align, of, space = out[keep], align[keep], of[keep], space[keep]
+            out, align, of = out[keep], align[keep], of[keep]
         held = np.bincount(of, minlength=count)
         some = held > 0 if self.remove_extra else np.diff(offsets) > 0
+        bounds = np.concatenate(([0], np.cumsum(held)))
         if self.prefix:
-            start = np.concatenate(([0], np.cumsum(held)))
-            where = (start[1:] if self.as_suffix else start[:-1])[some]
+            where = (bounds[1:] if self.as_suffix else bounds[:-1])[some]
             source = (stop if self.as_suffix else lead)[some]
-            out, align, of = np.insert(out, where, 0x20), np.insert(align, where, source), np.insert(of, where, np.flatnonzero(some))
-            space = out == 0x20
+            out, align = np.insert(out, where, 0x20), np.insert(align, where, source)
+            bounds[1:] += np.cumsum(some)
         if self.escape:
-            size = np.where(space, len(_SPACE), 1)
-            both = np.concatenate((out, np.frombuffer(_SPACE, np.uint8)))
-            align, of = np.repeat(align, size), np.repeat(of, size)
-            out = both[_spread(np.where(space, len(out), np.arange(len(out))), size)]
-        return out, np.concatenate(([0], np.cumsum(np.bincount(of, minlength=count)))), align, stop
-
-    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[list[list[int]], np.ndarray, np.ndarray]:
-        """Ids of each text, and start and end of all pieces one after the other, in bytes from the start of their text."""
+            at, more = np.flatnonzero(out == 0x20), len(_SPACE) - 1
+            out = np.frombuffer(out.tobytes().replace(b" ", _SPACE), np.uint8)
+            align = np.insert(align, np.repeat(at, more), np.repeat(align[at], more))
+            bounds += more * np.searchsorted(at, bounds)
+        return out, bounds, align, stop
+
+    def _segmented(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, and how many each has."""
+        ids = self.segmenter.encode(texts, num_threads=1)
+        counts = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), np.int32, counts.sum()), counts
+
+    def _word_starts(self, text: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Where a text begins, or a space behind another character."""
+        space = np.zeros(len(text) + 3, bool)
+        space[3 : len(text) + 1] = (text[:-2] == _SPACE[0]) & (text[1:-1] == _SPACE[1]) & (text[2:] == _SPACE[2])
+        begins = space[3:] & ~space[:-3]
+        begins[bounds[:-1][np.diff(bounds) > 0]] = True
+        return np.flatnonzero(begins)
+
+    def _segmented_by_words(self, text: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """`_segmented` for normalised texts, by their different words."""
+        starts = self._word_starts(text, bounds)
+        places = pa.py_buffer(np.append(starts, len(text)).astype(np.int64))
+        words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, places, pa.py_buffer(text)]).dictionary_encode()
+        ids, counts = self._segmented(words.dictionary.to_numpy(zero_copy_only=False).tolist())
+        word = words.indices.to_numpy()
+        first = np.concatenate(([0], np.cumsum(counts)))
+        before = np.concatenate(([0], np.cumsum(counts[word])))
+        return ids[_spread(first[word], counts[word])], np.diff(before[np.searchsorted(starts, bounds)])
+
+    def encode_flat(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, how many each has, and start and end of all pieces, in bytes from the start of their text."""
         text, bounds, align, stop = self.normalise(data, offsets)
-        whole = text.tobytes()
-        parts = [whole[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-        ids = self.segmenter.encode(parts, num_threads=1)
-        counts = np.array([len(x) for x in ids], np.int64)
-        flat = np.fromiter((i for x in ids for i in x), np.int64, counts.sum())
+        if self.by_words:
+            flat, counts = self._segmented_by_words(text, bounds)
+        else:
+            whole = text.tobytes()
+            parts = [whole[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            flat, counts = self._segmented(parts)
         size = self.size[flat]
         if not self.has_bytes and (size == 0).any():
             said = self.segmenter.encode(parts, out_type=str, num_threads=1)
@@ -263,11 +331,21 @@ class Model:
         got = np.concatenate(([0], end))[np.concatenate(([0], np.cumsum(counts)))]
         if (got != bounds).any():
             raise ValueError("pieces do not cover the normalised text")
-        doc = np.repeat(np.arange(len(ids)), counts)
+        doc = np.repeat(np.arange(len(counts)), counts)
         source = np.append(align, 0)
         start_at = source[end - size] if len(end) else end
         end_at = np.where(end == bounds[1:][doc], stop[doc], source[end]) if len(end) else end
-        return ids, start_at - offsets[:-1][doc], end_at - offsets[:-1][doc]
+        return flat, counts, start_at - offsets[:-1][doc], end_at - offsets[:-1][doc]
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[list[list[int]], np.ndarray, np.ndarray]:
+        """Ids of each text, and start and end of all pieces one after the other, in bytes from the start of their text."""
+        flat, counts, starts, ends = self.encode_flat(data, offsets)
+        return _lists(flat, counts), starts, ends
+
+
+def _lists(flat: np.ndarray, counts: np.ndarray) -> list[list[int]]:
+    at = np.concatenate(([0], np.cumsum(counts))).tolist()
+    return [flat[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
 _made: dict[int, Model] = {}
@@ -289,9 +367,9 @@ def encode_pieces(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", t
         own = _model(held.value)
         for batch in batches:
             for piece in pieces(batch, "text", block):
-                ids, starts, ends = own.encode(*text_bytes(piece["text"]))
-                at = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in ids]))), pa.int32())
-                lists = [pa.ListArray.from_arrays(at, pa.array(x, t)) for x, t in ((np.fromiter((i for x in ids for i in x), np.int32, len(starts)), pa.int32()), (starts, pa.int64()), (ends, pa.int64()))]
-                yield pa.RecordBatch.from_arrays([piece["doc_id"], *lists, pa.array([own.library.decode(x) for x in ids], pa.string())], schema=_RESULT)
+                ids, counts, starts, ends = own.encode_flat(*text_bytes(piece["text"]))
+                at = pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32())
+                lists = [pa.ListArray.from_arrays(at, pa.array(x, t)) for x, t in ((ids, pa.int32()), (starts, pa.int64()), (ends, pa.int64()))]
+                yield pa.RecordBatch.from_arrays([piece["doc_id"], *lists, pa.array(map(own.library.decode, _lists(ids, counts)), pa.string())], schema=_RESULT)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(encode, RESULT)

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import struct
 
 import numpy as np
 import pytest
@@ -92,6 +93,48 @@ def test_own_symbols_come_first():
     assert mine.encode(*batch(cases))[0] == library.encode(cases)
 
 
+class Heard:
+    """A segmenter that counts the bytes it is given."""
+
+    def __init__(self, inner):
+        self.inner, self.sizes = inner, []
+
+    def encode(self, texts, **how):
+        self.sizes += map(len, texts)
+        return self.inner.encode(texts, **how)
+
+
+def test_every_different_word_is_segmented_once():
+    own = Model(open(MODEL, "rb").read())
+    library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    rng = random.Random(9)
+    words = ["word", "longer-word", "日本語", "▁", "é", "x" * 300, "", "", "\ufffd", "1,234.5"]
+    cases = ["", " ", "▁", " a", "a ", *(rng.choice((" ", "  ", "▁", "▁ ")).join(rng.choice(words) for _ in range(200)) for _ in range(50))]
+    own.segmenter = heard = Heard(own.segmenter)
+    ids, _, _ = own.encode(*batch(cases))
+    assert ids == library.encode(cases)
+    assert sum(heard.sizes) < sum(len(t.encode()) for t in cases) / 10
+
+
+def test_pieces_across_words_are_found():
+    more = b"".join(_field(1, _field(1, p.encode()) + b"\x15" + struct.pack("<f", 1)) for p in ("f▁", "f▁t"))
+    held = open(MODEL, "rb").read() + more
+    library, own = sentencepiece.SentencePieceProcessor(model_proto=held), Model(held)
+    cases = ["the cat of the", "x of the  y", "of the", "of  the"]
+    ids = own.encode(*batch(cases))[0]
+    assert not own.by_words and ids == library.encode(cases)
+    assert "f▁t" in library.id_to_piece(ids[0])
+
+
+def test_unknown_pieces_across_words():
+    # without byte pieces, unknown ones that follow each other are one
+    top = fields(open(MODEL, "rb").read())
+    held = b"".join(_field(k, b"\x18\x02" if k == 2 else v) for k, v in top if k != 1 or dict(fields(v)).get(3, 1) != 6 and dict(fields(v))[1] != "▁".encode())
+    library, own = sentencepiece.SentencePieceProcessor(model_proto=held), Model(held)
+    cases = ["\x01 \x02 word \x03", "", "a \U000e0001 \U000e0002"]
+    assert not own.by_words and own.encode(*batch(cases))[0] == library.encode(cases)
+
+
 def test_query_against_the_library(spark):
     library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()
