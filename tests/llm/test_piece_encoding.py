@@ -157,3 +157,12 @@ def test_edges(spark):
     assert sorted(((r["doc_id"], list(r["ids"]), r["decoded"]) for r in got), key=str) == sorted(want, key=str)
     assert all(len(r["ids"]) == len(r["starts"]) == len(r["ends"]) for r in got)
     assert encode_pieces(docs.where("false")).collect() == []
+
+
+def test_query_on_texts_without_pieces(spark, tmp_path):
+    library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    rows = [(1, None), (2, ""), (3, " "), (4, "a b"), (None, None), (None, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    hashed = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    want = [(i, len(ids := library.encode(t or "")), hashed(",".join(map(str, ids))), hashed(library.decode(ids)), len(t or "")) for i, t in rows]
+    assert sorted(map(tuple, Q.op11_piece_encoding(spark, str(tmp_path)).collect()), key=str) == sorted(want, key=str)
