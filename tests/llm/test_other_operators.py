@@ -177,3 +177,12 @@ def test_mixing_meets_the_targets_of_skewed_sources(spark):
         return distance(cells, {"source": tempered(cells.select("source", "tokens"), "source", 0.5)})["source"]
 
     assert gap() == pytest.approx(0, abs=1e-9) and gap(clip=True) > 0.04
+
+
+def test_mixing_query_lowers_first_words_as_its_sql_does(spark, tmp_path):
+    from oracle import difference, duck
+
+    first = ["ΟΔΟΣ", "οδοσ", "οδος", "İstanbul", "istanbul", "i̇stanbul", "THE", "the", " x", ""]
+    rows = [(i, f"{w} and more", "s1" if i % 3 else "s2", "en") for i, w in enumerate(first * 2)] + [(90, None, None, None), (None, " ", "s1", "en")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert difference(Q.op7_mixing(spark, str(tmp_path)), duck(str(tmp_path)), Q.oracle_sql()["op7_mixing"]) == ""
